@@ -52,3 +52,22 @@ def let(value: Column, body) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")), F.lit(n))
+
+
+def spans(text: Column, pattern: Column, group: int = 0) -> Column:
+    """Leftmost non-overlapping matches of a pattern: array<struct<start, end, hit>>.
+
+    Offsets count code points, the end is exclusive, and ``hit`` is the text of ``group``. The gaps
+    between the matches and the matches themselves, laid end to end, give the offsets.
+    """
+    gaps = F.split(text, pattern, -1)
+    both = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("all"), F.regexp_extract_all(text, pattern, F.lit(group)).alias("hit"))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["all"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
+
+    found = F.aggregate(F.filter(both, lambda x: x["all"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+    return F.when(F.regexp_like(text, pattern), found).otherwise(none)
