@@ -97,7 +97,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3, keep=()) -> DataFr
             .agg(F.max(F.struct("finish", "key", "size", "e")).alias("last"))
             .first()["last"]
         )
-        end = F.struct(*[F.lit(x) for x in last]) if last else None
+        end = F.struct(F.lit(last["finish"]).cast("double"), F.lit(last["key"]), F.lit(last["size"]).cast("long"), F.lit(last["e"]).cast("int")) if last else None
         taken = [
             ((tick(finish(e)) < cut["tick"]) | ((tick(finish(e)) == cut["tick"]) & (F.struct(finish(e), F.col("key"), F.col("size"), F.lit(e)) <= end) if last else F.lit(False))).cast("long")
             for e in range(repeats)
