@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .fingerprints import op1_fingerprints
 from .licenses import op4_licenses
 from .mixing import OP9_SQL, op9_mixing
 from .secrets import op5_secrets
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op4_licenses": op4_licenses,
     "op5_secrets": op5_secrets,
     "op9_mixing": op9_mixing,
