@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe import op3_bpe
 from .fingerprints import op1_fingerprints
 from .licenses import op4_licenses
 from .mixing import OP9_SQL, op9_mixing
 from .secrets import op5_secrets
+from .simhash import op8_simhash
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
+    "op8_simhash": op8_simhash,
     "op1_fingerprints": op1_fingerprints,
     "op4_licenses": op4_licenses,
     "op5_secrets": op5_secrets,
