@@ -6,10 +6,12 @@ from .bpe import op3_bpe
 from .fingerprints import op1_fingerprints
 from .licenses import op4_licenses
 from .mixing import OP9_SQL, op9_mixing
+from .quality import op10_quality
 from .secrets import op5_secrets
 from .simhash import op8_simhash
 
 QUERIES = {
+    "op10_quality": op10_quality,
     "op3_bpe": op3_bpe,
     "op8_simhash": op8_simhash,
     "op1_fingerprints": op1_fingerprints,
