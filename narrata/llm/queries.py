@@ -9,8 +9,10 @@ from .mixing import OP9_SQL, op9_mixing
 from .quality import op10_quality
 from .secrets import op5_secrets
 from .simhash import op8_simhash
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op10_quality": op10_quality,
     "op3_bpe": op3_bpe,
     "op8_simhash": op8_simhash,
