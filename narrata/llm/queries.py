@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .embeddings import op6_embeddings
 from .fingerprints import op1_fingerprints
 from .licenses import op4_licenses
 from .mixing import OP9_SQL, op9_mixing
@@ -12,6 +13,7 @@ from .simhash import op8_simhash
 from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op6_embeddings": op6_embeddings,
     "op2_toxicity": op2_toxicity,
     "op10_quality": op10_quality,
     "op3_bpe": op3_bpe,
