@@ -10,9 +10,11 @@ from .mixing import OP9_SQL, op9_mixing
 from .quality import op10_quality
 from .secrets import op5_secrets
 from .simhash import op8_simhash
+from .substrings import op7_substrings
 from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op7_substrings": op7_substrings,
     "op6_embeddings": op6_embeddings,
     "op2_toxicity": op2_toxicity,
     "op10_quality": op10_quality,
