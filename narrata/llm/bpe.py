@@ -125,7 +125,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK, ov
 
     def whole(batches):
         codec = Codec.of(sent.value, pattern)
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             got = list(zip(*(result(codec, codec.encode(t.as_py())) for t in batch.column(0)), strict=True)) or [[]] * (3 + ids)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(x, k) for x, k in zip(got, kinds))], names=columns)

@@ -108,6 +108,19 @@ def mix(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3, keep=()) -> DataFr
     return placed.select("doc_id", *keep, "size", "source_size", "target", F.when(F.col("size") > 0, n * F.col("size")).otherwise(0).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3) -> DataFrame:
+    """The rows of the mix: each row of ``docs`` as often as it is taken, none to ``repeats`` times.
+
+    Documents without words take no part. Rows that are equal in id and text are taken together.
+    """
+    same = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64("text", "source").alias("_text")]
+    shares = mix(docs.select("*", *same), weights, repeats, ("_id", "_text")).filter("taken > 0")
+    shares = shares.groupBy("_id", "_text").agg(F.sum(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+    at = Window.partitionBy("_id", "_text").orderBy("_id")
+    rows = docs.select("*", *same).join(shares.hint("shuffle_hash"), ["_id", "_text"]).withColumn("_n", F.row_number().over(at)).filter("_n = 1")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 

@@ -133,6 +133,29 @@ def find(docs: DataFrame, rules=RULES, keep=()) -> DataFrame:
     return both.select("doc_id", *keep, "text", F.array_sort(F.flatten(F.transform(to_verify, any_of))).alias("secrets"))
 
 
+def redact(docs: DataFrame, rules=RULES, keep=()) -> DataFrame:
+    """The rows of ``docs`` with each secret replaced by its kind in angle brackets.
+
+    Secrets that overlap are replaced together, by the kind of the first. ``n_chars``, where there is one,
+    counts the new text. A null text stays null.
+    """
+    columns = docs.columns
+    rest = [c for c in columns if c not in ("doc_id", "text")]
+    found = find(docs.withColumn("_null", F.col("text").isNull()), rules, (*rest, "_null"))
+    kinds = F.lit([f"<{r[0]}>" for r in rules])
+
+    def add(acc: Column, s: Column) -> Column:
+        out = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.get(kinds, s["kind"]))
+        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), out.alias("out")))
+
+    rest_of = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+    clean = F.when(F.size("secrets") > 0, F.aggregate("secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, rest_of)).otherwise(F.col("text"))
+    done = found.withColumn("text", F.when(~F.col("_null"), clean))
+    if "n_chars" in columns:
+        done = done.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return done.select(*columns)
+
+
 def listed(found: Column, rules=RULES) -> Column:
     """kind:start:end, comma-joined."""
     kinds = F.lit([r[0] for r in rules])

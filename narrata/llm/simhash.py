@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
-from .common import stored
+from .common import documents, stored
 from .components import components
 
 BITS = 64
@@ -147,6 +146,17 @@ def groups(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     return rows.join(named, "bits").select("doc_id", "bits", "component_id")
 
 
+def one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of ``docs`` without those whose group has a smaller doc_id; a repeated id stays once.
+
+    Rows without an id are not grouped and stay.
+    """
+    kept = groups(docs, width, radius).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    at = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    stay = docs.join(kept.hint("shuffle_hash"), "doc_id").withColumn("_n", F.row_number().over(at)).filter("_n = 1")
+    return stay.select(*docs.columns).union(docs.filter("doc_id is null"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
