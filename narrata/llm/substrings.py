@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import documents, stored
 
 LENGTH = 200
-SEED = 40
+#: Longer seeds drop more texts early, shorter ones need fewer anchors.
+SEED = 72
 #: Bytes of a text that are hashed at once.
 BLOCK = 1 << 20
 
@@ -111,7 +112,7 @@ def entries(texts: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFra
 
     def each(batches):
         hasher = Hasher.of(length, seed)
-        for batch in batches:
+        for batch in _slices(batches, 1024):
             keys, out = batch.column(0).to_numpy(), ([], [], [], [])
             for k, text in zip(keys, batch.column(1)):
                 h, u, *_ = hasher.anchors(text.as_py() or b"")
@@ -138,21 +139,22 @@ def repeats(found: DataFrame) -> DataFrame:
     return met.select("key", "h", "u", (F.col("here") > 1).alias("whole"), ((F.col("low") != F.col("high")) & (F.col("key") == F.col("first"))).alias("show")).filter("whole or show")
 
 
-def _numbers(column) -> np.ndarray:
-    return np.frombuffer(column.as_py() or b"", np.int64)
+def _slices(batches, rows: int = 256):
+    """Smaller batches, so that few texts are Python objects at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def _contexts(rows: DataFrame, length: int, seed: int) -> DataFrame:
-    """(h, u, key, whole, anchor, context) of the shown entries of texts (key, text, listed)."""
+    """(h, u, key, whole, anchor, context) of the shown entries of texts (key, text, shown)."""
 
     def each(batches):
         hasher = Hasher.of(length, seed)
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for row in batch.to_pylist():
-                shown = {(x["h"], x["u"]): x["whole"] for x in row["listed"] if x["show"]}
-                if not shown:
-                    continue
+                shown = {(x["h"], x["u"]): x["whole"] for x in row["shown"]}
                 text = row["text"]
                 h, u, anchor, _, _ = hasher.anchors(text)
                 for a, b, p in zip(h.tolist(), u.tolist(), anchor.tolist()):
@@ -163,7 +165,7 @@ def _contexts(rows: DataFrame, length: int, seed: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return rows.filter(F.exists("listed", lambda x: x["show"])).select("key", "text", "listed").mapInArrow(each, "h long, u long, key long, whole boolean, anchor int, context binary")
+    return rows.select("key", "text", "shown").mapInArrow(each, "h long, u long, key long, whole boolean, anchor int, context binary")
 
 
 def _compared(contexts: DataFrame, length: int, seed: int, partitions: int) -> DataFrame:
@@ -243,40 +245,32 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", *keep, F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
     # what an entry is holds wherever it stands, so texts whose keys meet by chance may share a list
-    lists = repeats(entries(rows, length, seed)).groupBy("key").agg(F.collect_list(F.struct("h", "u", "whole", "show")).alias("listed"))
-    both = rows.join(lists.hint("shuffle_hash"), "key", "left")
-    both = both.withColumn("n_bytes", F.length("text").cast("long")).withColumn("sha", F.when(F.col("listed").isNull(), F.sha2("text", 256)))
-    if not texts:
-        both = both.withColumn("text", F.when(F.col("listed").isNotNull(), F.col("text")))
-    both = stored(both, "candidates")
-    candidates = both.filter("listed is not null")
-    partial = _compared(_contexts(candidates, length, seed), length, seed, n).groupBy("key").agg(F.collect_list(F.struct("h", "u", "offsets")).alias("partial"))
-    joined = candidates.join(partial.hint("shuffle_hash"), "key", "left").select("text", "listed", "partial", "doc_id", *keep, "n_bytes")
+    met = stored(repeats(entries(rows, length, seed)), "repeats")
+    shown = met.filter("show").groupBy("key").agg(F.collect_list(F.struct("h", "u", "whole")).alias("shown"))
+    partial = _compared(_contexts(rows.join(shown.hint("shuffle_hash"), "key"), length, seed), length, seed, n)
+    marks = met.filter("whole").select("key", "h", "u", F.lit(None).cast("array<long>").alias("offsets")).union(partial)
+    marks = marks.groupBy("key").agg(F.collect_list(F.struct("h", "u", "offsets")).alias("marks"))
+    joined = rows.join(marks.hint("shuffle_hash"), "key", "left").select("text", "marks", "doc_id", *keep)
 
     def each(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
-            for row in batch.select(["text", "listed", "partial"]).to_pylist():
-                whole = {(x["h"], x["u"]) for x in row["listed"] if x["whole"]}
-                runs = removed_runs(row["text"], whole, {(x["h"], x["u"]): x["offsets"] for x in row["partial"] or ()}, length, seed)
+            for text, marked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                whole = {(x["h"], x["u"]) for x in marked or () if x["offsets"] is None}
+                runs = removed_runs(text, whole, {(x["h"], x["u"]): x["offsets"] for x in marked if x["offsets"] is not None}, length, seed) if marked else []
                 left, at, digest = [], 0, hashlib.sha256()
                 for a, b in runs:
-                    left.append(row["text"][at:a])
+                    left.append(text[at:a])
                     at = b
-                left.append(row["text"][at:])
+                left.append(text[at:])
                 for piece in left:
                     digest.update(piece)
-                out.append((sum(b - a for a, b in runs), len(runs), digest.hexdigest(), b"".join(left) if texts else None))
-            made = [pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-            rest = [c for c in batch.schema.names if c not in ("text", "listed", "partial")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *made], names=[*rest, "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[3:]) + ", n_removed long, n_spans long, kept_sha256 string, kept binary"
-    cut = joined.mapInArrow(each, schema)
-    zero = F.lit(0).cast("long")
-    clean = both.filter("listed is null").select("doc_id", *keep, "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.col("text").alias("kept") if texts else F.lit(None).cast("binary").alias("kept"))
-    out = clean.unionByName(cut)
-    return out if texts else out.drop("kept")
+                out.append((len(text), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), b"".join(left) if texts else None))
+            made = [pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))][: 4 + texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *made], names=[*batch.schema.names[2:], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(batch.schema.names) + 2 + texts])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[2:]) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
+    return joined.mapInArrow(each, schema)
 
 
 class Levels:
