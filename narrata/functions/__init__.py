@@ -1 +1 @@
-"""Spark-native narrative text analytics."""
+"""Column functions: text primitives, word lists, scores and labels."""

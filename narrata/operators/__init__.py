@@ -1 +1 @@
-"""Spark-native narrative text analytics."""
+"""Operators: functions from DataFrames to DataFrames."""

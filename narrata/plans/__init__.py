@@ -1 +1 @@
-"""Spark-native narrative text analytics."""
+"""Registered queries, their fixtures and the SQL they are held against."""
