@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import block_queries, text_queries
 
-MODULES = [text_queries]
+MODULES = [text_queries, block_queries]
 
 
 def queries() -> dict:
