@@ -27,6 +27,10 @@ LENGTH = 200
 SEED = 72
 #: Bytes of a text that are hashed at once.
 BLOCK = 1 << 20
+#: Windows that are compared at once in a task.
+AT_ONCE = 1 << 20
+#: Seeds around which more stretches differ than this are compared by window over all tasks instead of in one.
+WIDE = 1 << 17
 
 
 class Hasher:
@@ -97,10 +101,14 @@ class Hasher:
             parts.append((h[anchor].view(np.int64), u.view(np.int64), anchor + at, first + at, last + at))
         return tuple(np.concatenate(x) for x in zip(*parts))
 
-    def window_hashes(self, context: bytes, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all windows around an anchor in a context, and where the anchor lies in each."""
+    def tagged(self, values: np.ndarray, offsets: np.ndarray, h: int) -> np.ndarray:
+        """Window hashes with the place in the window and the seed's hash mixed in: only windows of one seed meet."""
+        return self.mix(values + offsets.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)) ^ np.uint64(h % 2**64)
+
+    def window_hashes(self, context: bytes, anchor: int, least: int = 0, upto: int = 1 << 30) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the windows around an anchor in a context, and where the anchor lies in each, from least to under upto."""
         data = np.frombuffer(context, np.uint8)
-        low, high = max(0, anchor + self.seed - self.length), min(anchor, len(data) - self.length)
+        low, high = max(0, anchor + self.seed - self.length, anchor - upto + 1), min(anchor - least, len(data) - self.length)
         if high < low:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         start = np.arange(low, high + 1)
@@ -128,15 +136,16 @@ def entries(texts: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFra
     return texts.select("key", "text").mapInArrow(each, "h long, u long, key long, c int")
 
 
-def repeats(found: DataFrame) -> DataFrame:
-    """Entries that matter (key, h, u, whole, show): ``whole`` repeats as it is, ``show`` has to be compared.
+def repeats(found: DataFrame, wide: int = WIDE) -> DataFrame:
+    """Entries that matter (key, h, u, whole, show, wide): ``whole`` repeats as it is, ``show`` has to be compared.
 
     A seed that stands once is dropped. Where stretches differ around a seed, one entry of each is shown.
     """
     by_h, by_u = Window.partitionBy("h"), Window.partitionBy("h", "u")
     met = found.withColumn("all", F.sum("c").over(by_h)).withColumn("low", F.min("u").over(by_h)).withColumn("high", F.max("u").over(by_h)).filter("all > 1")
     met = met.withColumn("here", F.sum("c").over(by_u)).withColumn("first", F.min("key").over(by_u))
-    return met.select("key", "h", "u", (F.col("here") > 1).alias("whole"), ((F.col("low") != F.col("high")) & (F.col("key") == F.col("first"))).alias("show")).filter("whole or show")
+    met = met.withColumn("show", (F.col("low") != F.col("high")) & (F.col("key") == F.col("first"))).withColumn("shown", F.sum(F.col("show").cast("int")).over(by_h))
+    return met.select("key", "h", "u", (F.col("here") > 1).alias("whole"), "show", (F.col("shown") > wide).alias("wide")).filter("whole or show")
 
 
 def _slices(batches, rows: int = 256):
@@ -147,25 +156,51 @@ def _slices(batches, rows: int = 256):
 
 
 def _contexts(rows: DataFrame, length: int, seed: int) -> DataFrame:
-    """(h, u, key, whole, anchor, context) of the shown entries of texts (key, text, shown)."""
+    """(h, u, key, whole, wide, anchor, context) of the shown entries of texts (key, text, shown)."""
 
     def each(batches):
         hasher = Hasher.of(length, seed)
         for batch in _slices(batches):
             out = []
             for row in batch.to_pylist():
-                shown = {(x["h"], x["u"]): x["whole"] for x in row["shown"]}
+                shown = {(x["h"], x["u"]): (x["whole"], x["wide"]) for x in row["shown"]}
                 text = row["text"]
                 h, u, anchor, _, _ = hasher.anchors(text)
                 for a, b, p in zip(h.tolist(), u.tolist(), anchor.tolist()):
                     if (a, b) in shown:
                         low = max(0, p + seed - length)
-                        out.append((a, b, row["key"], shown.pop((a, b)), p - low, text[low : p + length]))
-            names = ["h", "u", "key", "whole", "anchor", "context"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+                        out.append((a, b, row["key"], *shown.pop((a, b)), p - low, text[low : p + length]))
+            names = ["h", "u", "key", "whole", "wide", "anchor", "context"]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return rows.select("key", "text", "shown").mapInArrow(each, "h long, u long, key long, whole boolean, anchor int, context binary")
+    return rows.select("key", "text", "shown").mapInArrow(each, "h long, u long, key long, whole boolean, wide boolean, anchor int, context binary")
+
+
+def _ranges(rows: np.ndarray, offsets: np.ndarray):
+    """(row, low, high) of runs of offsets that go down one by one within a row."""
+    if len(rows):
+        cut = np.flatnonzero((np.diff(rows) != 0) | (np.diff(offsets) != -1)) + 1
+        for a, b in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(rows)]))):
+            yield int(rows[a]), int(offsets[b - 1]), int(offsets[a])
+
+
+def _spread(contexts: DataFrame, length: int, seed: int) -> DataFrame:
+    """As ``_compared``, with a row a window: no task holds all that share a seed."""
+
+    def each(batches):
+        hasher = Hasher.of(length, seed)
+        for batch in _slices(batches):
+            h, u, key, whole, anchor, context = (batch.column(c).to_pylist() for c in ("h", "u", "key", "whole", "anchor", "context"))
+            got = [hasher.window_hashes(x, a) for x, a in zip(context, anchor)]
+            n = [len(x) for x, _ in got]
+            values = [hasher.tagged(x, o, a).view(np.int64) for (x, o), a in zip(got, h)]
+            repeat = lambda x, kind: pa.array(np.repeat(np.array(x), n), kind)  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), repeat(h, pa.int64()), repeat(u, pa.int64()), repeat(key, pa.int64()), repeat(whole, pa.bool_()), pa.array(np.concatenate([o for _, o in got]))], names=["w", "h", "u", "key", "whole", "o"])
+
+    rows = contexts.dropDuplicates(["h", "u"]).mapInArrow(each, "w long, h long, u long, key long, whole boolean, o long")
+    again = rows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
+    return rows.filter("not whole").join(again, "w", "left_semi").groupBy("key", "h", "u").agg(F.collect_list(F.array("o", "o")).alias("offsets"))
 
 
 def _compared(contexts: DataFrame, length: int, seed: int, partitions: int) -> DataFrame:
@@ -188,40 +223,43 @@ def _compared(contexts: DataFrame, length: int, seed: int, partitions: int) -> D
         h, u = table.column("h").to_numpy(), table.column("u").to_numpy()
         # copies of a text show the same entry
         once = np.flatnonzero(np.concatenate(([True], (np.diff(h) != 0) | (np.diff(u) != 0))))
-        table, h, u = table.take(pa.array(once)), h[once], u[once]
-        anchors, whole = table.column("anchor").to_numpy(), np.array(table.column("whole").to_pylist(), bool)
-        values, rows, offsets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, context in enumerate(table.column("context").to_pylist()):
-            x, o = hasher.window_hashes(context, int(anchors[i]))
-            # the seed's hash and the place in the window go into the value: only windows of one h meet
-            values.append(hasher.mix(x + o.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)) ^ np.uint64(int(h[i]) % 2**64))
-            rows.append(np.full(len(x), i))
-            offsets.append(o)
-        values, rows, offsets = map(np.concatenate, (values, rows, offsets))
-        order = np.argsort(values, kind="stable")
-        same = np.diff(values[order]) == 0
-        again = np.zeros(len(order), bool)
-        again[order] = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(order) else False
-        again &= ~whole[rows] if len(rows) else again
-        at, where = rows[again], offsets[again]
-        edges = np.flatnonzero(np.diff(at)) + 1
-        found = [at[x] for x in np.concatenate(([0], edges))] if len(at) else []
-        lists = [x.astype(np.int64).tolist() for x in np.split(where, edges)] if len(at) else []
-        keys = table.column("key").to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(keys[found] if len(found) else [], pa.int64()), pa.array(h[found] if len(found) else [], pa.int64()), pa.array(u[found] if len(found) else [], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["key", "h", "u", "offsets"])
-
-    return contexts.repartition(partitions, "h").sortWithinPartitions("h", "u").mapInArrow(each, "key long, h long, u long, offsets array<long>")
+        table = table.take(pa.array(once)).combine_chunks()
+        h, u, keys, anchors = (table.column(c).to_numpy() for c in ("h", "u", "key", "anchor"))
+        whole = table.column("whole").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+        contexts = table.column("context")
+        found: dict[int, list[list[int]]] = {}
+        step = max(1, AT_ONCE // max(1, len(h)))
+        for least in range(0, hasher.windows, step):
+            values, sizes, offsets = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)]
+            for i, context in enumerate(contexts):
+                x, o = hasher.window_hashes(context.as_py(), int(anchors[i]), least, least + step)
+                values.append(hasher.tagged(x, o, int(h[i])))
+                sizes.append(len(x))
+                offsets.append(o)
+            values, offsets, rows = np.concatenate(values), np.concatenate(offsets), np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(values, kind="stable")
+            same = np.diff(values[order]) == 0
+            again = np.zeros(len(order), bool)
+            again[order] = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(order) else False
+            again &= ~whole[rows]
+            for i, a, b in _ranges(rows[again], offsets[again]):
+                found.setdefault(i, []).append([a, b])
+        at = sorted(found)
+        pairs = pa.array([found[i] for i in at], pa.list_(pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays([pa.array(keys[at], pa.int64()), pa.array(h[at], pa.int64()), pa.array(u[at], pa.int64()), pairs], names=["key", "h", "u", "offsets"])
+
+    return contexts.repartition(partitions, "h").sortWithinPartitions("h", "u").mapInArrow(each, "key long, h long, u long, offsets array<array<long>>")
 
 
 def removed_runs(text: bytes, whole: set, partial: dict, length: int = LENGTH, seed: int = SEED) -> list[tuple[int, int]]:
-    """Maximal runs of bytes to remove: whole stretches, and the windows named by the anchor's place in them."""
+    """Maximal runs of bytes to remove: whole stretches, and windows named by ranges of the anchor's place in them."""
     h, u, anchor, first, last = Hasher.of(length, seed).anchors(text)
     spans = []
     for entry, p, a, b in zip(zip(h.tolist(), u.tolist()), anchor.tolist(), first.tolist(), last.tolist()):
         if entry in whole:
             spans.append((a, b + length))
         else:
-            spans.extend((p - o, p - o + length) for o in sorted(partial.get(entry, ()), reverse=True))
+            spans.extend((p - high, p - low + length) for low, high in partial.get(entry, ()))
     runs: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if runs and a <= runs[-1][1]:
@@ -232,7 +270,7 @@ def removed_runs(text: bytes, whole: set, partial: dict, length: int = LENGTH, s
     return runs
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, texts: bool = False, keep=()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, texts: bool = False, keep=(), wide: int = WIDE) -> DataFrame:
     """doc_id, ``keep``, n_bytes, n_removed, n_spans, kept_sha256 and, if ``texts``, the bytes left, a row a document.
 
     Each byte goes that is covered by a string of ``length`` bytes which starts anywhere else too, in the same
@@ -245,27 +283,46 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", *keep, F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
     # what an entry is holds wherever it stands, so texts whose keys meet by chance may share a list
-    met = stored(repeats(entries(rows, length, seed)), "repeats")
-    shown = met.filter("show").groupBy("key").agg(F.collect_list(F.struct("h", "u", "whole")).alias("shown"))
-    partial = _compared(_contexts(rows.join(shown.hint("shuffle_hash"), "key"), length, seed), length, seed, n)
-    marks = met.filter("whole").select("key", "h", "u", F.lit(None).cast("array<long>").alias("offsets")).union(partial)
+    met = stored(repeats(entries(rows, length, seed), wide), "repeats")
+    shown = met.filter("show").groupBy("key").agg(F.collect_list(F.struct("h", "u", "whole", "wide")).alias("shown"))
+    contexts = _contexts(rows.join(shown.hint("shuffle_hash"), "key"), length, seed)
+    if met.filter("show and wide").head(1):
+        contexts = stored(contexts, "contexts")
+        partial = _compared(contexts.filter("not wide"), length, seed, n).union(_spread(contexts.filter("wide"), length, seed))
+    else:
+        partial = _compared(contexts, length, seed, n)
+    marks = met.filter("whole").select("key", "h", "u", F.lit(None).cast("array<array<long>>").alias("offsets")).union(partial)
     marks = marks.groupBy("key").agg(F.collect_list(F.struct("h", "u", "offsets")).alias("marks"))
     joined = rows.join(marks.hint("shuffle_hash"), "key", "left").select("text", "marks", "doc_id", *keep)
 
+    def cut(text, marked):
+        whole = {(x["h"], x["u"]) for x in marked or () if x["offsets"] is None}
+        runs = removed_runs(text, whole, {(x["h"], x["u"]): x["offsets"] for x in marked if x["offsets"] is not None}, length, seed) if marked else []
+        left, at, digest = [], 0, hashlib.sha256()
+        for a, b in runs:
+            left.append(text[at:a])
+            at = b
+        left.append(text[at:])
+        for piece in left:
+            digest.update(piece)
+        return len(text), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), b"".join(left) if texts else None
+
     def each(batches):
+        done: dict[bytes, tuple] = {}
+        held = 0
         for batch in _slices(batches):
             out = []
-            for text, marked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                whole = {(x["h"], x["u"]) for x in marked or () if x["offsets"] is None}
-                runs = removed_runs(text, whole, {(x["h"], x["u"]): x["offsets"] for x in marked if x["offsets"] is not None}, length, seed) if marked else []
-                left, at, digest = [], 0, hashlib.sha256()
-                for a, b in runs:
-                    left.append(text[at:a])
-                    at = b
-                left.append(text[at:])
-                for piece in left:
-                    digest.update(piece)
-                out.append((len(text), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), b"".join(left) if texts else None))
+            for text, marked in zip(batch.column(0), batch.column(1)):
+                text = text.as_py()
+                result = done.get(text) if marked.is_valid else cut(text, None)
+                if result is None:  # copies of a text come to one task; each is cut once
+                    result = cut(text, marked.as_py())
+                    held += len(text) * (1 + texts)
+                    if held > 16 << 20:
+                        done, held = {}, 0
+                    else:
+                        done[text] = result
+                out.append(result)
             made = [pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))][: 4 + texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], *made], names=[*batch.schema.names[2:], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(batch.schema.names) + 2 + texts])
 
