@@ -102,13 +102,10 @@ def unicode_normal(t, compose: bool = False) -> Column:
 
 
 def composed(t) -> Column:
-    """Canonical composition, which has no built-in; texts of ASCII alone do not pass through Python."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def nfc(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFC")
+    """Canonical composition, which has no built-in; texts go through Python in Arrow batches."""
+    from pyspark.sql.pandas.functions import PandasUDFType, pandas_udf
 
+    nfc = pandas_udf(lambda texts: texts.str.normalize("NFC"), "string", PandasUDFType.SCALAR)
     return nfc(c(t))
 
 

@@ -1 +1 @@
-"""Spark-native narrative text analytics."""
+"""Structured Streaming: sessions, windows, thinning and duplicates over event streams, with watermarks."""
