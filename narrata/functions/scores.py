@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,36 +71,60 @@ def word_score(w: Column) -> Column:
     return F.coalesce(of(w), F.when(F.length(stem) >= 3, of(stem)))
 
 
+def _trie(words) -> str:
+    """A regex for any of the words that shares their beginnings, so a mismatch ends after few letters."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        parts = [re.escape(ch) + written(rest) for ch, rest in sorted(node.items()) if ch]
+        body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")" if parts else ""
+        return f"(?:{body})?" if "" in node and parts else body
+
+    return written(tree)
+
+
+#: All words that count: scored ones, their forms with one suffix, negations and intensifiers.
+TELLING = _trie({*LEXICON, *(w + s for w in LEXICON for s in SUFFIXES), *NEGATIONS, *INTENSIFIERS})
+
+
 def sentiment(text) -> Column:
     """struct<score, raw_score, hits, emotion, confidence> of a passage.
 
+    Passages without a telling word are done after one regex; of the others only the telling words are folded, with
+    their places: a negation works on the two words after it, an intensifier on the next word that is no negation.
     Contributions are fortieths, so that sums are exact whatever their order.
     """
     lowered = F.regexp_replace(F.lower(c(text)), r"[^a-z'\s-]", "")
-    tokens = F.filter(F.split(lowered, r"\s+"), lambda w: w != "")
     tenths = F.create_map(*[F.lit(x) for w, m in INTENSIFIERS.items() for x in (w, round(m * 10))])
-    start = F.struct(F.lit(0).alias("i"), F.lit(-9).alias("neg"), F.lit(10).alias("by"), F.lit(0).cast("long").alias("raw"), F.lit(0).alias("hits"))
+    # chain: the place up to which an intensifier carries
+    start = F.struct(F.lit(-9).alias("neg"), F.lit(-9).alias("chain"), F.lit(10).alias("by"), F.lit(0).cast("long").alias("raw"), F.lit(0).alias("hits"))
 
-    def step(acc: Column, w: Column) -> Column:
+    def step(acc: Column, t: Column) -> Column:
+        w, i = t["w"], t["i"]
+        state = lambda neg, chain, by, raw, hits: F.struct(neg.alias("neg"), chain.alias("chain"), by.alias("by"), raw.alias("raw"), hits.alias("hits"))
+        carried = F.when(acc["chain"] == i - 1, acc["by"]).otherwise(10)
         by = F.try_element_at(tenths, w)
-        state = lambda neg, b, raw, hits: F.struct((acc["i"] + 1).alias("i"), neg.alias("neg"), b.alias("by"), raw.alias("raw"), hits.alias("hits"))
         scored = let(
             word_score(w),
-            lambda s: F.when(s.isNull(), state(acc["neg"], F.lit(10), acc["raw"], acc["hits"])).otherwise(
-                state(acc["neg"], F.lit(10), acc["raw"] + (s * acc["by"] * F.when(acc["i"] - acc["neg"] <= 2, -3).otherwise(4)).cast("long"), acc["hits"] + 1)
+            lambda s: F.when(s.isNull(), state(acc["neg"], F.lit(-9), F.lit(10), acc["raw"], acc["hits"])).otherwise(
+                state(acc["neg"], F.lit(-9), F.lit(10), acc["raw"] + (s * carried * F.when(i - acc["neg"] <= 2, -3).otherwise(4)).cast("long"), acc["hits"] + 1)
             ),
         )
-        return F.when(w.isin(*NEGATIONS), state(acc["i"], acc["by"], acc["raw"], acc["hits"])).when(by.isNotNull(), state(acc["neg"], by, acc["raw"], acc["hits"])).otherwise(scored)
-
-    def finish(acc: Column) -> Column:
-        raw = acc["raw"] / 40.0
-        norm = clamp(raw / F.greatest(F.lit(1), acc["hits"] * 2), -1.0, 1.0)
-        return F.struct(
-            rounded(norm, 3).alias("score"),
-            rounded(raw, 2).alias("raw_score"),
-            acc["hits"].cast("long").alias("hits"),
-            emotion(norm).alias("emotion"),
-            rounded(acc["hits"] / F.greatest(F.lit(1), acc["i"]), 3).alias("confidence"),
-        )
+        return F.when(w.isin(*NEGATIONS), state(i, i, carried, acc["raw"], acc["hits"])).when(by.isNotNull(), state(acc["neg"], i, by, acc["raw"], acc["hits"])).otherwise(scored)
+
+    def result(raw: Column, hits: Column, n: Column) -> Column:
+        norm = clamp(raw / F.greatest(F.lit(1), hits * 2), -1.0, 1.0)
+        return F.struct(rounded(norm, 3).alias("score"), rounded(raw, 2).alias("raw_score"), hits.cast("long").alias("hits"), emotion(norm).alias("emotion"), rounded(hits / F.greatest(F.lit(1), n), 3).alias("confidence"))
+
+    def folded(tokens: Column) -> Column:
+        placed = F.filter(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda t: F.regexp_like(t["w"], F.lit(f"^(?:{TELLING})\\z")))
+        return F.aggregate(placed, start, step, lambda acc: result(acc["raw"] / 40.0, acc["hits"], F.size(tokens)))
 
-    return F.aggregate(tokens, start, step, finish)
+    tokens = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    none = F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("raw_score"), F.lit(0).cast("long").alias("hits"), F.lit("neutral").alias("emotion"), F.lit(0.0).alias("confidence"))
+    return let(lowered, lambda t: F.when(F.regexp_like(t, F.lit(f"(?:^|\\s)(?:{TELLING})(?:\\s|\\z)")), let(tokens(t), folded)).otherwise(none))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import jobs, markup, pacing, packing, passages, reader, requests, vectors
 from . import sql
 from .fixtures import cte, table
-from .text_queries import TEXTS, texts
+from .text_queries import TEXTS, documents, texts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -153,7 +153,7 @@ def speakers(spark, sf_dir):
 
 @query("markup_blocks")
 def markup_blocks(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return markup.parsed(docs.unionByName(table(spark, "fx_markup").withColumn("doc_id", -F.col("doc_id"))))
 
 
@@ -166,7 +166,7 @@ g AS (SELECT doc_id, lower({sql.trim("regexp_extract(text, '(?i)\\[GENRE:\\s*([^
 SELECT doc_id, CASE WHEN genre IN ({", ".join(map(sql.q, markup.GENRES))}) THEN genre END AS genre, array_to_string(tones, '|') AS tones, summary FROM g""",
 )
 def document_tags(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return markup.document_tags(docs.unionByName(table(spark, "fx_markup").withColumn("doc_id", -F.col("doc_id"))))
 
 

@@ -12,7 +12,7 @@ from ..streaming import events as streams
 from . import sql
 from .block_queries import BLOCKS, blocks
 from .fixtures import cte, table
-from .text_queries import PARAS, TEXTS, line_texts, texts
+from .text_queries import PARAS, TEXTS, documents, line_texts, texts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -186,7 +186,7 @@ def verse(spark, sf_dir):
 
 @query("titles")
 def titles(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return dialogue.titles(docs.unionByName(table(spark, "fx_books").withColumn("doc_id", -F.col("doc_id"))))
 
 
@@ -272,7 +272,7 @@ def file_names(spark, sf_dir):
 
 def _tokens(spark, sf_dir):
     """Words of documents as positioned tokens: twelve a line, forty lines a page, placed with a little noise."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("i", "text"))
+    docs = documents(spark, sf_dir).select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("i", "text"))
     line = F.floor(F.col("i") / 12)
     return docs.select("doc_id", F.floor(line / 40).cast("int").alias("page"), "text", ((F.col("i") % 12) * 40.0).alias("x"), (800.0 - (line % 40) * 12.0 + (F.col("i") % 2)).alias("y"))
 

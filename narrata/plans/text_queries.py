@@ -25,9 +25,19 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input of few splits over all cores; one with splits enough is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents and the fixture passages, whose ids are negative."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return docs.unionByName(table(spark, "fx_passages").withColumn("doc_id", -F.col("doc_id")))
 
 
@@ -36,7 +46,7 @@ TEXTS = f"{cte('fx_passages')}, texts AS (SELECT doc_id, text FROM documents UNI
 
 def line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as paragraphs, and the fixture paragraphs, whose ids are negative."""
-    lines = passages.line_rows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "pos", F.col("line").alias("text"))
+    lines = passages.line_rows(documents(spark, sf_dir)).select("doc_id", "pos", F.col("line").alias("text"))
     return lines.unionByName(table(spark, "fx_paragraphs").withColumn("doc_id", -F.col("doc_id")))
 
 
@@ -165,7 +175,7 @@ def token_counts(spark, sf_dir):
 
 
 def _raw(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return docs.unionByName(table(spark, "fx_raw").withColumn("doc_id", -F.col("doc_id")))
 
 
@@ -301,5 +311,5 @@ def layout_scenes(spark, sf_dir):
 
 @query("chapters")
 def book_chapters(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return chapters.chapters(docs.unionByName(table(spark, "fx_books").withColumn("doc_id", -F.col("doc_id"))))
