@@ -60,6 +60,23 @@ def sentences_kept(t) -> Column:
     return _parts(c(t), r"(?<=[.!?][\"”']?)\s+")
 
 
+def _careful() -> str:
+    """White space after a true sentence end: not after abbreviations, initials, ellipses, or a number that goes on."""
+    from .lexicon import ABBREVIATIONS
+
+    close = "[\"'”’)\\]]{0,4}"
+    words = "|".join(ABBREVIATIONS)
+    return (
+        rf"(?<=[.!?]{close})(?<!\.\.\.{close})(?<!…[.!?]{close})(?<!(?<![A-Za-z])(?i:{words})\.{close})(?<!(?<![A-Za-z])[A-Z]\.{close})"
+        rf"(?!(?<=\d\.{close})\s+[a-z\d])\s+"
+    )
+
+
+def sentences_careful(t) -> Column:
+    """Sentences that know abbreviations, decimals, initials and ellipses, with their marks and closing quotes."""
+    return _parts(c(t), _careful())
+
+
 def paragraphs(t) -> Column:
     """Parts between blank lines, which may hold white space."""
     return _parts(c(t), r"\n\s*\n")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import cases, sentiment
-from ..functions.text import c, clamp, let, lines, rounded, sentences, spaces_normal, trimmed, whole
+from ..functions.text import c, clamp, let, lines, spaces_normal, trimmed, whole
 from .passages import readability
 from .scenes import L, R
 
@@ -83,18 +83,16 @@ def analysis(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     base = base.select(
         key,
         "t",
-        n(F.col("t")).cast("long").alias("words"),
-        F.size(sentences("t")).cast("long").alias("sentences"),
         F.size("_l").cast("long").alias("lines"),
         F.size(F.filter("_l", lambda x: F.regexp_like(x, F.lit(DIALOGUE_LINE)))).cast("long").alias("dialogue_lines"),
         F.size(F.filter("_l", lambda x: n(x) <= 6)).cast("long").alias("short_lines"),
-        F.col("_s.score").alias("charge"),
+        F.abs("_s.score").alias("charge"),
     )
-    ease = readability(df, key, text).select(key, "reading_ease")
+    ease = readability(df, key, text).select(key, "words", "sentences", "reading_ease")
     out = base.join(ease, key)
     return out.select(
         key, "words", "sentences", "dialogue_lines", "short_lines", "reading_ease", tension("t", F.col("short_lines"), F.col("charge")).alias("tension"), "charge",
-        F.when(F.col("lines") > 0, rounded(F.col("dialogue_lines") / F.col("lines"), 3)).otherwise(0.0).alias("dialogue_ratio"),
+        F.when(F.col("lines") > 0, F.col("dialogue_lines") / F.col("lines")).otherwise(0.0).alias("dialogue_ratio"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions.scores import sentiment
-from ..operators import chapters, dialogue, ingest, markup, metadata, pacing, passages, requests, scenes
+from ..operators import chapters, dialogue, ingest, markup, metadata, pacing, passages, requests, scenes, staging
 from ..sources import books, files, positioned
 from ..streaming import events as streams
 from . import sql
@@ -126,9 +126,9 @@ a AS (SELECT doc_id, coalesce(text, '') AS t FROM texts),
 b AS (SELECT doc_id, t, {n.format('t')} AS words, len({sents}) AS sentences, list_filter(list_transform(string_split(t, chr(10)), lambda l: {sql.trim('l')}), lambda l: l <> '') AS ls,
   greatest(1, len({words})) AS w, greatest(1, len({sents})) AS s, coalesce(list_sum(list_transform({words}, lambda x: {_syllables('x')})), 0) AS y FROM a),
 d AS (SELECT *, len(list_filter(ls, lambda l: regexp_matches(l, {sql.q(dialogue.DIALOGUE_LINE)}))) AS dialogue_lines, len(list_filter(ls, lambda l: {n.format('l')} <= 6)) AS short_lines FROM b),
-scene AS (SELECT d.doc_id, d.words, d.sentences, d.dialogue_lines, d.short_lines, {_EASE} AS reading_ease,
+scene AS (SELECT d.doc_id, d.w::BIGINT AS words, d.s::BIGINT AS sentences, d.dialogue_lines, d.short_lines, {_EASE} AS reading_ease,
   floor(greatest(0, least(100, len(regexp_extract_all(t, {_q('(?i)' + _B + dialogue.TENSION_CUES + _B)})) * 14 + (length(t) - length(replace(t, '!', ''))) * 4 + abs(senti.score) * 35 + short_lines * 3)) + 0.5)::BIGINT AS tension,
-  senti.score AS charge, CASE WHEN len(ls) > 0 THEN floor(dialogue_lines::DOUBLE / len(ls) * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE ELSE 0.0 END AS dialogue_ratio FROM d JOIN senti USING (doc_id))"""
+  abs(senti.score) AS charge, CASE WHEN len(ls) > 0 THEN dialogue_lines::DOUBLE / len(ls) ELSE 0.0 END AS dialogue_ratio FROM d JOIN senti USING (doc_id))"""
 
 
 @query("scene_analysis", f"{_scene_sql()} SELECT * FROM scene")
@@ -190,6 +190,31 @@ def titles(spark, sf_dir):
     return dialogue.titles(docs.unionByName(table(spark, "fx_books").withColumn("doc_id", -F.col("doc_id"))))
 
 
+@query("careful_sentences")
+def careful_sentences(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", F.posexplode(fx.sentences_careful(F.coalesce("text", F.lit("")))).alias("pos", "sentence"))
+
+
+@query("rebuilt_paragraphs")
+def rebuilt_paragraphs(spark, sf_dir):
+    return staging.rebuilt_texts(texts(spark, sf_dir))
+
+
+@query("staged_scenes")
+def staged_scenes(spark, sf_dir):
+    return staging.staged(table(spark, "fx_passages").unionByName(_joined_paragraphs(spark)))
+
+
+def _joined_paragraphs(spark):
+    p = table(spark, "fx_paragraphs")
+    return p.groupBy((F.col("doc_id") + 100).alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+
+
+@query("paragraph_moods")
+def paragraph_moods(spark, sf_dir):
+    return line_texts(spark, sf_dir).select("doc_id", "pos", staging.mood("text").alias("m")).select("doc_id", "pos", "m.*")
+
+
 @query("original_mode")
 def original_mode(spark, sf_dir):
     return dialogue.original(texts(spark, sf_dir))

@@ -195,3 +195,33 @@ def test_packings_lose_nothing(spark, t):
     bare = lambda x: "".join(x.split())
     assert bare("".join(r.text for r in packing.pages(df, 10, 3).orderBy("page", "line").collect())) == bare(t)
     assert bare("".join(r.text for r in packing.line_chunks(df, 12).orderBy("chunk").collect())) == bare(t)
+
+
+def test_careful_sentences(spark):
+    s = lambda t: one(spark, text.sentences_careful("t"), t=t)
+    assert s("Dr. Reed paid 3.50 for it... then he left. Mr. Fox came in at noon.") == ["Dr. Reed paid 3.50 for it... then he left.", "Mr. Fox came in at noon."]
+    assert s('He said "Go!" Then J. Smith ran. It cost 3. 5 more came.') == ['He said "Go!"', "Then J. Smith ran.", "It cost 3. 5 more came."]
+    assert s("") == [] and s("What?! No.") == ["What?!", "No."]
+
+
+def test_staging(spark):
+    from narrata.operators import staging
+
+    t = 'The old mill stood by the river. She wondered what it held inside.\n\nSuddenly a gunshot! "Run!" he cried. The door slammed. Blood and panic. They fight now!'
+    rows = staging.staged(spark.createDataFrame([(1, t), (2, "")], "doc_id long, text string")).orderBy("scene").collect()
+    assert [r.scene for r in rows] == [1, 2] and rows[0].transition is None and rows[1].transition == "SMASH CUT"
+    assert "[REFLECTION]" in rows[0].text and "[TENSION]" in rows[1].text and "[SFX: gunshot]" in rows[1].text
+    bare = lambda x: "".join(x.split())
+    kept = bare("".join(line for r in rows for line in r.text.split("\n") if not line.startswith("[")))
+    assert kept == bare(t)
+    parsed = markup.parsed(spark.createDataFrame([(1, rows[1].text)], "doc_id long, text string")).collect()
+    assert {"transition", "title_card", "sfx", "action"} <= {r.type for r in parsed}
+
+
+def test_rebuilding_loses_nothing(spark):
+    from narrata.operators import staging
+
+    t = "THE HEADING\n\nA line that is bro-\nken here.\nAnother one. And more. Yet more. Still more. \"Speech,\" he said.\n\nshort\nverse\nlines"
+    out = staging.rebuilt_texts(spark.createDataFrame([(1, t), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    bare = lambda x: "".join(x.split())
+    assert bare(out[0].text) == bare(t) and out[0].text.startswith("THE HEADING\n\n") and out[1].text == ""
