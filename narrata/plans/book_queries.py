@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions.scores import sentiment
-from ..operators import chapters, dialogue, ingest, markup, metadata, pacing, passages, requests, scenes, staging
+from ..operators import chapters, dialogue, ingest, markup, metadata, pacing, passages, plain, requests, scenes, staging
 from ..sources import books, files, positioned
 from ..streaming import events as streams
 from . import sql
@@ -210,6 +210,11 @@ def _joined_paragraphs(spark):
     return p.groupBy((F.col("doc_id") + 100).alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
 
 
+@query("plain_blocks")
+def plain_blocks(spark, sf_dir):
+    return plain.plain_blocks(texts(spark, sf_dir).unionByName(_joined_paragraphs(spark)))
+
+
 @query("paragraph_moods")
 def paragraph_moods(spark, sf_dir):
     return line_texts(spark, sf_dir).select("doc_id", "pos", staging.mood("text").alias("m")).select("doc_id", "pos", "m.*")

@@ -225,3 +225,16 @@ def test_rebuilding_loses_nothing(spark):
     out = staging.rebuilt_texts(spark.createDataFrame([(1, t), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
     bare = lambda x: "".join(x.split())
     assert bare(out[0].text) == bare(t) and out[0].text.startswith("THE HEADING\n\n") and out[1].text == ""
+
+
+def test_plain_blocks(spark):
+    from narrata.operators import plain
+
+    t = 'Chapter 1\n\nMara walked to the gate. A door closed.\n\n"Who is there?" said Tom.\n\nMara, pale, said nothing. "Go!"\n\n*I must run*\n\nHe wondered why.\n\nTHE END\n\nSuddenly nothing was left.'
+    rows = plain.plain_blocks(spark.createDataFrame([(1, t), (2, None)], "doc_id long, text string")).orderBy("pos").collect()
+    kinds = [(r.type, r.speaker) for r in rows]
+    assert ("dialogue", "TOM") in kinds and ("dialogue", "MARA") in kinds
+    assert [r.content for r in rows if r.type == "inner_thought"] == ["I must run", "He wondered why."]
+    assert ("SFX: DOOR", "medium") in [(r.content, r.sfx_intensity) for r in rows]
+    assert {"CHAPTER 1", "THE END"} <= {r.content for r in rows if r.type == "title_card"}
+    assert [r.transition for r in rows if r.type == "transition"] == ["FADE IN", "FADE IN", "CUT TO"]
