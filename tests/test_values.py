@@ -175,10 +175,13 @@ def test_files(spark, tmp_path):
 
 
 def test_boundaries(spark):
-    pages = spark.createDataFrame([(1, p, f"Title {p}\nline of {p}\nmore\nFoot {p}") for p in range(4)], "doc_id long, page int, text string")
-    out = {r.page: r.text for r in positioned.without_boundaries(pages).collect()}
-    assert out[2] == "" or "Title" not in out[2]
-    assert all("Foot" not in t for t in out.values())
+    words = "amber birch cedar delta ember fjord grove heath".split()
+    body = lambda p: [f"{words[p % 8]} {w} {words[(p * 3 + 1) % 8]} x" * 2 for w in words]
+    rows = [(1, p, "\n".join([f"Title {p}", *body(p), "Foot", str(p)])) for p in range(8)]
+    out = {r.page: r.text for r in positioned.without_boundaries(spark.createDataFrame(rows, "doc_id long, page int, text string")).collect()}
+    assert out == {p: "\n".join(body(p)) for p in range(8)}
+    few = spark.createDataFrame([(2, 1, "only\npage"), (2, 2, "12\n---\ntext\n-"), (2, 3, "")], "doc_id long, page int, text string")
+    assert {r.page: r.text for r in positioned.without_boundaries(few).collect()} == {1: "only\npage", 2: "text", 3: ""}
 
 
 def test_upsert(spark):
