@@ -1,13 +1,16 @@
 """License scans by ordered signature rules.
 
-Each rule is a regex with a keyword, a priority and a label. Keywords gate the regexes twice: a short
-list of stems decides whether a text is looked at, and a rule's own keyword whether its regex runs.
+Each rule is a regex with a keyword, a priority and a label. Keywords gate the regexes twice: literals
+derived from the regexes decide whether a text is looked at, and a rule's own keyword whether its regex runs.
 Detections are intervals; one that lies inside another of the same or a higher priority is dropped.
 All of it is per row, inside one scan: no shuffle, no join.
 """
 
 from __future__ import annotations
 
+from re import _constants as C
+from re import _parser
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +23,6 @@ GAP = r"[^0-9A-Za-z\x80-\x{10FFFF}]"
 #: Phrases of the base scan and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: A text without any of these stems is not looked at.
-STEMS = ("licen", "spdx", "copyright", "public domain", "creativecommons", "opensource.org", "gnu.org", "gpl", "cc0", "cc by", "cc-by", "wtfpl")
-
 #: License families: label, keyword, SPDX id, name, path of its page. The signature rules are made from them.
 FAMILIES = [
     ("mit", "mit", r"MIT", r"MIT(?:/X11|/Expat)?", r"opensource\.org/licenses?/mit"),
@@ -88,6 +88,34 @@ FORMS = (
 )
 
 
+def literals(pattern: str) -> list[tuple[str, ...]]:
+    """What any match contains, lower-cased: all words of one of the tuples, the longest word first."""
+
+    def options(x) -> list[str] | None:
+        return [chr(c) for kind, c in x] if len(x) <= 4 and all(kind is C.LITERAL for kind, _ in x) else None
+
+    def walk(items, states):
+        for kind, x in items:
+            if kind is C.LITERAL:
+                states = {(words, tail + chr(x).lower()) for words, tail in states}
+            elif kind is C.SUBPATTERN:
+                states = walk(x[3], states)
+            elif kind is C.BRANCH:
+                states = set().union(*(walk(part, states) for part in x[1]))
+            elif kind is C.IN and options(x):
+                states = {(words, tail + c.lower()) for words, tail in states for c in options(x)}
+            elif kind not in (C.AT, C.ASSERT, C.ASSERT_NOT):  # what is optional or of many kinds ends a word
+                states = {(words | {tail}, "") for words, tail in states}
+                if kind in (C.MAX_REPEAT, C.MIN_REPEAT) and x[0]:
+                    states = {(words | {tail}, "") for words, tail in walk(x[2], states)}
+        return states
+
+    found = {words | {tail} for words, tail in walk(_parser.parse(pattern), {(frozenset(), "")})}
+    # a word inside another says nothing more
+    least = {tuple(sorted((w for w in words if w and not any(w != v and w in v for v in words)), key=lambda w: (-len(w), w))) for words in found}
+    return sorted(least)
+
+
 def rules() -> list[dict]:
     """The ordered signature rules: a rule for each family and form."""
     out = []
@@ -96,11 +124,20 @@ def rules() -> list[dict]:
             loose = "licen" in name.lower() or label in ("public-domain", "all-rights-reserved") or label.startswith(("cc", "gpl", "lgpl", "agpl", "apache-", "mpl", "epl"))
             body = form.replace(r"(?:\s+licen[cs]e\b)", r"(?:\s+licen[cs]e\b)?") if loose and priority == 1 else form
             key = "://" if priority == 3 and "LicenseRef" not in url else keyword
+            part = {4: spdx, 3: url}.get(priority, name)
+            fixed = {4: "spdx-license-identifier:", 2: "under"}.get(priority, "licen" if priority == 1 and body == form else "")
+            needs = sorted({tuple(sorted({*words, fixed} - {""}, key=lambda w: (-len(w), w))) for words in literals(part.replace(" ", r"\s+"))})
             pattern = body.replace("{id}", spdx).replace("{url}", url).replace("{name}", name.replace(" ", r"\s+"))
-            out.append({"label": label, "keyword": keyword if priority != 3 else url.split(r"\.")[0].split("/")[0].split("(")[0].lower(), "also": also, "priority": priority, "score": score, "pattern": pattern, "key": key})
+            out.append({"label": label, "keyword": keyword if priority != 3 else url.split(r"\.")[0].split("/")[0].split("(")[0].lower(), "also": also, "priority": priority, "score": score, "pattern": pattern, "key": key, "needs": needs})
     return out
 
 
+def stems() -> list[str]:
+    """A text without any of these cannot match a rule: a literal of each branch of each rule."""
+    keys = {words[0] for r in rules() for words in r["needs"]}
+    return sorted(k for k in keys if not any(k != other and other in k for other in keys))
+
+
 def base_pattern() -> str:
     phrases = "|".join(f"{GAP}+".join(p.split(" ")) for p in PHRASES)
     return f"(?i)(?<!{WORD})(?:{phrases})(?!{WORD})"
@@ -138,9 +175,7 @@ def scan(docs: DataFrame) -> DataFrame:
     words = lambda c: F.regexp_count(c, F.lit(f"{WORD}+"))
     none = F.array().cast("array<string>")
     table = rules()
-    look = F.lit(False)
-    for stem in STEMS:
-        look = look | F.contains("low", F.lit(stem))
+    look = F.exists(F.lit(stems()), lambda k: F.contains(F.col("low"), k))
     rows = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .withColumn("low", F.lower("text"))
