@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-Each rule is a regex with a keyword, a priority and a label. Keywords gate the regexes twice: literals
-derived from the regexes decide whether a text is looked at, and a rule's own keyword whether its regex runs.
+Each rule is a regex with a priority and a label. Words derived from the regexes gate them twice: some decide
+whether a text is looked at, and a rule's regex runs where all words of one of its branches are there.
 Detections are intervals; one that lies inside another of the same or a higher priority is dropped.
 All of it is per row, inside one scan: no shuffle, no join.
 """
@@ -23,68 +23,68 @@ GAP = r"[^0-9A-Za-z\x80-\x{10FFFF}]"
 #: Phrases of the base scan and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: License families: label, keyword, SPDX id, name, path of its page. The signature rules are made from them.
+#: License families: label, SPDX id, name, path of its page. The signature rules are made from them.
 FAMILIES = [
-    ("mit", "mit", r"MIT", r"MIT(?:/X11|/Expat)?", r"opensource\.org/licenses?/mit"),
-    ("mit-0", "mit", r"MIT-0", r"MIT No Attribution", r"opensource\.org/licenses?/mit-0"),
-    ("x11", "x11", r"X11", r"X11", r"opensource\.org/licenses?/x11"),
-    ("apache-1.1", "apache", r"Apache-1\.1", r"Apache(?: Software)?(?: License)?,? (?:version |v\.? ?)?1\.1", r"apache\.org/licenses/LICENSE-1\.1"),
-    ("apache-2.0", "apache", r"Apache-2\.0", r"Apache(?: Software)?(?: License)?,? (?:version |v\.? ?)?2(?:\.0)?", r"apache\.org/licenses/LICENSE-2\.0"),
-    ("bsd-2-clause", "bsd", r"BSD-2-Clause", r"(?:Simplified|FreeBSD|2-Clause|two-clause) BSD", r"opensource\.org/licenses?/bsd-2-clause"),
-    ("bsd-3-clause", "bsd", r"BSD-3-Clause", r"(?:New|Modified|Revised|3-Clause|three-clause) BSD", r"opensource\.org/licenses?/bsd-3-clause"),
-    ("bsd-4-clause", "bsd", r"BSD-4-Clause", r"(?:Original|4-Clause|four-clause) BSD", r"spdx\.org/licenses/BSD-4-Clause"),
-    ("0bsd", "bsd", r"0BSD", r"(?:Zero-Clause|0-Clause) BSD", r"opensource\.org/licenses?/0bsd"),
-    ("isc", "isc", r"ISC", r"ISC", r"opensource\.org/licenses?/isc"),
-    ("gpl-1.0", "1", r"GPL-1\.0(?:-only|-or-later|\+)?", r"(?:GNU )?(?:GPL|General Public License),? ?(?:version |v\.? ?)?1(?:\.0)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0"),
-    ("gpl-2.0", "2", r"GPL-2\.0(?:-only|-or-later|\+)?", r"(?:GNU )?(?:GPL|General Public License),? ?(?:version |v\.? ?)?2(?:\.0)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
-    ("gpl-3.0", "3", r"GPL-3\.0(?:-only|-or-later|\+)?", r"(?:GNU )?(?:GPL|General Public License),? ?(?:version |v\.? ?)?3(?:\.0)?", r"gnu\.org/licenses/gpl-3\.0"),
-    ("lgpl-2.0", "2", r"LGPL-2\.0(?:-only|-or-later|\+)?", r"(?:GNU )?(?:LGPL|Library General Public License),? ?(?:version |v\.? ?)?2(?:\.0)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.0"),
-    ("lgpl-2.1", "2.1", r"LGPL-2\.1(?:-only|-or-later|\+)?", r"(?:GNU )?(?:LGPL|Lesser General Public License),? ?(?:version |v\.? ?)?2\.1", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
-    ("lgpl-3.0", "3", r"LGPL-3\.0(?:-only|-or-later|\+)?", r"(?:GNU )?(?:LGPL|Lesser General Public License),? ?(?:version |v\.? ?)?3(?:\.0)?", r"gnu\.org/licenses/lgpl-3\.0"),
-    ("agpl-3.0", "3", r"AGPL-3\.0(?:-only|-or-later|\+)?", r"(?:GNU )?(?:AGPL|Affero General Public License),? ?(?:version |v\.? ?)?3(?:\.0)?", r"gnu\.org/licenses/agpl-3\.0"),
-    ("gfdl-1.3", "free doc", r"GFDL-1\.3(?:-only|-or-later)?", r"(?:GNU )?Free Documentation(?: License)?,? ?(?:version |v\.? ?)?1\.3", r"gnu\.org/licenses/fdl-1\.3"),
-    ("gfdl-1.2", "free doc", r"GFDL-1\.2(?:-only|-or-later)?", r"(?:GNU )?Free Documentation(?: License)?,? ?(?:version |v\.? ?)?1\.2", r"gnu\.org/licenses/(?:old-licenses/)?fdl-1\.2"),
-    ("mpl-1.1", "1.1", r"MPL-1\.1", r"(?:MPL|Mozilla Public License),? ?(?:version |v\.? ?)?1\.1", r"mozilla\.org/MPL/1\.1"),
-    ("mpl-2.0", "2", r"MPL-2\.0", r"(?:MPL|Mozilla Public License),? ?(?:version |v\.? ?)?2(?:\.0)?", r"mozilla\.org/(?:en-US/)?MPL/2\.0"),
-    ("epl-1.0", "1.0", r"EPL-1\.0", r"(?:EPL|Eclipse Public License)(?: -)?,? ?(?:version |v\.? ?)?1\.0", r"eclipse\.org/legal/epl-v10"),
-    ("epl-2.0", "2", r"EPL-2\.0", r"(?:EPL|Eclipse Public License)(?: -)?,? ?(?:version |v\.? ?)?2(?:\.0)?", r"eclipse\.org/legal/epl-2\.0"),
-    ("cddl-1.0", "cddl", r"CDDL-1\.0", r"(?:CDDL|Common Development and Distribution License),? ?(?:version |v\.? ?)?1\.0", r"opensource\.org/licenses?/cddl-1\.0"),
-    ("cpl-1.0", "common public", r"CPL-1\.0", r"Common Public License,? ?(?:version |v\.? ?)?1\.0", r"opensource\.org/licenses?/cpl1\.0"),
-    ("eupl-1.2", "eupl", r"EUPL-1\.2", r"(?:EUPL|European Union Public Licen[cs]e),? ?(?:version |v\.? ?)?1\.2", r"joinup\.ec\.europa\.eu/collection/eupl"),
-    ("artistic-1.0", "artistic", r"Artistic-1\.0", r"Artistic License,? ?(?:version |v\.? ?)?1(?:\.0)?", r"opensource\.org/licenses?/artistic-1\.0"),
-    ("artistic-2.0", "artistic", r"Artistic-2\.0", r"Artistic License,? ?(?:version |v\.? ?)?2(?:\.0)?", r"opensource\.org/licenses?/artistic-2\.0"),
-    ("bsl-1.0", "boost", r"BSL-1\.0", r"Boost Software(?: License)?(?:,? ?(?:version |v\.? ?)?1\.0)?", r"boost\.org/LICENSE_1_0"),
-    ("zlib", "zlib", r"Zlib", r"zlib(?:/libpng)?", r"opensource\.org/licenses?/zlib"),
-    ("libpng", "libpng", r"libpng-2\.0", r"libpng", r"libpng\.org/pub/png/src/libpng-LICENSE"),
-    ("postgresql", "postgresql", r"PostgreSQL", r"PostgreSQL", r"opensource\.org/licenses?/postgresql"),
-    ("python-2.0", "python", r"(?:Python|PSF)-2\.0", r"Python Software Foundation", r"docs\.python\.org/3/license"),
-    ("ruby", "ruby", r"Ruby", r"Ruby", r"ruby-lang\.org/en/about/license"),
-    ("php-3.01", "php", r"PHP-3\.01", r"PHP License,? ?(?:version |v\.? ?)?3\.01", r"php\.net/license/3_01"),
-    ("unlicense", "unlicense", r"Unlicense", r"The Unlicense", r"unlicense\.org"),
-    ("wtfpl", "wtfpl", r"WTFPL", r"(?:WTFPL|Do What The F\S+ You Want To Public License)", r"wtfpl\.net"),
-    ("cc0-1.0", "cc0", r"CC0-1\.0", r"CC0(?: 1\.0)?(?: Universal)?", r"creativecommons\.org/publicdomain/zero/1\.0"),
+    ("mit", r"MIT", r"MIT(?:/X11|/Expat)?", r"opensource\.org/licenses?/mit"),
+    ("mit-0", r"MIT-0", r"MIT No Attribution", r"opensource\.org/licenses?/mit-0"),
+    ("x11", r"X11", r"X11", r"opensource\.org/licenses?/x11"),
+    ("apache-1.1", r"Apache-1\.1", r"Apache(?: Software)?(?: License)?,? (?:version |v\.? ?)?1\.1", r"apache\.org/licenses/LICENSE-1\.1"),
+    ("apache-2.0", r"Apache-2\.0", r"Apache(?: Software)?(?: License)?,? (?:version |v\.? ?)?2(?:\.0)?", r"apache\.org/licenses/LICENSE-2\.0"),
+    ("bsd-2-clause", r"BSD-2-Clause", r"(?:Simplified|FreeBSD|2-Clause|two-clause) BSD", r"opensource\.org/licenses?/bsd-2-clause"),
+    ("bsd-3-clause", r"BSD-3-Clause", r"(?:New|Modified|Revised|3-Clause|three-clause) BSD", r"opensource\.org/licenses?/bsd-3-clause"),
+    ("bsd-4-clause", r"BSD-4-Clause", r"(?:Original|4-Clause|four-clause) BSD", r"spdx\.org/licenses/BSD-4-Clause"),
+    ("0bsd", r"0BSD", r"(?:Zero-Clause|0-Clause) BSD", r"opensource\.org/licenses?/0bsd"),
+    ("isc", r"ISC", r"ISC", r"opensource\.org/licenses?/isc"),
+    ("gpl-1.0", r"GPL-1\.0(?:-only|-or-later|\+)?", r"(?:GNU )?(?:GPL|General Public License),? ?(?:version |v\.? ?)?1(?:\.0)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0"),
+    ("gpl-2.0", r"GPL-2\.0(?:-only|-or-later|\+)?", r"(?:GNU )?(?:GPL|General Public License),? ?(?:version |v\.? ?)?2(?:\.0)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
+    ("gpl-3.0", r"GPL-3\.0(?:-only|-or-later|\+)?", r"(?:GNU )?(?:GPL|General Public License),? ?(?:version |v\.? ?)?3(?:\.0)?", r"gnu\.org/licenses/gpl-3\.0"),
+    ("lgpl-2.0", r"LGPL-2\.0(?:-only|-or-later|\+)?", r"(?:GNU )?(?:LGPL|Library General Public License),? ?(?:version |v\.? ?)?2(?:\.0)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.0"),
+    ("lgpl-2.1", r"LGPL-2\.1(?:-only|-or-later|\+)?", r"(?:GNU )?(?:LGPL|Lesser General Public License),? ?(?:version |v\.? ?)?2\.1", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
+    ("lgpl-3.0", r"LGPL-3\.0(?:-only|-or-later|\+)?", r"(?:GNU )?(?:LGPL|Lesser General Public License),? ?(?:version |v\.? ?)?3(?:\.0)?", r"gnu\.org/licenses/lgpl-3\.0"),
+    ("agpl-3.0", r"AGPL-3\.0(?:-only|-or-later|\+)?", r"(?:GNU )?(?:AGPL|Affero General Public License),? ?(?:version |v\.? ?)?3(?:\.0)?", r"gnu\.org/licenses/agpl-3\.0"),
+    ("gfdl-1.3", r"GFDL-1\.3(?:-only|-or-later)?", r"(?:GNU )?Free Documentation(?: License)?,? ?(?:version |v\.? ?)?1\.3", r"gnu\.org/licenses/fdl-1\.3"),
+    ("gfdl-1.2", r"GFDL-1\.2(?:-only|-or-later)?", r"(?:GNU )?Free Documentation(?: License)?,? ?(?:version |v\.? ?)?1\.2", r"gnu\.org/licenses/(?:old-licenses/)?fdl-1\.2"),
+    ("mpl-1.1", r"MPL-1\.1", r"(?:MPL|Mozilla Public License),? ?(?:version |v\.? ?)?1\.1", r"mozilla\.org/MPL/1\.1"),
+    ("mpl-2.0", r"MPL-2\.0", r"(?:MPL|Mozilla Public License),? ?(?:version |v\.? ?)?2(?:\.0)?", r"mozilla\.org/(?:en-US/)?MPL/2\.0"),
+    ("epl-1.0", r"EPL-1\.0", r"(?:EPL|Eclipse Public License)(?: -)?,? ?(?:version |v\.? ?)?1\.0", r"eclipse\.org/legal/epl-v10"),
+    ("epl-2.0", r"EPL-2\.0", r"(?:EPL|Eclipse Public License)(?: -)?,? ?(?:version |v\.? ?)?2(?:\.0)?", r"eclipse\.org/legal/epl-2\.0"),
+    ("cddl-1.0", r"CDDL-1\.0", r"(?:CDDL|Common Development and Distribution License),? ?(?:version |v\.? ?)?1\.0", r"opensource\.org/licenses?/cddl-1\.0"),
+    ("cpl-1.0", r"CPL-1\.0", r"Common Public License,? ?(?:version |v\.? ?)?1\.0", r"opensource\.org/licenses?/cpl1\.0"),
+    ("eupl-1.2", r"EUPL-1\.2", r"(?:EUPL|European Union Public Licen[cs]e),? ?(?:version |v\.? ?)?1\.2", r"joinup\.ec\.europa\.eu/collection/eupl"),
+    ("artistic-1.0", r"Artistic-1\.0", r"Artistic License,? ?(?:version |v\.? ?)?1(?:\.0)?", r"opensource\.org/licenses?/artistic-1\.0"),
+    ("artistic-2.0", r"Artistic-2\.0", r"Artistic License,? ?(?:version |v\.? ?)?2(?:\.0)?", r"opensource\.org/licenses?/artistic-2\.0"),
+    ("bsl-1.0", r"BSL-1\.0", r"Boost Software(?: License)?(?:,? ?(?:version |v\.? ?)?1\.0)?", r"boost\.org/LICENSE_1_0"),
+    ("zlib", r"Zlib", r"zlib(?:/libpng)?", r"opensource\.org/licenses?/zlib"),
+    ("libpng", r"libpng-2\.0", r"libpng", r"libpng\.org/pub/png/src/libpng-LICENSE"),
+    ("postgresql", r"PostgreSQL", r"PostgreSQL", r"opensource\.org/licenses?/postgresql"),
+    ("python-2.0", r"(?:Python|PSF)-2\.0", r"Python Software Foundation", r"docs\.python\.org/3/license"),
+    ("ruby", r"Ruby", r"Ruby", r"ruby-lang\.org/en/about/license"),
+    ("php-3.01", r"PHP-3\.01", r"PHP License,? ?(?:version |v\.? ?)?3\.01", r"php\.net/license/3_01"),
+    ("unlicense", r"Unlicense", r"The Unlicense", r"unlicense\.org"),
+    ("wtfpl", r"WTFPL", r"(?:WTFPL|Do What The F\S+ You Want To Public License)", r"wtfpl\.net"),
+    ("cc0-1.0", r"CC0-1\.0", r"CC0(?: 1\.0)?(?: Universal)?", r"creativecommons\.org/publicdomain/zero/1\.0"),
     *[
-        (f"cc-{form}-{v}", form.split("-")[-1] if form == "by" else "by", f"CC-{form.upper()}-{v}".replace(".", r"\."), rf"(?:CC|Creative Commons)[ -]{full}(?: International| Unported| Generic)?[ -]{v[0]}\.0".replace("..", "."), rf"creativecommons\.org/licenses/{form}/{v}".replace(".0", r"\.0"))
+        (f"cc-{form}-{v}", f"CC-{form.upper()}-{v}".replace(".", r"\."), rf"(?:CC|Creative Commons)[ -]{full}(?: International| Unported| Generic)?[ -]{v[0]}\.0".replace("..", "."), rf"creativecommons\.org/licenses/{form}/{v}".replace(".0", r"\.0"))
         for form, full in (("by", "(?:BY|Attribution)"), ("by-sa", "(?:BY-SA|Attribution[ -]Share-?Alike)"), ("by-nc", "(?:BY-NC|Attribution[ -]Non-?Commercial)"), ("by-nd", "(?:BY-ND|Attribution[ -]No-?Deriv(?:ative)?s)"), ("by-nc-sa", "(?:BY-NC-SA|Attribution[ -]Non-?Commercial[ -]Share-?Alike)"), ("by-nc-nd", "(?:BY-NC-ND|Attribution[ -]Non-?Commercial[ -]No-?Deriv(?:ative)?s)"))
         for v in ("2.0", "3.0", "4.0")
     ],
-    ("odbl-1.0", "open data", r"ODbL-1\.0", r"Open Data(?:base| Commons Open Database)(?: License)?", r"opendatacommons\.org/licenses/odbl"),
-    ("ofl-1.1", "ofl", r"OFL-1\.1", r"SIL Open Font(?: License)?(?:,? ?(?:version |v\.? ?)?1\.1)?", r"scripts\.sil\.org/OFL"),
-    ("ms-pl", "public", r"MS-PL", r"Microsoft Public", r"opensource\.org/licenses?/ms-pl"),
-    ("osl-3.0", "open software", r"OSL-3\.0", r"Open Software License,? ?(?:version |v\.? ?)?3\.0", r"opensource\.org/licenses?/osl-3\.0"),
-    ("afl-3.0", "academic", r"AFL-3\.0", r"Academic Free License,? ?(?:version |v\.? ?)?3\.0", r"opensource\.org/licenses?/afl-3\.0"),
-    ("ncsa", "ncsa", r"NCSA", r"(?:University of Illinois/)?NCSA(?: Open Source)?", r"opensource\.org/licenses?/ncsa"),
-    ("upl-1.0", "universal permissive", r"UPL-1\.0", r"Universal Permissive", r"opensource\.org/licenses?/upl"),
-    ("public-domain", "public domain", r"LicenseRef-public-domain", r"(?:released|placed|dedicated) (?:in)?to the public domain", r"creativecommons\.org/publicdomain/mark"),
-    ("all-rights-reserved", "rights", r"LicenseRef-all-rights", r"all rights reserved", r"LicenseRef-proprietary"),
+    ("odbl-1.0", r"ODbL-1\.0", r"Open Data(?:base| Commons Open Database)(?: License)?", r"opendatacommons\.org/licenses/odbl"),
+    ("ofl-1.1", r"OFL-1\.1", r"SIL Open Font(?: License)?(?:,? ?(?:version |v\.? ?)?1\.1)?", r"scripts\.sil\.org/OFL"),
+    ("ms-pl", r"MS-PL", r"Microsoft Public", r"opensource\.org/licenses?/ms-pl"),
+    ("osl-3.0", r"OSL-3\.0", r"Open Software License,? ?(?:version |v\.? ?)?3\.0", r"opensource\.org/licenses?/osl-3\.0"),
+    ("afl-3.0", r"AFL-3\.0", r"Academic Free License,? ?(?:version |v\.? ?)?3\.0", r"opensource\.org/licenses?/afl-3\.0"),
+    ("ncsa", r"NCSA", r"(?:University of Illinois/)?NCSA(?: Open Source)?", r"opensource\.org/licenses?/ncsa"),
+    ("upl-1.0", r"UPL-1\.0", r"Universal Permissive", r"opensource\.org/licenses?/upl"),
+    ("public-domain", r"LicenseRef-public-domain", r"(?:released|placed|dedicated) (?:in)?to the public domain", r"creativecommons\.org/publicdomain/mark"),
+    ("all-rights-reserved", r"LicenseRef-all-rights", r"all rights reserved", r"LicenseRef-proprietary"),
 ]
 
-#: Forms in which a license is named: priority, score, regex around its parts.
+#: Forms in which a license is named: priority, score, regex around its parts, what stands in it besides these.
 FORMS = (
-    (4, 1.0, r"(?i)SPDX-License-Identifier:\s*(?:{id})(?![\w.+-])", "spdx"),
+    (4, 1.0, r"(?i)SPDX-License-Identifier:\s*(?:{id})(?![\w.+-])", "spdx-license-identifier:"),
     (3, 0.95, r"(?i)(?:https?://)?(?:www\.)?{url}(?:[\w./-]*\w)?", ""),
     (2, 0.9, r"(?i)\b(?:licen[cs]ed|released|distributed|available|provided|published)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?{name}(?![\w])(?:\s+licen[cs]e)?", "under"),
-    (1, 0.8, r"(?i)\b{name}(?!\w)(?:\s+licen[cs]e\b)", ""),
+    (1, 0.8, r"(?i)\b{name}(?!\w)(?:\s+licen[cs]e\b)", "licen"),
 )
 
 
@@ -119,16 +119,14 @@ def literals(pattern: str) -> list[tuple[str, ...]]:
 def rules() -> list[dict]:
     """The ordered signature rules: a rule for each family and form."""
     out = []
-    for label, keyword, spdx, name, url in FAMILIES:
-        for priority, score, form, also in FORMS:
+    for label, spdx, name, url in FAMILIES:
+        for priority, score, form, fixed in FORMS:
             loose = "licen" in name.lower() or label in ("public-domain", "all-rights-reserved") or label.startswith(("cc", "gpl", "lgpl", "agpl", "apache-", "mpl", "epl"))
             body = form.replace(r"(?:\s+licen[cs]e\b)", r"(?:\s+licen[cs]e\b)?") if loose and priority == 1 else form
-            key = "://" if priority == 3 and "LicenseRef" not in url else keyword
             part = {4: spdx, 3: url}.get(priority, name)
-            fixed = {4: "spdx-license-identifier:", 2: "under"}.get(priority, "licen" if priority == 1 and body == form else "")
-            needs = sorted({tuple(sorted({*words, fixed} - {""}, key=lambda w: (-len(w), w))) for words in literals(part.replace(" ", r"\s+"))})
+            needs = sorted({tuple(sorted({*words, fixed if body == form else ""} - {""}, key=lambda w: (-len(w), w))) for words in literals(part.replace(" ", r"\s+"))})
             pattern = body.replace("{id}", spdx).replace("{url}", url).replace("{name}", name.replace(" ", r"\s+"))
-            out.append({"label": label, "keyword": keyword if priority != 3 else url.split(r"\.")[0].split("/")[0].split("(")[0].lower(), "also": also, "priority": priority, "score": score, "pattern": pattern, "key": key, "needs": needs})
+            out.append({"label": label, "needs": needs, "priority": priority, "score": score, "pattern": pattern})
     return out
 
 
@@ -138,6 +136,14 @@ def stems() -> list[str]:
     return sorted(k for k in keys if not any(k != other and other in k for other in keys))
 
 
+def gates() -> tuple[list[str], list[list[int]], list[list[str]], list[int]]:
+    """Longest words, and for each the branches that need it; each branch's other words, and its rule."""
+    branches = [(words, i) for i, r in enumerate(rules()) for words in r["needs"]]
+    keys = sorted({words[0] for words, _ in branches})
+    places = [[n for n, (words, _) in enumerate(branches) if words[0] == k] for k in keys]
+    return keys, places, [list(words[1:]) for words, _ in branches], [i for _, i in branches]
+
+
 def base_pattern() -> str:
     phrases = "|".join(f"{GAP}+".join(p.split(" ")) for p in PHRASES)
     return f"(?i)(?<!{WORD})(?:{phrases})(?!{WORD})"
@@ -147,7 +153,11 @@ def detections(text: Column, low: Column) -> Column:
     """Detections of a text that are left after suppression: array<struct<start, upto, rank, rule>>."""
     table = rules()
     column = lambda k: F.lit([r[k] for r in table])
-    gate = F.filter(F.sequence(F.lit(0), F.lit(len(table) - 1)), lambda r: F.contains(low, F.get(column("keyword"), r)) & F.contains(low, F.get(column("also"), r)))
+    keys, places, rest, of = gates()
+    # a branch's other words are looked for where its longest is there, and its rule runs where all are
+    met = F.filter(F.sequence(F.lit(0), F.lit(len(keys) - 1)), lambda k: F.contains(low, F.get(F.lit(keys), k)))
+    met = F.filter(F.flatten(F.transform(met, lambda k: F.get(F.lit(places), k))), lambda e: F.forall(F.get(F.lit(rest), e), lambda w: F.contains(low, w)))
+    gate = F.array_sort(F.array_distinct(F.transform(met, lambda e: F.get(F.lit(of), e))))
     found = F.flatten(
         F.transform(
             gate,
