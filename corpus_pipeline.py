@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import bpe, mixing, quality, secrets, simhash
+from narrata.llm import bpe, mixing, near, quality, secrets
 from narrata.llm.common import stored
 
-#: Bits in which fingerprints of near-duplicates may differ here. More than the operator's own 3, as 5-word
-#: similarities of 0.8 and more lie at 3 to 11 bits; above 5, chance links would grow with large corpora.
+#: Bits in which the fingerprints of candidates for near-duplicates may differ. As 5-word similarities of 0.8 and
+#: more lie at 3 to 11 bits, MinHash bands search too, and what either finds is verified.
 RADIUS = 5
 
 
@@ -26,8 +26,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return simhash.one_of_each(docs, radius=RADIUS)
+    """Keeps one document of each group of near-duplicates: 5-word similarity of 0.8 or more."""
+    return near.one_of_each(docs, radius=RADIUS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
