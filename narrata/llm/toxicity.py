@@ -165,13 +165,12 @@ class BlockMaxIndex:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = (5, 0), sample: int = SAMPLE) -> BlockMaxIndex:
     """Indexes at most ``sample`` labelled documents of MOST_BYTES bytes at most, outside the held-out part.
 
-    They are chosen by a digest of their ids from the slim label table, half of them with label 1 as far as
-    there are so many; only their texts are fetched. Equal texts count once.
+    They are chosen by a digest of their ids from the slim label table, both labels at one rate, so that their
+    mix is the table's whatever its size; only their texts are fetched. Equal texts count once.
     """
     fit = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), held_out[0]) != held_out[1]))
     fit = fit.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
-    one_kind = lambda y: fit.filter(F.col("_label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
-    chosen = one_kind(0).union(one_kind(1))
+    chosen = fit.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("_text")).filter(F.octet_length(text) <= MOST_BYTES)
     got = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "_text", "_label").collect()  # bounded by sample and MOST_BYTES
