@@ -25,7 +25,14 @@ LAYOUT_DIVIDER = r"^\s*(?:\*{3,}|-{3,}|#{3,}|\.{3,}|—\s*✦\s*—)\s*\z"
 FLASHBACK = r"(he remembered|she remembered|they remembered|remembered when|she recalled|he recalled|they recalled|memories flooded|years ago|long ago)"
 DREAM = r"(dreaming|in the dream|the dream faded|woke with a start)"
 MEMORY = r"(the memory|recollection)"
-POV_VERBS = "walked thought felt saw heard knew looked stood turned ran sat watched wondered realized remembered noticed whispered said spoke asked replied muttered sighed screamed cried laughed smiled frowned gazed stared glanced moved stepped entered left opened closed grabbed held dropped pulled pushed reached waited paused hesitated decided began started continued tried wanted needed wished hoped feared loved hated".split()
+POV_VERBS = [
+    "walked", "thought", "felt", "saw", "heard", "knew", "looked", "stood", "turned", "ran", "sat", "watched",
+    "wondered", "realized", "remembered", "noticed", "whispered", "said", "spoke", "asked", "replied", "muttered",
+    "sighed", "screamed", "cried", "laughed", "smiled", "frowned", "gazed", "stared", "glanced", "moved", "stepped",
+    "entered", "left", "opened", "closed", "grabbed", "held", "dropped", "pulled", "pushed", "reached", "waited",
+    "paused", "hesitated", "decided", "began", "started", "continued", "tried", "wanted", "needed", "wished",
+    "hoped", "feared", "loved", "hated",
+]
 POV = r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s+(?:" + "|".join(POV_VERBS) + ")"
 ACTION = r"(explosion|attack|battle|fight|chase|escape|collision|confrontation|argument|scream|crash|gunshot|ambush|pursuit)"
 MOODS = {
