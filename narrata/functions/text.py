@@ -18,6 +18,30 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def folded(items: Column, start: Column, step, kind: str, last=None) -> Column:
+    """What a fold over an array gives out, in order: array<kind>.
+
+    ``step(state, x)`` gives the next state and the array of what is given out at x; ``last(state)`` what is given
+    out at the end. An append copies the array so far, so items go in blocks of about the root of their number:
+    n * sqrt(n) copied references instead of n * n.
+    """
+    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    pair = lambda s, out: F.struct(s.alias("s"), out.alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        state, out = step(acc["s"], x)
+        return pair(state, F.concat(acc["out"], out))
+
+    def body(a: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(a))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a)), size), lambda i: F.slice(a, i, size))
+        grown = lambda acc, block: let(F.aggregate(block, pair(acc["s"], none), add), lambda r: pair(r["s"], F.concat(acc["out"], F.array(r["out"]))))
+        done = lambda acc: F.flatten(acc["out"] if last is None else F.concat(acc["out"], F.array(last(acc["s"]))))
+        return F.aggregate(blocks, pair(start, nothing), grown, done)
+
+    return let(items, body)
+
+
 def rounded(x, k: int = 0) -> Column:
     """Half up toward positive infinity, to k decimals."""
     return F.floor(c(x) * float(10**k) + 0.5) / float(10**k)
