@@ -7,6 +7,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..functions.text import folded, let
+
+__all__ = ["SPACE", "crc_mod", "documents", "folded", "let", "nested", "schema_of", "shared_dir", "spans", "stored"]
 
 #: ASCII white space, the separators of words.
 SPACE = r"\x20\x09-\x0D"
@@ -44,9 +49,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once a row, whatever the optimizer inlines."""
-    return F.transform(F.array(value), body)[0]
+def schema_of(ddl: str, fields) -> StructType:
+    """The columns of ``ddl``, then ``fields`` as they are, whatever their names."""
+    return StructType([*StructType.fromDDL(ddl).fields, *fields])
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -60,14 +65,18 @@ def spans(text: Column, pattern: Column, group: int = 0) -> Column:
     Offsets count code points, the end is exclusive, and ``hit`` is the text of ``group``. The gaps
     between the matches and the matches themselves, laid end to end, give the offsets.
     """
-    gaps = F.split(text, pattern, -1)
-    both = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("all"), F.regexp_extract_all(text, pattern, F.lit(group)).alias("hit"))
-    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    both = F.arrays_zip(gaps.alias("gap"), found.alias("all"), *([F.regexp_extract_all(text, pattern, F.lit(group)).alias("hit")] if group else []))
+    kind = "struct<start:int,end:int,hit:string>"
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["all"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
+        return end, F.array(F.struct(start.alias("start"), end.alias("end"), x["hit" if group else "all"].alias("hit")))
+
+    return F.when(F.regexp_like(text, pattern), folded(F.filter(both, lambda x: x["all"].isNotNull()), F.lit(0), step, kind)).otherwise(F.array().cast(f"array<{kind}>"))
+
 
-    found = F.aggregate(F.filter(both, lambda x: x["all"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, pattern), found).otherwise(none)
+def nested(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all columns of a row in ``_row``, where no name of theirs can clash with another."""
+    return docs.select(*names, F.struct("*").alias("_row"))

@@ -1,7 +1,9 @@
 """Toxicity by the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Labelled examples are vectors over the terms that tell the labels apart. The index keeps a term's postings in
-blocks of examples with each block's largest weight. A query bounds every block by these, scores blocks in
+Terms are all words of the examples and the beginnings of the longer ones. A term weighs by its frequency in the
+text, by its rarity among all documents, and by how far it goes with the label among the examples (the coefficient
+phi), so what says nothing about the label hardly moves a text towards another. The index keeps a term's postings
+in blocks of examples with each block's largest weight. A query bounds every block by these, scores blocks in
 order of their bounds, and stops when the k-th best score reaches the next bound: the result is exact. The
 neighbours' votes, weighted by nearness, are calibrated on the examples themselves, each left out in turn.
 """
@@ -18,24 +20,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents
+from .common import crc_mod, documents, schema_of
 
 #: The bound of the examples: so many labelled documents, none with more bytes than this.
-SAMPLE = 6000
+SAMPLE = 4000
 MOST_BYTES = 20_000
 #: Examples in a block of the index.
-BLOCK = 64
+BLOCK = 256
 NEAREST = 15
-#: Terms are kept that are this far from independent of the label (chi-squared), the strongest first.
-CHI2, TERMS = 40.0, 512
-#: Lengths of the beginnings of words that are terms too.
-STEMS = range(3, 9)
+#: Letters of the beginnings that are terms too: many languages put a stem first and vary what follows.
+STEM = 5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(word: str) -> list[str]:
-    """A word and its beginnings: many languages put a stem first and vary what follows."""
-    return [word, *(word[:n] + "*" for n in STEMS if n < len(word))]
+    return [word, word[:STEM] + "*"] if len(word) > STEM else [word]
+
+
+def words_of(text: str):
+    text = text.lower()
+    return _WORD.findall(text) if len(text) < 1 << 20 else (m.group() for m in _WORD.finditer(text))
+
+
+def vocabulary_of(texts: list[str]) -> dict[str, int]:
+    """A number for every term of the texts, in order."""
+    return {t: i for i, t in enumerate(sorted({t for w in {w for x in texts for w in words_of(x)} for t in terms_of(w)}))}
 
 
 class Terms:
@@ -53,81 +62,86 @@ class Terms:
         return found
 
     def counts(self, text: str) -> Counter:
-        text = text.lower()
-        words = _WORD.findall(text) if len(text) < 1 << 20 else (m.group() for m in _WORD.finditer(text))
-        return Counter(chain.from_iterable(map(self.of, words)))
-
-
-def choose_terms(texts: list[str], labels: list[int]) -> dict[str, int]:
-    n, ones = len(texts), sum(labels)
-    seen, with_one = Counter(), Counter()
-    for text, y in zip(texts, labels, strict=True):
-        found = {t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)}
-        seen.update(found)
-        if y:
-            with_one.update(found)
-    chi2 = {}
-    for w, df in seen.items():
-        a, rest = with_one[w], df * (n - df) * ones * (n - ones)
-        if df >= 5 and rest:
-            chi2[w] = n * (a * (n - ones - df + a) - (df - a) * (ones - a)) ** 2 / rest
-    best = sorted((w for w, x in chi2.items() if x >= CHI2), key=lambda w: (-chi2[w], w))[:TERMS]
-    return {w: i for i, w in enumerate(best)}
+        return Counter(chain.from_iterable(map(self.of, words_of(text))))
+
+    def present(self, text: str) -> list[int]:
+        return list(set(chain.from_iterable(map(self.of, set(words_of(text))))))
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each first, as many as its size, laid end to end."""
+    return np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples, as postings by (term, block) with block maxima."""
-
-    def __init__(self, texts: list[str], labels: list[int], ids: list[int]):
-        self.vocabulary = choose_terms(texts, labels)
-        self.terms = Terms(self.vocabulary)
-        counts = [self.terms.counts(t) for t in texts]
-        df = np.zeros(len(self.vocabulary) or 1)
-        for c in counts:
-            df[list(c)] += 1
-        self.idf = np.log((1 + len(texts)) / (1 + df)) + 1
-        self.labels, self.ids = np.array(labels, float), np.array(ids, np.int64)
+    """Unit vectors of examples over all their terms, as postings by (term, block) with block maxima.
+
+    ``df`` has for each term the documents that hold it, out of ``n``; without it, examples are counted.
+    """
+
+    def __init__(self, texts: list[str], labels: list[int], ids: list[int], vocabulary: dict[str, int] | None = None, df: np.ndarray | None = None, n: int = 0):
+        self.vocabulary = vocabulary_of(texts) if vocabulary is None else vocabulary
+        counts = [Terms(self.vocabulary).counts(t) for t in texts]
+        y = np.array(labels, float)
+        held, with_one = np.zeros(len(self.vocabulary)), np.zeros(len(self.vocabulary))
+        for c, label in zip(counts, labels, strict=True):
+            at = list(c)
+            held[at] += 1
+            with_one[at] += label
+        df, n = (held, len(texts)) if df is None else (np.maximum(df, 1), n)
+        rest = held * (len(y) - held) * y.sum() * (len(y) - y.sum())
+        phi = np.abs(len(y) * with_one - held * y.sum()) / np.sqrt(np.where(rest > 0, rest, 1))
+        self.weight = (np.log(max(n, 1) / df) + 1) * np.where(rest > 0, phi, 0)
+        # examples whose heaviest terms are the same share blocks, so that other blocks have low bounds
+        vectors = [self.vector(c) for c in counts]
+        order = sorted(range(len(texts)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, ids[i]))
+        self.labels, self.ids = y[order], np.array(ids, np.int64)[order]
         self.n_blocks = -(-len(texts) // BLOCK) or 1
-        rows = [(t, i, w) for i, c in enumerate(counts) for t, w in zip(*self.vector(c))]
-        rows.sort()
-        self.examples = np.array([i for _, i, _ in rows], np.int64)
-        self.weights = np.array([w for _, _, w in rows], float)
-        cell = np.array([t * self.n_blocks + i // BLOCK for t, i, _ in rows], np.int64)
-        cells = len(self.idf) * self.n_blocks
-        self.starts = np.searchsorted(cell, np.arange(cells + 1)).reshape(-1)
-        self.most = np.zeros(cells)
-        np.maximum.at(self.most, cell, self.weights)
-        self.most = self.most.reshape(len(self.idf), self.n_blocks)
-        self.prior = float(self.labels.mean()) if len(labels) else 0.5
+        term = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)])
+        example = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
+        by = np.lexsort((example, term))
+        term, self.examples, self.weights = term[by], example[by], weight[by]
+        cell = term * self.n_blocks + self.examples // BLOCK
+        # a cell is a term in a block: where its postings start, its block, its largest weight
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(cell)), bool), np.diff(cell) != 0)))
+        self.starts = np.append(first, len(cell))
+        self.block = cell[first] % self.n_blocks
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(cell[first] // self.n_blocks, np.arange(len(self.vocabulary) + 1))
+        self.prior = float(y.mean()) if len(y) else 0.5
         self.scale = (1.0, 0.0)
-        self._calibrate(counts)
+        self._calibrate([vectors[i] for i in order])
 
-    def vector(self, counts: Counter) -> tuple[list[int], np.ndarray]:
-        """The terms of a text in order, and their unit TF-IDF weights."""
-        terms = sorted(counts)
-        w = (1 + np.log(np.array([counts[t] for t in terms], float))) * self.idf[terms]
-        return terms, w / (np.linalg.norm(w) or 1)
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text in order, and their weights; the vector has length one."""
+        terms = np.fromiter(counts.keys(), np.int64, len(counts))
+        order = np.argsort(terms)
+        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts))))[order] * self.weight[terms[order]]
+        return terms[order], w / (np.linalg.norm(w) or 1)
 
-    def nearest(self, terms, weights, k: int = NEAREST, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k best examples with a positive cosine, ties by number, and their cosines."""
-        if not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.most[terms]
+        size = self.cells[terms + 1] - self.cells[terms]
+        cells, w = _ranges(self.cells[terms], size), np.repeat(weights, size)
+        block = self.block[cells]
+        bound = np.bincount(block, w * self.most[cells], self.n_blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best, score = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
+        at, step = 0, 2
         while at < len(order) and not (len(best) == k and score[-1] > bound[order[at]] + 1e-12):
-            blocks = order[at : at + step]
+            taken = np.zeros(self.n_blocks, bool)
+            taken[order[at : at + step]] = True
             at, step = at + step, step * 2
-            cells = (np.asarray(terms)[:, None] * self.n_blocks + blocks[None, :]).ravel()
-            first, size = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
-            total = int(size.sum())
-            places = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(total)
-            local = np.bincount(self.examples[places], np.repeat(np.repeat(weights, len(blocks)), size) * self.weights[places], len(self.labels))
+            here = taken[block]
+            first = self.starts[cells[here]]
+            many = self.starts[cells[here] + 1] - first
+            places = _ranges(first, many)
+            local = np.bincount(self.examples[places], np.repeat(w[here], many) * self.weights[places], len(self.labels))
             if leave_out >= 0:
                 local[leave_out] = 0
-            new = np.flatnonzero(local)
+            new = np.flatnonzero(local > 0)
             best, score = np.concatenate((best, new)), np.concatenate((score, local[new]))
             keep = np.lexsort((best, -score))[:k]
             best, score = best[keep], score[keep]
@@ -140,8 +154,8 @@ class BlockMaxIndex:
         p = min(max(p, 1e-4), 1 - 1e-4)
         return math.log(p / (1 - p))
 
-    def _calibrate(self, counts: list[Counter]) -> None:
-        x = np.array([self.vote(*self.nearest(*self.vector(c), leave_out=i)) for i, c in enumerate(counts)])
+    def _calibrate(self, vectors: list) -> None:
+        x = np.array([self.vote(*self.nearest(*v, leave_out=i)) for i, v in enumerate(vectors)])
         y = self.labels
         if not len(y) or y.min() == y.max():
             return
@@ -155,18 +169,38 @@ class BlockMaxIndex:
                 break
         self.scale = (float(max(slope, 1e-3)), float(offset))
 
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
+    def score(self, text: str | None, terms: Terms | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         """Calibrated score, and as evidence the neighbours and their cosines."""
-        best, near = self.nearest(*self.vector(self.terms.counts(text or "")))
+        best, near = self.nearest(*self.vector((terms or Terms(self.vocabulary)).counts(text or "")))
         slope, offset = self.scale
         return 1 / (1 + math.exp(-(slope * self.vote(best, near) + offset))), best, near
 
 
+def frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term of a vocabulary stands, and how many documents there are."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by SAMPLE and MOST_BYTES
+
+    def each(batches):
+        terms, found = Terms(sent.value), np.zeros(len(sent.value) + 1, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                found[terms.present(t.as_py() or "")] += 1
+            found[-1] += batch.num_rows
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["term", "n"])
+
+    out = np.zeros(len(vocabulary) + 1, np.int64)
+    for r in docs.select("text").mapInArrow(each, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():  # a row a term at most
+        out[r["term"]] = r["n"]
+    return out[:-1], int(out[-1])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = (5, 0), sample: int = SAMPLE) -> BlockMaxIndex:
     """Indexes at most ``sample`` labelled documents of MOST_BYTES bytes at most, outside the held-out part.
 
     They are chosen by a digest of their ids from the slim label table, both labels at one rate, so that their
-    mix is the table's whatever its size; only their texts are fetched. Equal texts count once.
+    mix is the table's whatever its size; only their texts are fetched. Equal texts count once. How rare a term
+    is comes from all documents. A table whose rows all repeat under new ids gives the same scores.
     """
     fit = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), held_out[0]) != held_out[1]))
     fit = fit.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
@@ -176,7 +210,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tu
     got = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "_text", "_label").collect()  # bounded by sample and MOST_BYTES
     once = {r["_text"]: r for r in sorted(got, key=lambda r: (-r["doc_id"], r["_label"]))}
     got = sorted(once.values(), key=lambda r: r["doc_id"])[:sample]
-    return BlockMaxIndex([r["_text"] for r in got], [r["_label"] for r in got], [r["doc_id"] for r in got])
+    texts = [r["_text"] for r in got]
+    vocabulary = vocabulary_of(texts)
+    return BlockMaxIndex(texts, [r["_label"] for r in got], [r["doc_id"] for r in got], vocabulary, *frequencies(docs, vocabulary))
 
 
 def scored(docs: DataFrame, index: BlockMaxIndex, keep=()) -> DataFrame:
@@ -185,18 +221,18 @@ def scored(docs: DataFrame, index: BlockMaxIndex, keep=()) -> DataFrame:
     A null text counts as empty; a text without any of the index's terms gets the score of the prior. Texts
     of any length are scored whole, repeated rows each by itself; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by SAMPLE and TERMS
+    sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by SAMPLE and MOST_BYTES
 
     def each(batches):
         own = sent.value
+        terms = Terms(own.vocabulary)
         for batch in batches:
-            got = [own.score(t.as_py()) for t in batch.column(0)]
+            got = [own.score(t.as_py(), terms) for t in batch.column(0)]
             made = [pa.array([g[0] for g in got], pa.float64()), pa.array([own.ids[g[1]].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[2].tolist() for g in got], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*made, *batch.columns[1:]], names=["score", "neighbours", "cosines", *batch.schema.names[1:]])
 
     rows = docs.select(F.col("text").alias("_text"), "doc_id", *keep)
-    schema = "score double, neighbours array<long>, cosines array<double>, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(each, schema_of("score double, neighbours array<long>, cosines array<double>", rows.schema.fields[1:]))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

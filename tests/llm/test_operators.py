@@ -3,8 +3,11 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
+import tempfile
+import time
 import zlib
 
 import numpy as np
@@ -370,22 +373,125 @@ def test_chains_match_their_batched_form():
     assert quality.marginals(x, model) == pytest.approx(good[0].tolist())
 
 
-def test_block_max_search_is_exact():
-    texts = [prose(30) for _ in range(300)]
+def test_marginals_against_all_labelings():
+    """Marginals, pair marginals and log Z of short chains, by summing over every labelling."""
+    g = np.random.default_rng(2)
+    a, e = g.normal(size=(2, 2)), g.normal(size=(4, 5))
+    mask = np.arange(5)[None, :] < np.array([1, 2, 4, 5])[:, None]
+    good, pairs, z = quality._both_ways(e * mask, a, mask)
+    all_pairs = np.zeros((2, 2))
+    for row, n in enumerate([1, 2, 4, 5]):
+        total, marginal, two = 0.0, np.zeros(n), np.zeros((2, 2))
+        for y in itertools.product((0, 1), repeat=n):
+            p = np.exp(sum(e[row, t] for t in range(n) if y[t]) + sum(a[y[t], y[t + 1]] for t in range(n - 1)))
+            total, marginal = total + p, marginal + p * np.array(y)
+            for t in range(n - 1):
+                two[y[t], y[t + 1]] += p
+        assert z[row] == pytest.approx(np.log(total))
+        assert good[row, :n] == pytest.approx(marginal / total)
+        all_pairs += two / total
+    assert pairs == pytest.approx(all_pairs)
+
+
+def test_lines_of_a_document_have_labels_of_their_own():
+    """A text of good and bad lines gets marginals that follow its lines, and a score between."""
+    r = random.Random(1)
+    clean = lambda: " ".join(r.choice(["the", "river", "ran", "under", "stones"]) for _ in range(9)) + "."
+    noise = lambda: " ".join(r.choice(["$$$", "###", "%%%", "AAAA", "0101"]) for _ in range(9))
+    good = ["\n".join(clean() for _ in range(6)) for _ in range(60)]
+    bad = ["\n".join(noise() for _ in range(6)) for _ in range(60)]
+    model = quality.fit([t.encode() for t in good + bad], [1] * 60 + [0] * 60)
+    of = lambda t: quality.marginals(quality.line_features(t.encode())[0], model)
+    p = np.array([of("\n".join([clean() for _ in range(4)] + [noise() for _ in range(4)])) for _ in range(20)])
+    assert (p[:, :3] > 0.5).all() and (p[:, 5:] < 0.5).all()
+    score = lambda t: quality.score(t.encode(), model)
+    assert min(map(score, good)) > max(map(score, bad))
+    half = [score("\n".join([clean() for _ in range(k)] + [noise() for _ in range(10 - k)])) for k in (1, 5, 9)]
+    assert half == sorted(half)
+
+
+def test_block_max_search_is_exact(monkeypatch):
+    """Against cosines over all terms of all texts."""
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    r = random.Random(3)
+    texts = [prose(30) + " " + " ".join(f"w{r.randrange(400)}ling" for _ in range(12)) for _ in range(300)]
     y = [int("MIT" in t) for t in texts]
-    index = toxicity.BlockMaxIndex([t + (" vile" * 3 if k else "") for t, k in zip(texts, y)], y, list(range(300)))
-    dense = np.zeros((300, len(index.idf)))
-    for t in range(len(index.idf)):
-        for b in range(index.n_blocks):
-            cell = t * index.n_blocks + b
-            for p in range(index.starts[cell], index.starts[cell + 1]):
-                dense[index.examples[p], t] = index.weights[p]
-    for t in texts[:20]:
-        terms, w = index.vector(index.terms.counts(t + " vile"))
-        best, score = index.nearest(terms, w)
-        full = dense[:, terms] @ w
-        want = np.lexsort((np.arange(300), -full))[: len(best)]
-        assert score == pytest.approx(full[want]) and best.tolist() == want.tolist()
+    texts = [t + (" vile" * 3 if k else "") for t, k in zip(texts, y)]
+    index = toxicity.BlockMaxIndex(texts, y, list(range(300)))
+    terms = lambda t: collections.Counter(x for w in re.findall(r"[^\W\d_]+", t.lower()) for x in ([w, w[:5] + "*"] if len(w) > 5 else [w]))
+    counts = [terms(t) for t in texts]
+    df = collections.Counter(t for c in counts for t in c)
+    assert set(df) == set(index.vocabulary)
+    phi = {t: abs(np.corrcoef([t in c for c in counts], y)[0, 1]) if n < 300 else 0.0 for t, n in df.items()}
+
+    def unit(c):
+        w = {t: (1 + np.log(n)) * (np.log(300 / df[t]) + 1) * phi[t] for t, n in c.items() if t in df}
+        size = np.sqrt(sum(x * x for x in w.values()))
+        return {t: x / size for t, x in w.items()}
+
+    vectors = {i: unit(c) for i, c in enumerate(counts)}
+    for t in texts[:25]:
+        q = unit(terms(t + " vile"))
+        full = sorted((-sum(x * vectors[i].get(k, 0) for k, x in q.items()), i) for i in vectors)
+        best, score = index.nearest(*index.vector(toxicity.Terms(index.vocabulary).counts(t + " vile")))
+        assert score == pytest.approx([-s for s, _ in full[:15]])
+        assert {int(index.ids[b]) for b, s in zip(best, score) if s > -full[14][0] + 1e-9} == {i for s, i in full[:15] if -s > -full[14][0] + 1e-9}
+
+
+def test_scores_do_not_move_with_size(spark):
+    """A table whose rows repeat under new ids gives its rows the same scores."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(80).cache()
+    labels = docs.select("doc_id", (F.pmod("doc_id", F.lit(7)) == 0).cast("int").alias("toxic"))
+    more = lambda df: df.withColumn("doc_id", F.explode(F.array(*[F.col("doc_id") + 1_000_000 * k for k in range(10)])))
+    never = (5, 7)  # no remainder of 5 is 7, so that both tables fit on the same texts
+    once = {r.doc_id: r.score for r in toxicity.scored(docs, toxicity.train(docs, labels, held_out=never)).collect()}
+    ten = {r.doc_id: r.score for r in toxicity.scored(docs, toxicity.train(more(docs), more(labels), held_out=never)).collect()}
+    assert ten == pytest.approx(once)
+
+
+def test_fingerprint_query(spark, docs):
+    """All columns of the contract: texts and digests from Python, likeness from the digits of the fingerprints."""
+    rows = sorted((i, t) for i, t in pairs(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])))
+    path = f"{tempfile.mkdtemp()}"
+    spark.createDataFrame([(i, t or None) for i, t in rows], "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    got = {r.doc_id: r for r in fingerprints.op1_fingerprints(spark, path).collect()}
+    assert sorted(got) == [i for i, _ in rows]
+    edited = []
+    for k, (i, t) in enumerate(rows):
+        half = len(t) // 2
+        after = rows[(k + 1) % len(rows)][1]
+        edited.append((i, t[: len(t) - half] + after[:half]))
+    prints = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(spark.createDataFrame(edited, "doc_id long, text string")).collect()}
+    like = lambda x, y: max(0.0, (sum(p == q for p, q in zip(x, y)) / 256 - 1 / 16) / (1 - 1 / 16))
+    for k, (i, t) in enumerate(rows):
+        r = got[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited[k][1].encode()).hexdigest()
+        assert r.edited_fingerprint == prints[i]
+        assert r.near_edited == pytest.approx(like(r.fingerprint, prints[i]))
+        assert r.near_next == pytest.approx(like(r.fingerprint, got[rows[(k + 1) % len(rows)][0]].fingerprint))
+
+
+def test_many_matches_in_one_text(spark):
+    """Tens of thousands of matches in one text, with letters of several bytes between them."""
+    n = 20_000
+    text = "".join(f"é token=abcdefgh{k % 10} 😀" for k in range(n))
+    license_ = "licensed under the MIT License; " * 3000
+    df = spark.createDataFrame([(1, text), (2, license_)], "doc_id long, text string")
+    start = time.time()
+    r = {x.doc_id: x for x in secrets.redact(df).collect()}
+    assert r[1].text == "é <assign> 😀" * n and r[2].text == license_
+    found = {x.doc_id: x.secrets for x in secrets.find(df).collect()}
+    assert [(s.start, s.end) for s in found[1]] == [(m.start(), m.end()) for m in re.finditer(r"token=\w+", text)]
+    assert {x.doc_id: x.n_detections for x in licenses.scan(df).collect()}[2] == 3000
+    assert time.time() - start < 120
+
+
+def test_mixed_picks_alike_among_ties(spark):
+    rows = [(k // 3, "one two three " * (1 + k % 2), f"s{k % 4}", k) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    runs = [sorted(map(tuple, mixing.mixed(df.repartition(n)).collect())) for n in (1, 3)]
+    assert runs[0] == runs[1]
 
 
 def test_scores_of_odd_texts(docs, labels):
