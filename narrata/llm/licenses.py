@@ -14,12 +14,14 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, let, spans
+from .common import documents, folded, let, spans
 
 #: Characters of words and of what stands between them, as in the phrase scan.
 WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]"
 GAP = r"[^0-9A-Za-z\x80-\x{10FFFF}]"
 
+_FOUND = "struct<start:int,upto:int,rank:int,rule:int>"
+
 #: Phrases of the base scan and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -167,11 +169,15 @@ def detections(text: Column, low: Column) -> Column:
             ),
         )
     )
-    # sorted by start, then the longest, then the highest priority: what may contain a detection stands before it
-    return let(
-        F.array_sort(found),
-        lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda y: (y["upto"] <= x["upto"]) & (y["rank"] <= x["rank"]))),
-    )
+    # sorted by start, then the longest, then the highest priority: what may contain a detection stands before it,
+    # and a detection goes if the farthest end before it, among its own and higher priorities, is not before its end
+    levels = max(r["priority"] for r in table)
+
+    def step(ends: Column, x: Column) -> tuple[Column, Column]:
+        kept = F.when(F.get(ends, -x["rank"] - 1) >= -x["upto"], F.array().cast(f"array<{_FOUND}>")).otherwise(F.array(x))
+        return F.transform(ends, lambda e, i: F.when(i < -x["rank"], F.greatest(e, -x["upto"])).otherwise(e)), kept
+
+    return folded(F.array_sort(found), F.lit([-1] * levels), step, _FOUND)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -192,7 +198,7 @@ def scan(docs: DataFrame) -> DataFrame:
         .withColumn("n_words", words(F.col("text")).cast("long"))
         .withColumn("hits", F.when(F.contains("low", F.lit("license")) | F.contains("low", F.lit("cc")), F.regexp_extract_all("text", base, F.lit(0))).otherwise(none))
         .withColumn("gaps", F.when(F.size("hits") > 0, F.split("text", base_pattern(), -1)))
-        .withColumn("found", F.when(look, detections(F.col("text"), F.col("low"))).otherwise(F.array().cast("array<struct<start:int,upto:int,rank:int,rule:int>>")))
+        .withColumn("found", F.when(look, detections(F.col("text"), F.col("low"))).otherwise(F.array().cast(f"array<{_FOUND}>")))
     )
     label = F.create_map(*[F.lit(x) for p, name in PHRASES.items() for x in (p.split(" ")[0], name)])
     own = F.transform("hits", lambda h: F.element_at(label, F.lower(F.regexp_extract(h, f"{WORD}+", 0))))
