@@ -14,7 +14,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, let, spans
+from .common import documents, folded, let, nested, spans
 
 #: Rules in the order of their kinds: kind, regex, group to measure, its least length. The first three are the base.
 RULES = [
@@ -90,37 +90,38 @@ def trigram_query(pattern: str, keep: int = 3, most: int = 24) -> list[list[str]
 
 
 def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram number, doc_id): the inverted index over the given trigrams."""
-    low = docs.select("doc_id", F.lower("text").alias("low"))
+    """Postings (trigram number, key) of docs (key, text): the inverted index over the given trigrams."""
+    low = docs.select("key", F.lower("text").alias("low"))
     has = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return low.select(F.explode(has).alias("trigram"), "doc_id")
+    return low.select(F.explode(has).alias("trigram"), "key")
 
 
 def candidates(docs: DataFrame, patterns: list[str]) -> tuple[DataFrame, list[int]]:
-    """(doc_id, rules: numbers of the patterns to verify), and the patterns that scan fully."""
+    """(key, rules: numbers of the patterns to verify) of docs (key, text), and the patterns that scan fully."""
     queries = [trigram_query(p) for p in patterns]
     lists = [(rule, x) for rule, q in enumerate(queries) if [] not in [list(y) for y in q] for x in q]
     full = [rule for rule, q in enumerate(queries) if [] in [list(y) for y in q]]
     names = sorted({t for _, x in lists for t in x})
     naming = [[n for n, (_, x) in enumerate(lists) if t in x] for t in names]
-    hits = index(docs, names).select("doc_id", F.explode(F.get(F.lit(naming), F.col("trigram"))).alias("n"))
-    met = hits.groupBy("doc_id", "n").agg(F.count("*").alias("found"))
-    # repeated ids only let more candidates through
+    hits = index(docs, names).select("key", F.explode(F.get(F.lit(naming), F.col("trigram"))).alias("n"))
+    met = hits.groupBy("key", "n").agg(F.count("*").alias("found"))
+    # repeated keys only let more candidates through
     met = met.filter(F.col("found") >= F.get(F.lit([len(x) for _, x in lists]), F.col("n")))
-    return met.groupBy("doc_id").agg(F.collect_set(F.get(F.lit([rule for rule, _ in lists]), F.col("n"))).alias("rules")), full
+    return met.groupBy("key").agg(F.collect_set(F.get(F.lit([rule for rule, _ in lists]), F.col("n"))).alias("rules")), full
 
 
 def find(docs: DataFrame, rules=RULES, keep=()) -> DataFrame:
-    """Adds ``secrets``: array<struct<start, kind, end>> in order of start, then kind, to doc_id, text and ``keep``.
+    """Adds ``secrets``: array<struct<start, kind, end>> in order of start, then kind, to doc_id, ``keep`` and text.
 
     Kinds are numbers of ``rules``; matches of a kind do not overlap. A null text counts as empty and has
-    none; texts of any length are scanned whole. Rows that repeat an id are scanned each by itself; null
-    ids too. Other columns are left out, and an empty table gives no rows.
+    none; texts of any length are scanned whole. Rows that repeat an id are scanned each by itself. Null ids
+    meet their candidates by a digest of the text, so they do not meet in one task. ``keep`` must not name
+    text or secrets. Other columns are left out, and an empty table gives no rows.
     """
-    rows = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct("doc_id", *keep).alias("kept"), text.alias("text"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.xxhash64(text)).alias("key"))
     found, full = candidates(rows, [r[1] for r in rules])
-    found = found.select(F.col("doc_id").alias("_of"), "rules").hint("shuffle_hash")
-    both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_of")), "left")
+    both = rows.join(found.hint("shuffle_hash"), "key", "left")
     to_verify = F.concat(F.lit(full) if full else F.array().cast("array<int>"), F.coalesce("rules", F.array().cast("array<int>")))
 
     def verified(r: Column, group: int) -> Column:
@@ -130,7 +131,7 @@ def find(docs: DataFrame, rules=RULES, keep=()) -> DataFrame:
 
     groups = [x[2] for x in rules]
     any_of = lambda r: F.when(F.get(F.lit(groups), r) == 2, verified(r, 2)).otherwise(verified(r, 0))
-    return both.select("doc_id", *keep, "text", F.array_sort(F.flatten(F.transform(to_verify, any_of))).alias("secrets"))
+    return both.select("kept.*", "text", F.array_sort(F.flatten(F.transform(to_verify, any_of))).alias("secrets"))
 
 
 def redact(docs: DataFrame, rules=RULES, keep=()) -> DataFrame:
@@ -139,21 +140,30 @@ def redact(docs: DataFrame, rules=RULES, keep=()) -> DataFrame:
     Secrets that overlap are replaced together, by the kind of the first. ``n_chars``, where there is one,
     counts the new text. A null text stays null.
     """
-    columns = docs.columns
-    rest = [c for c in columns if c not in ("doc_id", "text")]
-    found = find(docs.withColumn("_null", F.col("text").isNull()), rules, (*rest, "_null"))
-    kinds = F.lit([f"<{r[0]}>" for r in rules])
-
-    def add(acc: Column, s: Column) -> Column:
-        out = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.get(kinds, s["kind"]))
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), out.alias("out")))
-
-    rest_of = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    clean = F.when(F.size("secrets") > 0, F.aggregate("secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, rest_of)).otherwise(F.col("text"))
-    done = found.withColumn("text", F.when(~F.col("_null"), clean))
-    if "n_chars" in columns:
-        done = done.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(*columns)
+    found = find(nested(docs, "doc_id", "text"), rules, ("_row",))
+    clean = F.when(F.size("secrets") > 0, replaced(F.col("text"), F.col("secrets"), F.lit([f"<{r[0]}>" for r in rules]))).otherwise(F.col("text"))
+    done = found.select("_row", F.when(F.col("_row.text").isNotNull(), clean).alias("text"), (F.size("secrets") > 0).alias("changed"))
+    of = lambda name: F.col("_row").getField(name)
+    made = {"text": F.col("text"), "n_chars": F.when(F.col("changed"), F.length("text").cast("long")).otherwise(of("n_chars"))}
+    return done.select(*[(made[c] if c in made else of(c)).alias(c) for c in docs.columns])
+
+
+def replaced(text: Column, secrets: Column, names: Column, block: int = 1024) -> Column:
+    """A text with each secret replaced by the name of its kind. Pieces are cut from blocks, not from its start each."""
+
+    def joined(blocks: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            part = lambda k: F.substring(F.get(blocks, k), F.greatest(a - k * block, F.lit(0)) + 1, F.least(b - k * block, F.lit(block)) - F.greatest(a - k * block, F.lit(0)))
+            numbers = F.sequence((a / block).cast("int"), ((b - 1) / block).cast("int"))
+            return F.when(b > a, F.array_join(F.transform(numbers, part), "")).otherwise("")
+
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            out = F.when(s["start"] < at, F.array().cast("array<string>")).otherwise(F.array(piece(at, s["start"]), F.get(names, s["kind"])))
+            return F.greatest(at, s["end"]), out
+
+        return F.array_join(folded(secrets, F.lit(0), step, "string", lambda at: F.array(piece(at, F.length(text)))), "")
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), joined)
 
 
 def listed(found: Column, rules=RULES) -> Column:
