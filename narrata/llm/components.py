@@ -14,14 +14,15 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     ``edges`` has columns a and b. In a large-star step every node's larger neighbours link to its
     smallest neighbour, in a small-star step its smaller neighbours and itself do; the links shrink to
     stars around the smallest nodes. Only least neighbours are gathered, never lists of them, and each
-    round is written to the shared folder.
+    round is written to the shared folder. The least neighbours are written too: the join with them then has
+    two shuffled sides, so a star's centre with very many links is split like any skewed key.
     """
     links = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     for _ in range(most):
         if _is_stars(links):
             break
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")

@@ -13,14 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, nested, schema_of, stored
 from .components import components
 
 BITS = 64
 #: Shingles hashed at once, for bounded memory in very long texts.
 BLOCK = 1 << 16
-#: Buckets with more fingerprints than this are first split by a second covering family.
+#: Buckets with more fingerprints than this are split by a second covering family, and what is wider still is dealt out.
 WIDE = 4096
+#: What rows of one run have in common: mask and key of both families, and the slices of a bucket.
+SIGN = ("t", "key", "t2", "key2", "g", "h")
 
 
 def simhash(text: bytes | None, width: int = 3, seed: int = 42) -> int:
@@ -55,8 +57,7 @@ def simhashes(docs: DataFrame, width: int = 3, keep=()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(bits), *batch.columns[1:]], names=["bits", *batch.schema.names[1:]])
 
     rows = docs.select(F.col("text").cast("binary").alias("_text"), "doc_id", *keep)
-    schema = "bits long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(hashed, schema)
+    return rows.mapInArrow(hashed, schema_of("bits long", rows.schema.fields[1:]))
 
 
 def masks(radius: int = 3, turn: int = 0) -> list[int]:
@@ -66,17 +67,8 @@ def masks(radius: int = 3, turn: int = 0) -> list[int]:
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
-def _spanned(bits: np.ndarray, radius: int, split: bool = True):
+def _spanned(bits: np.ndarray, radius: int):
     """Pairs of places in ``bits`` that span the same groups as all pairs within the radius do."""
-    if split and len(bits) > WIDE:
-        for mask in masks(radius, 3):
-            key = bits & np.uint64(mask)
-            order = np.argsort(key, kind="stable")
-            for run in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-                if len(run) > 1:
-                    for a, b in _spanned(bits[run], radius, False):
-                        yield run[a], run[b]
-        return
     left = np.arange(len(bits))
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -89,16 +81,40 @@ def _spanned(bits: np.ndarray, radius: int, split: bool = True):
                 yield x, y
 
 
+def _keyed(rows: DataFrame, radius: int, turn: int = 0) -> DataFrame:
+    """Rows (id, bits, ...) under each mask of a covering family, as t and key beside their own columns."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    at = F.array(*[F.struct(F.lit(t).alias("t"), F.col("bits").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for t, m in enumerate(masks(radius, turn))])
+    return rows.withColumn("at", F.explode(at)).select(*rows.columns, "at.t", "at.key")
+
+
 def links(classes: DataFrame, radius: int = 3) -> DataFrame:
     """Links (a, b) between ids of classes (id, bits) that span the groups of all pairs within the radius.
 
     Rows meet under each mask and are sorted by it; a task walks through runs of equal keys. A run gives
-    fewer links than it has rows, whatever its size.
+    fewer links than it has rows, whatever its size. A bucket of more than WIDE rows is first split by a second
+    covering family, and what is still that large is dealt to tasks in pairs of slices; no pair is left out.
     """
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("bits").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for t, m in enumerate(masks(radius))]))
-    rows = classes.select("id", "bits", keys.alias("at")).select("at.t", "at.key", "id", "bits")
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _keyed(classes.select("id", "bits"), radius).withColumns({"t2": F.lit(0), "key2": F.lit(0).cast("long")})
+    whole = rows.withColumns({"g": F.lit(0), "h": F.lit(0)})
+    # a bucket can be wide only where there are as many classes
+    if classes.limit(WIDE + 1).count() <= WIDE:
+        return _walked(whole, radius)
+    wide = stored(rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > WIDE).select("t", "key"), "wide")
+    if not wide.head(1):
+        return _walked(whole, radius)
+    again = _keyed(rows.join(wide, ["t", "key"]).select("id", "bits", F.col("t").alias("t1"), F.col("key").alias("key1")), radius, 3)
+    again = again.select("id", "bits", F.col("t1").alias("t"), F.col("key1").alias("key"), F.col("t").alias("t2"), F.col("key").alias("key2"))
+    size = again.groupBy("t", "key", "t2", "key2").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("slices"))
+    dealt = again.join(size, ["t", "key", "t2", "key2"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    dealt = dealt.select("id", "bits", "t", "key", (F.col("t2") + 1).alias("t2"), "key2", F.least("own", "other").alias("g"), F.greatest("own", "other").alias("h"))
+    return _walked(whole.join(wide, ["t", "key"], "left_anti").unionByName(dealt), radius).distinct()
+
+
+def _walked(rows: DataFrame, radius: int) -> DataFrame:
+    """Links within runs of equal SIGN of rows (id, bits, t, key, t2, key2, g, h)."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def runs(batches):
         held = None
@@ -106,8 +122,10 @@ def links(classes: DataFrame, radius: int = 3) -> DataFrame:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
             # the last run may go on in the next batch
-            k, key = held.column("t").to_numpy(), held.column("key").to_numpy()
-            cut = np.flatnonzero((np.diff(k) != 0) | (np.diff(key) != 0)) + 1
+            cut = np.zeros(held.num_rows - 1, bool)
+            for c in SIGN:
+                cut |= np.diff(held.column(c).to_numpy()) != 0
+            cut = np.flatnonzero(cut) + 1
             if len(cut):
                 yield from linked(held.slice(0, cut[-1]), cut[:-1])
                 held = held.slice(cut[-1])
@@ -128,7 +146,7 @@ def links(classes: DataFrame, radius: int = 3) -> DataFrame:
             b.append(ids[x:y][pairs[:, 1]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return rows.repartition(n, "t", "key").sortWithinPartitions("t", "key").mapInArrow(runs, "a long, b long")
+    return rows.select("id", "bits", *SIGN).repartition(n, *SIGN).sortWithinPartitions(*SIGN).mapInArrow(runs, "a long, b long")
 
 
 def groups(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
@@ -152,9 +170,9 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     Rows without an id are not grouped and stay.
     """
     kept = groups(docs, width, radius).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    at = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    stay = docs.join(kept.hint("shuffle_hash"), "doc_id").withColumn("_n", F.row_number().over(at)).filter("_n = 1")
-    return stay.select(*docs.columns).union(docs.filter("doc_id is null"))
+    at = Window.partitionBy("doc_id").orderBy("_row")
+    stay = nested(docs, "doc_id").join(kept.hint("shuffle_hash"), "doc_id").withColumn("_n", F.row_number().over(at)).filter("_n = 1")
+    return stay.select("_row.*").union(docs.filter("doc_id is null"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
