@@ -17,35 +17,37 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, documents, stored
 
-#: Fractions of virtual time in which the cut is searched.
-TICKS = 4096
+#: Fractions of virtual time in which the cut is searched; it lies near 1. From FAR on they widen, so their number is bounded.
+TICKS, FAR = 4096, 2.0
+
+
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """Adds ``rank``, from 0 in order of skey: ranges of keys are ranked apart, after the rows of the ranges before."""
+    parts = stored(sizes.repartitionByRange("skey").withColumn("part", F.spark_partition_id()), "mix-sources")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row a range, as many as there are shuffle partitions
+    starts = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return parts.join(starts, "part").withColumn("rank", F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("skey")) - 1).drop("part", "start")
 
 
 def targets(sizes: DataFrame, weights=(1, 2, 3), repeats: int = 3) -> DataFrame:
     """One row a source (skey, source_size) to its target.
 
     Sources in order take ``weights`` in turn and share the total in proportion. A target stops at
-    ``repeats`` times the source's size, and the excess is shared again by weight until none is above:
-    that level is the largest of the levels at which the capped sources, by capacity over weight, form
-    a prefix. The windows run over one row a source.
+    ``repeats`` times the source's size, and the excess is shared again by weight until none is above: each
+    round is one sum over the sources, and a round that stops no further source is the last.
     """
-    at = Window.orderBy("skey")
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(at) - 1, F.lit(len(weights))) + 1).cast("int"))
-    by = Window.orderBy("ratio", "skey")
-    total = Window.partitionBy()
-    before = F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.sum("weight").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    budget = F.sum("source_size").over(total)
-    return (
-        sizes.withColumn("weight", w.cast("long"))
-        .withColumn("cap", F.lit(repeats) * F.col("source_size"))
-        .withColumn("ratio", F.col("cap").cast("double") / F.col("weight"))
-        .withColumn("level", (budget - before).cast("double") / left)
-        .withColumn("level", F.max("level").over(total))
-        .withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
-        .withColumn("budget", budget)
-        .select("skey", "source_size", "target", "budget")
-    )
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int")).cast("long")
+    rows = stored(_ranked(sizes).select("skey", "source_size", w.alias("weight"), (F.lit(repeats) * F.col("source_size")).alias("cap")), "mix-weights")
+    budget = rows.agg(F.sum("source_size")).first()[0] or 0
+    level, stopped = 0.0, -1
+    while True:
+        full = F.lit(level) * F.col("weight") > F.col("cap")
+        n, caps, left = rows.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0))).first()
+        if n == stopped or not left:
+            break
+        level, stopped = (budget - caps) / left, n
+    return rows.select("skey", "source_size", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"), F.lit(budget).cast("long").alias("budget"))
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3, keep=()) -> DataFrame:
@@ -53,18 +55,18 @@ def mix(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3, keep=()) -> DataFr
 
     ``size`` counts words; a null text has none. A null source is a source of its own, the last. Empty
     texts and sources have size 0 and take nothing. Repeated rows are documents of their own; documents
-    with the same id are ordered by size, and equal ones take what their places give. The order is a
-    digest of the id, so runs agree. An empty table gives an empty result.
+    with the same id are ordered by size and a digest of the text, and equal ones take what their places give.
+    The order is a digest of the id, so runs agree. ``keep`` must not name a column of the result. An empty
+    table gives an empty result.
     """
-    spark = docs.sparkSession
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     slim = stored(
         docs.select(
-            "doc_id",
-            *keep,
+            F.struct("doc_id", *keep).alias("kept"),
             F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source"))).alias("skey"),
             F.coalesce(F.regexp_count("text", F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long").alias("size"),
             key.alias("key"),
+            F.xxhash64("text").alias("tie"),
         ).withColumn("bucket", F.substring("key", 1, 3)),
         "mix-sizes",
     )
@@ -72,15 +74,15 @@ def mix(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3, keep=()) -> DataFr
     aim = targets(sums.groupBy("skey").agg(F.sum("n").alias("source_size")), weights, repeats)
     ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n").join(aim, "skey")
-    inside = Window.partitionBy("skey", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("skey", "bucket").orderBy("key", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = stored(
         slim.join(starts, ["skey", "bucket"])
         .withColumn("upto", F.col("start") + F.sum("size").over(inside))
-        .select("doc_id", *keep, "key", "size", "source_size", "target", "budget", "upto"),
+        .select("kept", "key", "size", "source_size", "target", "budget", "upto"),
         "mix-places",
     )
     finish = lambda e: (F.lit(e) * F.col("source_size") + F.col("upto")).cast("double") / F.col("target")
-    tick = lambda f: F.floor(f * TICKS)
+    tick = lambda f: F.when(f < FAR, F.floor(f * TICKS)).otherwise(int(FAR * TICKS) + F.floor(F.log2(f / FAR) * 64))
     copies = placed.filter("size > 0").select("key", "size", "budget", F.explode(F.array(*[F.struct(finish(e).alias("finish"), F.lit(e).alias("e")) for e in range(repeats)])).alias("at"))
     copies = copies.select("key", "size", "budget", F.col("at.finish").alias("finish"), F.col("at.e").alias("e")).withColumn("tick", tick(F.col("finish")))
     so_far = Window.orderBy("tick")
@@ -105,20 +107,23 @@ def mix(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3, keep=()) -> DataFr
     n = taken[0]
     for x in taken[1:]:
         n = n + x
-    return placed.select("doc_id", *keep, "size", "source_size", "target", F.when(F.col("size") > 0, n * F.col("size")).otherwise(0).cast("long").alias("taken"))
+    return placed.select("kept.*", "size", "source_size", "target", F.when(F.col("size") > 0, n * F.col("size")).otherwise(0).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3) -> DataFrame:
     """The rows of the mix: each row of ``docs`` as often as it is taken, none to ``repeats`` times.
 
-    Documents without words take no part. Rows that are equal in id and text are taken together.
+    Documents without words take no part. Rows that are equal in id, text and source are taken together, as the
+    least of them by its other columns.
     """
     same = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64("text", "source").alias("_text")]
-    shares = mix(docs.select("*", *same), weights, repeats, ("_id", "_text")).filter("taken > 0")
+    shares = mix(docs.select("doc_id", "text", "source", *same), weights, repeats, ("_id", "_text")).filter("taken > 0")
     shares = shares.groupBy("_id", "_text").agg(F.sum(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    at = Window.partitionBy("_id", "_text").orderBy("_id")
-    rows = docs.select("*", *same).join(shares.hint("shuffle_hash"), ["_id", "_text"]).withColumn("_n", F.row_number().over(at)).filter("_n = 1")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    # one of each before the join, so that equal rows are thinned before they are shuffled
+    at = Window.partitionBy("_id", "_text").orderBy("_row")
+    once = docs.select(*same, F.struct("*").alias("_row")).withColumn("_n", F.row_number().over(at)).filter("_n = 1")
+    rows = once.join(shares.hint("shuffle_hash"), ["_id", "_text"])
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
