@@ -11,6 +11,8 @@ ranges of ids, each range also gets the first row of the following one.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,18 +86,20 @@ def with_next(rows: DataFrame, columns: list[str], ranges: int | None = None) ->
     """Adds next_<column> of the row that follows by doc_id; after the last comes the first.
 
     Null ids stand first, and rows with equal ids are ordered by the columns. The rows are shuffled once,
-    by ranges of ids; a range's window also holds copies of the first rows of the following range.
+    by ranges of ids; a range's window also holds copies of the first rows of the following range. There are
+    four ranges to a shuffle partition, so they stay small where the partitions are as many as the data asks
+    for. Rows with equal ids are in one range.
     """
     spark = rows.sparkSession
-    n = min(4096, ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("cuts")).first()["cuts"]
+    n = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 4 * n).alias("cuts")).first()["cuts"]
     cuts = sorted(set(cuts or [0]))
-    step = 64
+    step = max(1, math.isqrt(len(cuts)))
     below = lambda id_, values: F.size(F.filter(values, lambda b: b <= id_))
     ends = F.lit(cuts[step - 1 :: step]) if len(cuts) >= step else F.array().cast("array<long>")
     id_ = F.col("doc_id").cast("long")
     ranged = rows.withColumn("_block", below(id_, ends)).withColumn("_range", F.col("_block") * step + below(id_, F.slice(F.lit(cuts), F.col("_block") * step + 1, step))).drop("_block")
-    firsts = {r["_range"]: (r["id"], r["nulls"]) for r in ranged.groupBy("_range").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("nulls")).collect()}  # at most 4096 rows
+    firsts = {r["_range"]: (r["id"], r["nulls"]) for r in ranged.groupBy("_range").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("nulls")).collect()}  # a row a range
     order = sorted(firsts) or [0]
     before = {b: order[i - 1] for i, b in enumerate(order)}
     every = range(len(cuts) + 1)
