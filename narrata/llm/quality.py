@@ -1,8 +1,12 @@
 """Document quality by a linear-chain conditional random field over lines.
 
-Every line of a text is labelled good or bad from its own features and its neighbours'. The field is fitted
-on lines of labelled documents, each line with its document's label. A document's quality is the mean of its
-lines' forward-backward marginals, weighted by length and calibrated on the same documents.
+Every line of a text is labelled good or bad from its own features and its neighbours'. The field is fitted on
+labelled documents and on mixed ones: a half of a good document and a half of a bad one, so that labels switch
+inside a text and lines are told apart by what they are, not by the document around them. A line's own label is
+hidden; the label of the document it is from is evidence for it, EVIDENCE in log-odds. Fitting is expectation
+maximisation: what the field expects of the lines under that evidence against what it expects without.
+A document's quality is the mean of its lines' forward-backward marginals, weighted by length and calibrated on
+the labelled documents.
 """
 
 from __future__ import annotations
@@ -14,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents
+from .common import crc_mod, documents, schema_of
 
 #: The bound of the sample that is fitted: so many documents, none with more bytes or lines than this.
 SAMPLE = 4000
 MOST_BYTES = 20_000
 MOST_LINES = 64
 THRESHOLD = 0.7
+#: How far a document's label speaks for each of its lines, in log-odds.
+EVIDENCE = 3.0
 
 #: Classes of bytes whose shares in a line are features.
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256)), b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r", b".,;:?'\"()-", b"!", b"#$%&*@^~_=+\\/", b"|<>{}[]`")
@@ -85,28 +91,40 @@ def _both_ways(e: np.ndarray, a: np.ndarray, mask: np.ndarray):
     return good, pairs, z
 
 
+def mixtures(texts: list[bytes], labels: list[int]):
+    """Halves of good and bad documents in turn, as one text, and for each line whether it is from the good one."""
+    good, bad = ([t.split(b"\n") for t, y in zip(texts, labels, strict=True) if y == k] for k in (1, 0))
+    for k, (g, b) in enumerate(zip(good, bad)):  # as many as there are of both
+        g, b = g[: (len(g) + 1) // 2], b[len(b) // 2 :]
+        first, last = (g, b) if k % 2 else (b, g)
+        yield b"\n".join(first + last), np.array([float(k % 2)] * len(first) + [float(1 - k % 2)] * len(last))
+
+
 def fit(texts: list[bytes], labels: list[int], rounds: int = 120, l2: float = 1e-3) -> dict:
-    """The field's weights by gradient ascent on its likelihood, and the calibration of document scores."""
+    """The field's weights by gradient ascent on the likelihood of the evidence, and the calibration of document scores."""
     rows = [line_features(t) for t in texts]
+    of = [np.full(len(f), y, float) for (f, _), y in zip(rows, labels, strict=True)]
+    for text, y in mixtures(texts, labels):
+        rows.append(line_features(text))
+        of.append(y)
     t_max, width = max((len(x) for x, _ in rows), default=1), rows[0][0].shape[1] if rows else 1
-    x, mask = np.zeros((len(rows), t_max, width), np.float32), np.zeros((len(rows), t_max), bool)
-    for i, (f, _) in enumerate(rows):
-        x[i, : len(f)], mask[i, : len(f)] = f, True
-    y = np.array(labels, float)
+    x, mask, evidence = np.zeros((len(rows), t_max, width), np.float32), np.zeros((len(rows), t_max), bool), np.zeros((len(rows), t_max))
+    for i, ((f, _), line) in enumerate(zip(rows, of, strict=True)):
+        x[i, : len(f)], mask[i, : len(f)], evidence[i, : len(f)] = f, True, EVIDENCE * (2 * line - 1)
     w, a = np.zeros(width), np.zeros((2, 2))
-    seen = np.zeros((2, 2))
-    for k in (0, 1):
-        seen[k, k] = (mask[:, 1:].sum(1) * (y == k)).sum()
     lines = max(1, mask.sum())
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, a)]
     for i in range(1, rounds + 1):
-        good, pairs, _ = _both_ways((x @ w.astype(np.float32)).astype(float), a, mask)
-        slopes = (np.einsum("ntf,nt->f", x, ((y[:, None] - good) * mask).astype(np.float32)) / lines - l2 * w, (seen - pairs) / lines - l2 * a)
+        e = (x @ w.astype(np.float32)).astype(float)
+        free, free_pairs, _ = _both_ways(e, a, mask)
+        held, held_pairs, _ = _both_ways(e + evidence, a, mask)
+        slopes = (np.einsum("ntf,nt->f", x, (held - free).astype(np.float32)) / lines - l2 * w, (held_pairs - free_pairs) / lines - l2 * a)
         for p, g, m in zip((w, a), slopes, moments, strict=True):
             m[0], m[1] = 0.9 * m[0] + 0.1 * g, 0.99 * m[1] + 0.01 * g * g
             p += 0.15 * (m[0] / (1 - 0.9**i)) / (np.sqrt(m[1] / (1 - 0.99**i)) + 1e-8)
     model = {"w": w, "a": a, "scale": (1.0, 0.0)}
-    raw = np.array([_raw(*r, model) for r in rows])
+    y = np.array(labels, float)
+    raw = np.array([_raw(*r, model) for r in rows[: len(texts)]])
     slope, offset = 1.0, 0.0
     for _ in range(200):  # Newton steps of a logistic fit, with a little ridge
         p = 1 / (1 + np.exp(-(slope * raw + offset)))
@@ -181,8 +199,7 @@ def scored(docs: DataFrame, model: dict, keep=()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.float64()), *batch.columns[1:]], names=["score", *batch.schema.names[1:]])
 
     rows = docs.select(F.col("text").cast("binary").alias("_text"), "doc_id", *keep)
-    schema = "score double, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(each, schema_of("score double", rows.schema.fields[1:]))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
