@@ -1,7 +1,9 @@
 """Near-duplicates by the likeness of their sets of five-word shingles, verified.
 
-Candidates come from two searches: SimHash fingerprints within a radius, and bands of MinHash values. What either
-links is one candidate group; within it, sets are compared exactly, and only links of the least likeness stay.
+Candidates come from two searches: SimHash fingerprints within a radius, and bands of MinHash values. A document is
+first compared with the least one of each bucket it is in. Where a bucket then still holds documents of several
+groups, all that is in it is compared, dealt to tasks in pairs of slices of bounded size. Only links of the least
+likeness, computed on the whole sets, stay.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import stored
+from .common import nested, stored
 from .components import components
 
 WIDTH = 5
@@ -22,6 +24,8 @@ LEAST = (4, 5)
 BANDS, ROWS = 36, 7
 #: Shingles under all hash functions at once.
 BLOCK = 2048
+#: A task compares at most two slices of a bucket: of so many documents and, but for a single longer one, shingles.
+SLICE, MOST_SHINGLES = 512, 1 << 22
 _RANDOM = np.random.default_rng(5)
 _TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -64,16 +68,34 @@ def _digest(found: np.ndarray) -> bytes:
 def _sketches(docs: DataFrame) -> DataFrame:
     def each(batches):
         for batch in batches:
-            digests, keys, bits = [], [], []
+            digests, keys, bits, size = [], [], [], []
             for t in batch.column(1):
                 text = t.as_py()
                 found = shingles(text)
                 digests.append(_digest(found))
                 keys.append(bands(found).view(np.int64))
                 bits.append(simhash.simhash(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(bits, np.uint64).view(np.int64))], names=["doc_id", "digest", "bands", "bits"])
+                size.append(len(found))
+            made = [pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(bits, np.uint64).view(np.int64)), pa.array(size, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "digest", "bands", "bits", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(each, "doc_id long, digest binary, bands array<long>, bits long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(each, "doc_id long, digest binary, bands array<long>, bits long, size long")
+
+
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set: its shingles' hashes as bytes) of the documents named in ids; an id that repeats has several rows."""
+
+    def each(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "set"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    return rows.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(each, "id long, set binary")
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * LEAST[1] >= (len(x) + len(y) - both) * LEAST[0]
 
 
 def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -100,23 +122,41 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
-def _verified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Links (a, b) of the least likeness within the groups of ``candidates`` (node, component)."""
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets are alike."""
+
+    def each(batches):
+        for batch in batches:
+            of = lambda c: (np.frombuffer(x.as_py(), np.uint64) for x in batch.column(c))  # noqa: B023, E731
+            good = pa.array([alike(x, y) for x, y in zip(of(2), of(3))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+
+    x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
+
+
+def _slices(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """(band, key, g, h, id): the members of buckets (band, key, id, size) that hold several of groups (node, component).
+
+    Each pair of slices (g, h) of a bucket is a part of its own. Buckets with the same members count once.
+    """
+    at = met.join(groups, F.col("id") == F.col("node"), "left").select("band", "key", "id", "size", F.coalesce("component", "id").alias("of"))
+    n = F.greatest(F.ceil(F.count("*") / SLICE), F.ceil(F.sum("size") / MOST_SHINGLES)).cast("int")
+    mixed = at.groupBy("band", "key").agg(n.alias("n"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("id").alias("first"), F.max("id").alias("last"), F.min("of").alias("low"), F.max("of").alias("high")).filter("low != high")
+    once = mixed.groupBy("members", "first", "last", "n").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "n")
+    rows = at.join(once, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("band", "key", F.least("own", "other").alias("g"), F.greatest("own", "other").alias("h"), "id")
+
+
+def _compared(parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that span the groups of the alike in each part (band, key, g, h)."""
 
-    def each(key, table):
-        found: dict[bytes, tuple[int, np.ndarray]] = {}
-        links = []
-        for i, t in zip(table.column("doc_id").to_pylist(), table.column("text")):
-            s = shingles(t.as_py())
-            other = found.setdefault(_digest(s), (i, s))[0]
-            links.append((i, other))
-        ids = [i for i, _ in found.values()]
-        links += [(ids[a], ids[b]) for a, b in linked([s for _, s in found.values()])]
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+    def each(table):
+        ids = table.column("id").to_pylist()
+        links = linked([np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")])
+        return pa.table({"a": pa.array([ids[a] for a, _ in links], pa.int64()), "b": pa.array([ids[b] for _, b in links], pa.int64())})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = rows.join(candidates.withColumnRenamed("node", "doc_id").hint("shuffle_hash"), "doc_id")
-    return rows.groupBy("component").applyInArrow(each, "a long, b long")
+    return parts.join(sets, "id").groupBy("band", "key", "g", "h").applyInArrow(each, "a long, b long")
 
 
 def groups(docs: DataFrame, radius: int = 3) -> DataFrame:
@@ -124,17 +164,21 @@ def groups(docs: DataFrame, radius: int = 3) -> DataFrame:
 
     Near-duplicates are alike by LEAST at least in their five-word shingles; groups are what such links reach.
     Texts without words are alike. Equal sets are one class, and only classes are compared. Rows that repeat an
-    id are one node, null ids none. A candidate group is compared in one task, which holds its sets.
+    id are one node, null ids none.
     """
     rows = stored(_sketches(docs.filter("doc_id is not null")), "sketches")
-    classes = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
-    keys = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    least = keys.groupBy("band", "key").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    meet = keys.join(least, ["band", "key"]).select(F.col("id").alias("a"), F.col("least").alias("b"))
+    classes = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("size").alias("size")), "classes")
+    keys = classes.select("id", "size", F.posexplode("bands").alias("band", "key"))
+    busy = keys.groupBy("band", "key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least != most")
+    met = stored(keys.join(busy.drop("most"), ["band", "key"]), "buckets")
     prints = classes.groupBy("bits").agg(F.min("id").alias("id"))
     same = classes.select(F.col("id").alias("a"), "bits").join(prints, "bits").select("a", F.col("id").alias("b"))
-    found = components(meet.union(same).filter("a != b").distinct().union(simhash.links(prints, radius)))
-    near = _verified(docs, found)
+    pairs = stored(met.select(F.col("id").alias("a"), F.col("least").alias("b")).union(same).union(simhash.links(prints, radius)).filter("a != b").distinct(), "candidates")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(met.select("id")).distinct()
+    sets = stored(_sets(docs, ids), "sets")
+    near = stored(_verified(pairs, sets), "alike")
+    parts = stored(_slices(met, components(near)), "slices")
+    near = near.union(_compared(parts, sets))
     equal = rows.join(classes.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     return components(near.union(equal))
 
@@ -145,6 +189,7 @@ def one_of_each(docs: DataFrame, radius: int = 3) -> DataFrame:
     Rows without an id are not grouped and stay.
     """
     gone = stored(groups(docs, radius).filter("node != component").select(F.col("node").alias("doc_id")), "gone")
-    at = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    stay = docs.filter("doc_id is not null").join(gone.hint("shuffle_hash"), "doc_id", "left_anti").withColumn("_n", F.row_number().over(at)).filter("_n = 1")
-    return stay.select(*docs.columns).union(docs.filter("doc_id is null"))
+    at = Window.partitionBy("doc_id").orderBy("_row")
+    rows = nested(docs, "doc_id")
+    stay = rows.filter("doc_id is not null").join(gone.hint("shuffle_hash"), "doc_id", "left_anti").withColumn("_n", F.row_number().over(at)).filter("_n = 1")
+    return stay.select("_row.*").union(docs.filter("doc_id is null"))

@@ -1,5 +1,7 @@
 """The near-duplicate stage against 5-word similarity by brute force."""
 
+import pytest
+
 import corpus_pipeline as pipeline
 from narrata.llm import near, simhash
 
@@ -9,7 +11,9 @@ def grams(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_stage_keeps_one_of_each_likeness_group(spark):
+@pytest.mark.parametrize("width", [512, 2])
+def test_stage_keeps_one_of_each_likeness_group(spark, monkeypatch, width):
+    monkeypatch.setattr(near, "SLICE", width)
     texts = {}
     for k in range(40):  # copies with words changed here and there, of likeness above and below 0.8
         words = [f"w{k}x{(i * 7919 + k) % 997}" for i in range(150)]
