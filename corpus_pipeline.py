@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return
 the columns of documents. Null texts count as empty, repeated rows and ids are treated as the operators say,
-and empty tables go through.
+and empty tables go through. Further columns, whatever their names, are carried along unchanged; the last stage
+gives the token ids of a row beside its doc_id and source.
 """
 
 from __future__ import annotations
@@ -11,18 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.llm import bpe, mixing, near, quality, secrets
-from narrata.llm.common import stored
+from narrata.llm.common import nested, stored
 
-#: Bits in which the fingerprints of candidates for near-duplicates may differ. As 5-word similarities of 0.8 and
-#: more lie at 3 to 11 bits, MinHash bands search too, and what either finds is verified.
-RADIUS = 5
+#: Bits in which fingerprints of candidates for near-duplicates may differ. As 5-word similarities of 0.8 and more
+#: lie at 3 to 11 bits, MinHash bands search too, and what either finds is verified.
+RADIUS = 3
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the line field rejects."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = quality.scored(docs, model, [c for c in docs.columns if c != "doc_id"])
-    return rows.filter(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    rows = quality.scored(nested(docs, "doc_id", "text"), model, ["_row"])
+    return rows.filter(F.col("score") >= quality.THRESHOLD).select("_row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
