@@ -23,11 +23,14 @@ from .common import stored
 from .components import components
 
 TABLES, BLOCKS, PROBES = 12, 3, 3
-#: Side of a lattice cell, in units of a unit vector's length.
-SIDE = 0.35
+#: Side of a lattice cell, in units of a unit vector's length over the root of its width: of a wider vector a smaller
+#: part falls into the projected dimensions, and cells shrink with it.
+SIDE = 2.8
 #: Rows of a cell that one task takes; larger cells are dealt out by groups of this size.
-GROUP = 4096
+GROUP = 1024
 SEED = 20240229
+#: What the rows of one run have in common: table, cell and the groups of a large cell.
+SIGN = ("t", "key", "g", "h")
 
 
 def nearest_points(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,14 +65,14 @@ def nearest_points(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def rotation(table: int, width: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Directions, offsets and the multipliers that pack a cell into 64 bits, for one table."""
     rng = np.random.default_rng([SEED, table, width])
-    q = np.linalg.qr(rng.normal(size=(max(width, 8 * blocks), max(width, 8 * blocks))))[0]
-    return q[:width, : 8 * blocks], rng.random(8 * blocks), rng.integers(1, 2**63, size=8 * blocks, dtype=np.int64) | 1
+    q = np.linalg.qr(rng.normal(size=(max(width, 8 * blocks), 8 * blocks)))[0]
+    return q[:width], rng.random(8 * blocks), rng.integers(1, 2**63, size=8 * blocks, dtype=np.int64) | 1
 
 
 def cells(unit: np.ndarray, table: int, blocks: int = BLOCKS, probes: int = PROBES, side: float = SIDE) -> np.ndarray:
     """Packed cells of unit vectors (rows x 1 + probes): their own, then the neighbours to probe."""
     directions, offsets, packing = rotation(table, unit.shape[1], blocks)
-    y = unit @ directions / side + offsets
+    y = unit @ directions * (np.sqrt(max(unit.shape[1], 8 * blocks)) / side) + offsets
     key, far = np.full((len(y), 1), unit.shape[1], np.int64), np.zeros((len(y), 1))
     with np.errstate(over="ignore"):
         for b in range(blocks):
@@ -112,13 +115,32 @@ def lattice_cells(classes: DataFrame, tables: int = TABLES, blocks: int = BLOCKS
     return classes.select("id", "embedding").mapInArrow(each, "t int, key long, id long, own boolean")
 
 
-def _compare(batches, least: float):
-    """Pairs with a cosine of at least ``least`` in runs of rows with equal (t, key, g, h)."""
-    held, sign = None, ("t", "key", "g", "h")
+def _forest(label: np.ndarray, p: np.ndarray, q: np.ndarray):
+    """Merges the labels of linked places; gives for each merger a pair that stands for it."""
+    while len(p):
+        low, high = np.minimum(label[p], label[q]), np.maximum(label[p], label[q])
+        apart = low != high
+        p, q, low, high = p[apart], q[apart], low[apart], high[apart]
+        top, first = np.unique(high, return_index=True)
+        yield p[first], q[first]
+        to = np.arange(len(label))
+        to[top] = low[first]
+        while (to[to] != to).any():
+            to = to[to]
+        label[:] = to[label]
+
+
+def _compare(batches, least: float, probes: int = PROBES):
+    """Of runs of rows with equal SIGN: links (a, b) that span what cosines of at least ``least`` link, and counts.
+
+    A count is a row (a, a, n): n other vectors linked to a. Each pair is counted once, in the first table where
+    the two meet, and there in the least of the cells where they do; so no row a pair is needed.
+    """
+    held = None
 
     def runs(table):
         cut = np.zeros(table.num_rows - 1, bool)
-        for c in sign:
+        for c in SIGN:
             cut |= np.diff(table.column(c).to_numpy()) != 0
         return np.flatnonzero(cut) + 1
 
@@ -126,16 +148,28 @@ def _compare(batches, least: float):
         table = table.combine_chunks()
         edges = np.concatenate(([0], runs(table), [table.num_rows]))
         starts, sizes = edges[:-1], np.diff(edges)
-        t, g, h, ids, own, group = (table.column(c).to_numpy() for c in ("t", "g", "h", "id", "own", "group"))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-        def add(table_no, p, q):
-            """Keeps pairs of places whose own cells meet in no earlier table; the others were found there."""
-            if len(p) and table_no:
-                at, back = np.unique(np.concatenate((p, q)), return_inverse=True)
-                both = np.stack([cells(unit[where[at]], k, probes=0)[:, 0] for k in range(table_no)], 1)[back]
-                new = ~(both[: len(p)] == both[len(p) :]).any(1)
-                p, q = p[new], q[new]
+        t, keys, g, h, ids, own, group, many = (table.column(c).to_numpy() for c in ("t", "key", "g", "h", "id", "own", "group", "many"))
+        a, b, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(table.num_rows, np.int64)
+
+        def count(table_no, p, q):
+            """Counts those of the pairs of places that are to be counted here."""
+            if not len(p):
+                return
+            at, back = np.unique(np.concatenate((p, q)), return_inverse=True)
+            p, q, x, y = p, q, back[: len(p)], back[len(p) :]
+            for k in range(table_no + 1):
+                c = cells(unit[where[at]], k, probes=probes)
+                there, here = (c[x, :1] == c[y]).any(1), (c[y, :1] == c[x]).any(1)
+                if k < table_no:
+                    stay = ~(there | here)
+                else:
+                    mine = np.where(there & here, np.minimum(c[x, 0], c[y, 0]), np.where(there, c[x, 0], c[y, 0]))
+                    stay = mine == keys[p]
+                p, q, x, y = p[stay], q[stay], x[stay], y[stay]
+            np.add.at(counts, p, many[q])
+            np.add.at(counts, q, many[p])
+
+        def link(p, q):
             a.append(np.minimum(ids[p], ids[q]))
             b.append(np.maximum(ids[p], ids[q]))
 
@@ -147,12 +181,14 @@ def _compare(batches, least: float):
             two = starts[sizes == 2]
             two = two[(where[two] >= 0) & (where[two + 1] >= 0) & (own[two] | own[two + 1]) & (ids[two] != ids[two + 1])]
             two = two[np.einsum("ij,ij->i", unit[where[two]], unit[where[two + 1]]) >= least]
+            link(two, two + 1)
             for k in np.unique(t[two]):
-                add(k, two[t[two] == k], two[t[two] == k] + 1)
+                count(k, two[t[two] == k], two[t[two] == k] + 1)
             for x, n in zip(starts[sizes > 2], sizes[sizes > 2]):
                 at = np.arange(x, x + n)
                 at = at[where[at] >= 0]
                 vectors = unit[where[at]]
+                label = np.arange(len(at))
                 for i in range(0, len(at), 512):
                     rows = at[i : i + 512]
                     near = vectors[i : i + 512] @ vectors.T >= least
@@ -160,8 +196,12 @@ def _compare(batches, least: float):
                     if g[x] != h[x]:
                         near &= group[rows, None] != group[None, at]
                     p, q = np.nonzero(near)
-                    add(t[x], rows[p], at[q])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                    for v, w in _forest(label, p + i, q):
+                        link(at[v], at[w])
+                    count(t[x], rows[p], at[q])
+        some = np.flatnonzero(counts)
+        zeros = np.zeros(sum(map(len, a)), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((*a, ids[some]))), pa.array(np.concatenate((*b, ids[some]))), pa.array(np.concatenate((zeros, counts[some])))], names=["a", "b", "n"])
 
     for batch in batches:
         new = pa.Table.from_batches([batch])
@@ -174,18 +214,18 @@ def _compare(batches, least: float):
         yield from linked(held)
 
 
-def links(classes: DataFrame, least: float = 0.9, tables: int = TABLES) -> DataFrame:
-    """Distinct links (a < b) between classes (id, embedding) found with a cosine of at least ``least``."""
+def found(classes: DataFrame, least: float = 0.9, tables: int = TABLES) -> DataFrame:
+    """Links and counts (a, b, n), see ``_compare``, between classes (id, embedding, n vectors each)."""
     spark = classes.sparkSession
     met = stored(lattice_cells(classes, tables), "cells")
-    busy = met.groupBy("t", "key").agg(F.count("*").alias("n"), F.max("own").alias("kept")).filter("n > 1 and kept")
+    busy = met.groupBy("t", "key").agg(F.count("*").alias("all"), F.max("own").alias("kept")).filter("all > 1 and kept")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = met.join(busy.select("t", "key", "n"), ["t", "key"])
-    groups = F.ceil(F.col("n") / GROUP).cast("int")
+    rows = met.join(busy.select("t", "key", "all"), ["t", "key"])
+    groups = F.ceil(F.col("all") / GROUP).cast("int")
     rows = rows.withColumn("groups", groups).withColumn("group", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int"))
-    rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("t", "key", F.least("group", "_with").alias("g"), F.greatest("group", "_with").alias("h"), "group", "id", "own")
-    rows = rows.join(classes.select("id", "embedding"), "id").repartition(n, "t", "key", "g", "h").sortWithinPartitions("t", "key", "g", "h")
-    return rows.select("t", "key", "g", "h", "group", "id", "own", "embedding").mapInArrow(lambda batches: _compare(batches, least), "a long, b long").distinct()
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("t", "key", F.least("group", "with").alias("g"), F.greatest("group", "with").alias("h"), "group", "id", "own")
+    rows = rows.join(classes.select("id", "embedding", F.col("n").alias("many")), "id").repartition(n, *SIGN).sortWithinPartitions(*SIGN)
+    return rows.select(*SIGN, "group", "id", "own", "many", "embedding").mapInArrow(lambda batches: _compare(batches, least), "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
@@ -201,10 +241,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     fine = rows.filter(sound)
     classes = stored(fine.groupBy("embedding").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("n")), "classes")
     named = classes.filter("id is not null")
-    found = stored(links(named, least), "pairs")
-    both = found.union(found.select("b", "a"))
-    degree = both.join(named.select(F.col("id").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("more"))
-    of = components(found)
+    met = stored(found(named, least), "links")
+    degree = met.filter("a = b").groupBy("a").agg(F.sum("n").alias("more"))
+    of = components(met.filter("a != b").select("a", "b"))
     about = classes.join(degree, F.col("id") == F.col("a"), "left").join(of, F.col("id") == F.col("node"), "left")
     about = about.select("embedding", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = fine.join(about, "embedding").select("vec_id", "n_links", "component_id")

@@ -339,6 +339,22 @@ def test_large_cells_are_dealt_by_groups(spark, monkeypatch):
     assert all(r.n_links == 39 and r.component_id == 0 for r in embeddings.near_duplicates(df).collect())
 
 
+@pytest.mark.parametrize("width", [16, 24, 64, 256, 1536])
+def test_recall_at_the_least_cosine(width):
+    """Of pairs at a cosine of 0.9, at least 0.9 meet in some table; unrelated vectors hardly ever do, at any width."""
+    g = np.random.default_rng(width)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(g.normal(size=(300, width)))
+    z = g.normal(size=x.shape)
+    y = 0.9 * x + np.sqrt(1 - 0.81) * unit(z - (z * x).sum(1, keepdims=True) * x)
+    met, apart = np.zeros(300, bool), 0.0
+    for t in range(embeddings.TABLES):
+        a, b = embeddings.cells(x, t), embeddings.cells(y, t)
+        met |= (a[:, :1] == b).any(1) | (b[:, :1] == a).any(1)
+        apart = max(apart, ((a[:, :1] == a[:, 0]).sum() - 300) / (300 * 299))
+    assert met.mean() >= 0.9 and apart < 0.001
+
+
 def test_lattice_points_are_nearest():
     y = np.random.default_rng(4).normal(size=(50, 8))
     points, far = embeddings.nearest_points(y)
