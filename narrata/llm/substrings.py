@@ -4,8 +4,10 @@ A string of ``length`` bytes holds at least one anchor: the first of the least s
 stands again, its anchor stands at the same place in it, so only suffixes that begin at anchors are indexed, about
 one in eighty. An index entry has the seed's hash (h), the hash of the stretch that all windows of this anchor
 cover (u), and the text it is from. Entries with equal h and u repeat as a whole; where stretches differ around a
-common seed, one of each is fetched and all their windows are compared. Equality is decided on 128 bits of
-independent hashes.
+common seed, one of each is fetched and all their windows are compared. Stretches are equal if a cryptographic
+digest of theirs is; windows are found by a rolling hash and then compared byte by byte.
+
+Each text is treated once, whatever the number of its copies: one document stands for all with the same digest.
 
 ``Levels`` keeps the index of earlier batches: a new batch is sorted by h, scanned with every level for matches,
 and levels of like size are merged, so an entry is rewritten a logarithmic number of times.
@@ -33,6 +35,10 @@ AT_ONCE = 1 << 20
 WIDE = 1 << 17
 
 
+def _digest(stretch: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(stretch, digest_size=8).digest(), "little")
+
+
 class Hasher:
     """Anchors of texts. Powers and random values of the two prefix hashes are made once in each worker."""
 
@@ -96,7 +102,8 @@ class Hasher:
             cut = np.flatnonzero(np.diff(place)) + 1
             first, last = np.concatenate(([0], cut)), np.concatenate((cut - 1, [len(place) - 1]))
             anchor = place[first]
-            u = self.ranges(self.prefixes(data, 1), 1, first, last + self.length)
+            whole = data.tobytes()
+            u = np.fromiter((_digest(whole[a:b]) for a, b in zip(first.tolist(), (last + self.length).tolist())), np.uint64, len(first))
             u = self.mix(u ^ ((last - first) * 4099 + anchor - first).astype(np.uint64))
             parts.append((h[anchor].view(np.int64), u.view(np.int64), anchor + at, first + at, last + at))
         return tuple(np.concatenate(x) for x in zip(*parts))
@@ -114,6 +121,44 @@ class Hasher:
         start = np.arange(low, high + 1)
         return self.ranges(self.prefixes(data, 1), 1, start, start + self.length), anchor - start
 
+    def window_digests(self, context: bytes, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``window_hashes``, by the digest of each window: for windows that meet in no task where bytes can be compared."""
+        _, offsets = self.window_hashes(context, anchor)
+        return np.fromiter((_digest(context[anchor - o : anchor - o + self.length]) for o in offsets.tolist()), np.uint64, len(offsets)), offsets
+
+
+def repeated(values: np.ndarray, rows: np.ndarray, offsets: np.ndarray, window) -> np.ndarray:
+    """Which of the windows (row, offset) stand in another row at the same offset. ``window(row, low, high)`` gives bytes.
+
+    Equal hashes say where to look. Neighbours among them are compared as whole runs of windows; where a run's bytes
+    differ, the windows with these hashes are told apart by their bytes.
+    """
+    order = np.lexsort((rows, offsets, values))
+    same = np.flatnonzero((np.diff(values[order]) == 0) & (np.diff(offsets[order]) == 0))
+    again = np.zeros(len(values), bool)
+    p, q = order[same], order[same + 1]
+    by = np.lexsort((-offsets[p], rows[q], rows[p]))
+    p, q = p[by], q[by]
+    if not len(p):
+        return again
+    cut = np.flatnonzero((np.diff(rows[p]) != 0) | (np.diff(rows[q]) != 0) | (np.diff(offsets[p]) != -1)) + 1
+    doubtful = []
+    for a, b in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(p)]))):
+        low, high = int(offsets[p[b - 1]]), int(offsets[p[a]])
+        if window(int(rows[p[a]]), low, high) == window(int(rows[q[a]]), low, high):
+            again[p[a:b]] = again[q[a:b]] = True
+        else:
+            doubtful.append(values[p[a:b]])
+    if doubtful:
+        at = np.flatnonzero(np.isin(values, np.concatenate(doubtful)))
+        seen: dict[tuple, list[int]] = {}
+        for i in at.tolist():
+            seen.setdefault((int(offsets[i]), window(int(rows[i]), int(offsets[i]), int(offsets[i]))), []).append(i)
+        again[at] = False
+        for group in seen.values():
+            again[group] = len(group) > 1
+    return again
+
 
 def entries(texts: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """The index entries (h, u, key, c) of texts (key, text): c times in this text."""
@@ -192,7 +237,7 @@ def _spread(contexts: DataFrame, length: int, seed: int) -> DataFrame:
         hasher = Hasher.of(length, seed)
         for batch in _slices(batches):
             h, u, key, whole, anchor, context = (batch.column(c).to_pylist() for c in ("h", "u", "key", "whole", "anchor", "context"))
-            got = [hasher.window_hashes(x, a) for x, a in zip(context, anchor)]
+            got = [hasher.window_digests(x, a) for x, a in zip(context, anchor)]
             n = [len(x) for x, _ in got]
             values = [hasher.tagged(x, o, a).view(np.int64) for (x, o), a in zip(got, h)]
             repeat = lambda x, kind: pa.array(np.repeat(np.array(x), n), kind)  # noqa: E731, B023
@@ -237,10 +282,7 @@ def _compared(contexts: DataFrame, length: int, seed: int, partitions: int) -> D
                 sizes.append(len(x))
                 offsets.append(o)
             values, offsets, rows = np.concatenate(values), np.concatenate(offsets), np.repeat(np.arange(len(sizes)), sizes)
-            order = np.argsort(values, kind="stable")
-            same = np.diff(values[order]) == 0
-            again = np.zeros(len(order), bool)
-            again[order] = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(order) else False
+            again = repeated(values, rows, offsets, lambda i, low, high: contexts[i].as_py()[int(anchors[i]) - high : int(anchors[i]) - low + length])  # noqa: B023
             again &= ~whole[rows]
             for i, a, b in _ranges(rows[again], offsets[again]):
                 found.setdefault(i, []).append([a, b])
@@ -281,11 +323,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", *keep, F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
+    rows = docs.select("doc_id", *keep, F.xxhash64(text).alias("key"), F.sha2(text, 256).alias("sha"), text.cast("binary").alias("text"))
     # what an entry is holds wherever it stands, so texts whose keys meet by chance may share a list
     met = stored(repeats(entries(rows, length, seed), wide), "repeats")
+    # one document stands for all with its text
+    one = rows.join(met.select("key").distinct().hint("shuffle_hash"), "key", "left_semi").groupBy("key", "sha").agg(F.min("doc_id").alias("doc_id"))
+    one = stored(one, "texts")
+
+    def texts_with(listed: DataFrame) -> DataFrame:
+        """key, sha, text and ``listed`` (key, a list), a row a text; more where a document's row repeats."""
+        of = one.join(listed, "key").select(F.col("doc_id").alias("id"), F.col("key").alias("k"), F.col("sha").alias("s"), listed.columns[1]).hint("shuffle_hash")
+        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")) & (F.col("sha") == F.col("s"))
+        return rows.select("doc_id", "key", "sha", "text").join(of, same).select("key", "sha", "text", listed.columns[1])
+
     shown = met.filter("show").groupBy("key").agg(F.collect_list(F.struct("h", "u", "whole", "wide")).alias("shown"))
-    contexts = _contexts(rows.join(shown.hint("shuffle_hash"), "key"), length, seed)
+    contexts = _contexts(texts_with(shown), length, seed)
     if met.filter("show and wide").head(1):
         contexts = stored(contexts, "contexts")
         partial = _compared(contexts.filter("not wide"), length, seed, n).union(_spread(contexts.filter("wide"), length, seed))
@@ -293,11 +345,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text
         partial = _compared(contexts, length, seed, n)
     marks = met.filter("whole").select("key", "h", "u", F.lit(None).cast("array<array<long>>").alias("offsets")).union(partial)
     marks = marks.groupBy("key").agg(F.collect_list(F.struct("h", "u", "offsets")).alias("marks"))
-    joined = rows.join(marks.hint("shuffle_hash"), "key", "left").select("text", "marks", "doc_id", *keep)
 
-    def cut(text, marked):
-        whole = {(x["h"], x["u"]) for x in marked or () if x["offsets"] is None}
-        runs = removed_runs(text, whole, {(x["h"], x["u"]): x["offsets"] for x in marked if x["offsets"] is not None}, length, seed) if marked else []
+    def cut(text: bytes, marked: list) -> tuple:
+        whole = {(x["h"], x["u"]) for x in marked if x["offsets"] is None}
+        runs = removed_runs(text, whole, {(x["h"], x["u"]): x["offsets"] for x in marked if x["offsets"] is not None}, length, seed)
         left, at, digest = [], 0, hashlib.sha256()
         for a, b in runs:
             left.append(text[at:a])
@@ -305,29 +356,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text
         left.append(text[at:])
         for piece in left:
             digest.update(piece)
-        return len(text), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), b"".join(left) if texts else None
+        return sum(b - a for a, b in runs), len(runs), digest.hexdigest(), b"".join(left) if texts else None
 
     def each(batches):
-        done: dict[bytes, tuple] = {}
-        held = 0
         for batch in _slices(batches):
-            out = []
-            for text, marked in zip(batch.column(0), batch.column(1)):
-                text = text.as_py()
-                result = done.get(text) if marked.is_valid else cut(text, None)
-                if result is None:  # copies of a text come to one task; each is cut once
-                    result = cut(text, marked.as_py())
-                    held += len(text) * (1 + texts)
-                    if held > 16 << 20:
-                        done, held = {}, 0
-                    else:
-                        done[text] = result
-                out.append(result)
-            made = [pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))][: 4 + texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *made], names=[*batch.schema.names[2:], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(batch.schema.names) + 2 + texts])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[2:]) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return joined.mapInArrow(each, schema)
+            out = [cut(text.as_py(), marked.as_py()) for text, marked in zip(batch.column(2), batch.column(3))]
+            made = [pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["key", "sha", "removed", "spans", "left_sha", "left"])
+
+    done = texts_with(marks).mapInArrow(each, "key long, sha string, removed long, spans long, left_sha string, left binary").dropDuplicates(["key", "sha"])
+    out = rows.join(done, ["key", "sha"], "left")
+    return out.select(
+        "doc_id",
+        *keep,
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("left_sha", "sha").alias("kept_sha256"),
+        *[F.coalesce("left", "text").alias("kept")] * texts,
+    )
 
 
 class Levels:
