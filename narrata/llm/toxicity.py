@@ -1,10 +1,11 @@
 """Toxicity by the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are all words of the examples and the beginnings of the longer ones. A term weighs by its frequency in the
-text, by its rarity among all documents, and by how far it goes with the label among the examples (the coefficient
+Terms are all words of the examples. A term weighs by its frequency in the text, by its rarity among all documents, and by how far it goes with the label among the examples (the coefficient
 phi), so what says nothing about the label hardly moves a text towards another. The index keeps a term's postings
-in blocks of examples with each block's largest weight. A query bounds every block by these, scores blocks in
-order of their bounds, and stops when the k-th best score reaches the next bound: the result is exact. The
+in blocks of examples with each block's largest weight. Terms that stand in very many examples have full rows of
+weights instead, which are multiplied for many texts at once. A query bounds every block by its best sum over these
+rows and the largest weights of the other terms, scores blocks in order of their bounds, and stops when the k-th
+best score reaches the next bound: the result is exact. The
 neighbours' votes, weighted by nearness, are calibrated on the examples themselves, each left out in turn.
 """
 
@@ -13,7 +14,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,44 +28,24 @@ MOST_BYTES = 20_000
 #: Examples in a block of the index.
 BLOCK = 256
 NEAREST = 15
-#: Letters of the beginnings that are terms too: many languages put a stem first and vary what follows.
-STEM = 5
+#: Terms in more than this share of the examples have full rows; texts that are scored at once.
+COMMON, AT_ONCE = 1 / 24, 64
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, word[:STEM] + "*"] if len(word) > STEM else [word]
-
-
 def words_of(text: str):
     text = text.lower()
     return _WORD.findall(text) if len(text) < 1 << 20 else (m.group() for m in _WORD.finditer(text))
 
 
 def vocabulary_of(texts: list[str]) -> dict[str, int]:
-    """A number for every term of the texts, in order."""
-    return {t: i for i, t in enumerate(sorted({t for w in {w for x in texts for w in words_of(x)} for t in terms_of(w)}))}
-
-
-class Terms:
-    """Numbers of a vocabulary's terms in texts. What each word gives is kept, up to a bound."""
+    """A number for every word of the texts, in order."""
+    return {t: i for i, t in enumerate(sorted({w for x in texts for w in words_of(x)}))}
 
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.known = vocabulary, {}
 
-    def of(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            found = self.known[word] = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
-        return found
-
-    def counts(self, text: str) -> Counter:
-        return Counter(chain.from_iterable(map(self.of, words_of(text))))
-
-    def present(self, text: str) -> list[int]:
-        return list(set(chain.from_iterable(map(self.of, set(words_of(text))))))
+def counts_of(text: str, vocabulary: dict[str, int]) -> dict[int, int]:
+    """The numbers of a vocabulary's words in a text, and how often they stand there."""
+    return {i: n for w, n in Counter(words_of(text)).items() if (i := vocabulary.get(w)) is not None}
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -81,7 +61,7 @@ class BlockMaxIndex:
 
     def __init__(self, texts: list[str], labels: list[int], ids: list[int], vocabulary: dict[str, int] | None = None, df: np.ndarray | None = None, n: int = 0):
         self.vocabulary = vocabulary_of(texts) if vocabulary is None else vocabulary
-        counts = [Terms(self.vocabulary).counts(t) for t in texts]
+        counts = [counts_of(t, self.vocabulary) for t in texts]
         y = np.array(labels, float)
         held, with_one = np.zeros(len(self.vocabulary)), np.zeros(len(self.vocabulary))
         for c, label in zip(counts, labels, strict=True):
@@ -101,7 +81,14 @@ class BlockMaxIndex:
         example = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
         weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
         by = np.lexsort((example, term))
-        term, self.examples, self.weights = term[by], example[by], weight[by]
+        term, example, weight = term[by], example[by], weight[by]
+        many = np.bincount(term, minlength=len(self.vocabulary)) > max(1.0, COMMON * len(texts))
+        self.row = np.where(many, np.cumsum(many) - 1, -1)
+        self.rows = np.zeros((int(many.sum()), len(texts)))
+        self.rows[self.row[term[many[term]]], example[many[term]]] = weight[many[term]]
+        few = ~many[term]
+        term, self.examples, self.weights = term[few], example[few], weight[few]
+        self.edges = np.arange(0, max(1, len(texts)), BLOCK)
         cell = term * self.n_blocks + self.examples // BLOCK
         # a cell is a term in a block: where its postings start, its block, its largest weight
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(cell)), bool), np.diff(cell) != 0)))
@@ -113,23 +100,36 @@ class BlockMaxIndex:
         self.scale = (1.0, 0.0)
         self._calibrate([vectors[i] for i in order])
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """The terms of a text in order, and their weights; the vector has length one."""
         terms = np.fromiter(counts.keys(), np.int64, len(counts))
         order = np.argsort(terms)
         w = (1 + np.log(np.fromiter(counts.values(), float, len(counts))))[order] * self.weight[terms[order]]
         return terms[order], w / (np.linalg.norm(w) or 1)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k best examples with a positive cosine, ties by number, and their cosines."""
+    def sums(self, vectors: list) -> np.ndarray:
+        """Of each text and example, the part of the cosine that comes from the terms with full rows."""
+        q = np.zeros((len(vectors), len(self.rows)))
+        for i, (terms, weights) in enumerate(vectors):
+            row = self.row[terms]
+            q[i, row[row >= 0]] = weights[row >= 0]
+        return q @ self.rows
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, leave_out: int = -1, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k best examples with a positive cosine, ties by number, and their cosines. ``known`` is a row of ``sums``."""
+        if not len(self.labels):
+            return np.zeros(0, np.int64), np.zeros(0)
+        known = self.sums([(terms, weights)])[0] if known is None else known
+        few = self.row[terms] < 0
+        terms, weights = terms[few], weights[few]
         size = self.cells[terms + 1] - self.cells[terms]
         cells, w = _ranges(self.cells[terms], size), np.repeat(weights, size)
         block = self.block[cells]
-        bound = np.bincount(block, w * self.most[cells], self.n_blocks)
+        bound = np.maximum.reduceat(known, self.edges) + np.bincount(block, w * self.most[cells], self.n_blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best, score = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 2
+        at, step = 0, 4
         while at < len(order) and not (len(best) == k and score[-1] > bound[order[at]] + 1e-12):
             taken = np.zeros(self.n_blocks, bool)
             taken[order[at : at + step]] = True
@@ -138,10 +138,13 @@ class BlockMaxIndex:
             first = self.starts[cells[here]]
             many = self.starts[cells[here] + 1] - first
             places = _ranges(first, many)
-            local = np.bincount(self.examples[places], np.repeat(w[here], many) * self.weights[places], len(self.labels))
+            local = np.where(np.repeat(taken, BLOCK)[: len(known)], known, 0)
+            local += np.bincount(self.examples[places], np.repeat(w[here], many) * self.weights[places], len(known))
             if leave_out >= 0:
                 local[leave_out] = 0
-            new = np.flatnonzero(local > 0)
+            new = np.flatnonzero(local > (score[-1] if len(best) == k else 0))
+            if len(new) > k:
+                new = new[local[new] >= np.partition(local[new], -k)[-k]]
             best, score = np.concatenate((best, new)), np.concatenate((score, local[new]))
             keep = np.lexsort((best, -score))[:k]
             best, score = best[keep], score[keep]
@@ -155,7 +158,10 @@ class BlockMaxIndex:
         return math.log(p / (1 - p))
 
     def _calibrate(self, vectors: list) -> None:
-        x = np.array([self.vote(*self.nearest(*v, leave_out=i)) for i, v in enumerate(vectors)])
+        x = np.zeros(len(vectors))
+        for at in range(0, len(vectors), AT_ONCE):
+            for i, known in enumerate(self.sums(vectors[at : at + AT_ONCE]), at):
+                x[i] = self.vote(*self.nearest(*vectors[i], leave_out=i, known=known))
         y = self.labels
         if not len(y) or y.min() == y.max():
             return
@@ -169,11 +175,15 @@ class BlockMaxIndex:
                 break
         self.scale = (float(max(slope, 1e-3)), float(offset))
 
-    def score(self, text: str | None, terms: Terms | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        """Calibrated score, and as evidence the neighbours and their cosines."""
-        best, near = self.nearest(*self.vector((terms or Terms(self.vocabulary)).counts(text or "")))
-        slope, offset = self.scale
-        return 1 / (1 + math.exp(-(slope * self.vote(best, near) + offset))), best, near
+    def scores(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Calibrated scores, and as evidence the neighbours and their cosines."""
+        out, (slope, offset) = [], self.scale
+        for at in range(0, len(texts), AT_ONCE):
+            vectors = [self.vector(counts_of(t or "", self.vocabulary)) for t in texts[at : at + AT_ONCE]]
+            for v, known in zip(vectors, self.sums(vectors)):
+                best, near = self.nearest(*v, known=known)
+                out.append((1 / (1 + math.exp(-(slope * self.vote(best, near) + offset))), best, near))
+        return out
 
 
 def frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -181,10 +191,11 @@ def frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by SAMPLE and MOST_BYTES
 
     def each(batches):
-        terms, found = Terms(sent.value), np.zeros(len(sent.value) + 1, np.int64)
+        vocabulary, found = sent.value, np.zeros(len(sent.value) + 1, np.int64)
         for batch in batches:
             for t in batch.column(0):
-                found[terms.present(t.as_py() or "")] += 1
+                words = set(words_of(t.as_py() or ""))
+                found[[i for w in words if (i := vocabulary.get(w)) is not None]] += 1
             found[-1] += batch.num_rows
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["term", "n"])
@@ -225,9 +236,8 @@ def scored(docs: DataFrame, index: BlockMaxIndex, keep=()) -> DataFrame:
 
     def each(batches):
         own = sent.value
-        terms = Terms(own.vocabulary)
-        for batch in batches:
-            got = [own.score(t.as_py(), terms) for t in batch.column(0)]
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            got = own.scores([t.as_py() for t in batch.column(0)])
             made = [pa.array([g[0] for g in got], pa.float64()), pa.array([own.ids[g[1]].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[2].tolist() for g in got], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*made, *batch.columns[1:]], names=["score", "neighbours", "cosines", *batch.schema.names[1:]])
 

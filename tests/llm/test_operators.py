@@ -434,7 +434,7 @@ def test_block_max_search_is_exact(monkeypatch):
     y = [int("MIT" in t) for t in texts]
     texts = [t + (" vile" * 3 if k else "") for t, k in zip(texts, y)]
     index = toxicity.BlockMaxIndex(texts, y, list(range(300)))
-    terms = lambda t: collections.Counter(x for w in re.findall(r"[^\W\d_]+", t.lower()) for x in ([w, w[:5] + "*"] if len(w) > 5 else [w]))
+    terms = lambda t: collections.Counter(re.findall(r"[^\W\d_]+", t.lower()))
     counts = [terms(t) for t in texts]
     df = collections.Counter(t for c in counts for t in c)
     assert set(df) == set(index.vocabulary)
@@ -449,7 +449,7 @@ def test_block_max_search_is_exact(monkeypatch):
     for t in texts[:25]:
         q = unit(terms(t + " vile"))
         full = sorted((-sum(x * vectors[i].get(k, 0) for k, x in q.items()), i) for i in vectors)
-        best, score = index.nearest(*index.vector(toxicity.Terms(index.vocabulary).counts(t + " vile")))
+        best, score = index.nearest(*index.vector(toxicity.counts_of(t + " vile", index.vocabulary)))
         assert score == pytest.approx([-s for s, _ in full[:15]])
         assert {int(index.ids[b]) for b, s in zip(best, score) if s > -full[14][0] + 1e-9} == {i for s, i in full[:15] if -s > -full[14][0] + 1e-9}
 
