@@ -175,7 +175,8 @@ def title_candidates(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = rows.withColumn("line", clean(F.when(mark != "", mark).otherwise(F.col("raw")))).withColumn("_next", F.lead("raw").over(Window.partitionBy(key).orderBy("pos")))
     line = F.col("line")
     byline = r"(?i)^by\s+[\p{L}\d][\p{L}\d\s.'’-]{1,80}\z"
-    noise = r"(?i)^(copyright|all rights reserved|published by|printed in|isbn|www\.|https?://|table of contents|contents)" + R
+    # after a word a boundary follows where no letter does, after another sign where one does
+    noise = r"(?i)^(?:(?:copyright|all rights reserved|published by|printed in|isbn|project gutenberg|table of contents|contents)" + R + r"|(?:www\.|https?://)(?=[A-Za-z0-9_]))"
     heads = r"(?i)^(chapter|part|book|act|scene|section|prologue|epilogue|introduction|foreword|afterword|preface|appendix|postscript)" + R
     words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
     n = F.size(words)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import cases, reading_rhythm
 from ..functions.text import clamp, whole
+from .folds import sequenced
 
 SESSION_MS = 20 * 60 * 1000
 KEPT = 720
@@ -21,15 +22,13 @@ def sane(snapshots: DataFrame) -> DataFrame:
 def thinned(snapshots: DataFrame, key: str = "book") -> DataFrame:
     """Snapshots without those that come within 20 s of the last kept one in the same chapter and mode, hardly scrolled.
 
-    Which one is kept depends on the one kept before, so this folds over a book's snapshots, of which KEPT stay.
+    Which one is kept depends on the one kept before. Of a book's, the last KEPT stay.
     """
-    s = F.struct("ts", "chapter", "mode", "scroll", "read_sec")
-    rows = sane(snapshots).groupBy(key).agg(F.array_sort(F.collect_list(s)).alias("a"))
-    kind = "struct<ts:bigint,chapter:int,mode:string,scroll:double,read_sec:int>"
-    last = lambda acc: F.get(acc, F.size(acc) - 1)
-    near = lambda p, x: (x["ts"] - p["ts"] < 20_000) & (p["chapter"] == x["chapter"]) & (p["mode"] == x["mode"]) & (F.abs(p["scroll"] - x["scroll"]) < 0.02)
-    kept = F.aggregate("a", F.array().cast(f"array<{kind}>"), lambda acc, x: F.when((F.size(acc) > 0) & near(last(acc), x), acc).otherwise(F.concat(acc, F.array(x))))
-    return rows.select(key, F.explode(F.slice(kept, F.greatest(F.lit(1), F.size(kept) - KEPT + 1), F.lit(KEPT))).alias("s")).select(key, "s.*")
+    same = lambda p, x: x["ts"] - p["ts"] < 20_000 and p["chapter"] == x["chapter"] and p["mode"] == x["mode"] and abs(p["scroll"] - x["scroll"]) < 0.02
+    names = ("ts", "chapter", "mode", "scroll", "read_sec")
+    step = lambda kept, x: (kept, []) if kept and same(kept, x) else (x, [tuple(x[c] for c in names)])
+    rows = sane(snapshots).select(key, *names)
+    return latest(sequenced(rows, [key], list(names), dict, step, "ts long, chapter int, mode string, scroll double, read_sec int"), KEPT, key)
 
 
 def latest(snapshots: DataFrame, n: int = KEPT, key: str = "book") -> DataFrame:
@@ -85,7 +84,11 @@ def progress_summary(chapters: DataFrame, progress: DataFrame, snapshots: DataFr
 
 
 def cinematic_summary(blocks: DataFrame, scenes: int, key: str = "doc_id") -> DataFrame:
-    """Tension, emotions, cues, rhythm and the depth score of a chapter's blocks."""
+    """Tension, emotions, cues, rhythm and the depth score of a chapter's blocks.
+
+    Blocks count as transitions and sounds by their type, and where they carry one in a column of that name.
+    """
+    carries = lambda kind, field: F.coalesce((F.col("type") == kind) | F.col(field).isNotNull() if field in blocks.columns else F.col("type") == kind, F.lit(False))
     timing = cases([(F.col("timing") == "slow", 30), (F.col("timing") == "normal", 52), (F.col("timing") == "quick", 74), (F.col("timing") == "rapid", 92)], None)
     base = blocks.groupBy(key).agg(
         F.count("*").alias("cues"),
@@ -93,8 +96,8 @@ def cinematic_summary(blocks: DataFrame, scenes: int, key: str = "doc_id") -> Da
         F.coalesce(F.max("tension") - F.min("tension"), F.lit(0)).alias("tension_swing"),
         F.coalesce(F.when(F.count("tension") >= 2, F.stddev_pop("tension")), F.lit(0.0)).alias("_deviation"),
         F.count_distinct("emotion").alias("emotions"),
-        F.count_if(F.col("type") == "transition").alias("transitions"),
-        F.count_if(F.col("type") == "sfx").alias("sounds"),
+        F.count_if(carries("transition", "transition")).alias("transitions"),
+        F.count_if(carries("sfx", "sfx")).alias("sounds"),
         whole(F.count_if(F.col("type").isin("dialogue", "inner_thought")) / F.count("*") * 100.0).cast("long").alias("dialogue_percent"),
         F.avg(timing).alias("_timing"),
     )

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashes import cache_key as cache_key
 from ..functions.scores import cases
 from ..functions.text import clamp, rounded
+from .folds import sequenced
 
 # Least context by complexity, and weights of cost, capability, latency, streaming, health and JSON by policy. Fixed values.
 LEAST_CONTEXT = {"low": 0, "medium": 32_000, "high": 128_000, "critical": 200_000}
@@ -14,7 +16,14 @@ WEIGHTS = {"critical": (5, 40, 10, 10, 25, 10), "high": (10, 30, 10, 10, 25, 15)
 TOP_COST = 0.009
 CHARS_PER_TOKEN = 4
 TTL_MS, CACHE_SIZE = 30 * 60 * 1000, 50
-UNHEALTHY_AFTER = 3
+UNHEALTHY_AFTER, RECOVERS_AFTER_MS = 3, 120_000
+MOST_POLICIES = 1000
+
+
+def bounded(df: DataFrame, most: int, what: str) -> None:
+    """An error where a table that is to be sent to all tasks has more than ``most`` rows."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}")
 
 
 def tokens(t) -> Column:
@@ -25,8 +34,9 @@ def tokens(t) -> Column:
 def provider_scores(providers: DataFrame, policies: DataFrame, input_tokens: int = 500) -> DataFrame:
     """(policy, name, cost_usd, score, refused): six weighted scores, or why a provider is out.
 
-    Policies are a small stated set that all providers are rated for; it is sent to the providers.
+    Policies are a stated set of at most MOST_POLICIES that all providers are rated for; it is sent to the providers.
     """
+    bounded(policies, MOST_POLICIES, "policies")
     kind = F.when(F.col("complexity").isin("critical", "high"), F.col("complexity")).when(F.col("prefer_fastest") & (F.col("complexity") == "low"), "fast").otherwise("else")
     weight = F.create_map(*[x for k, w in WEIGHTS.items() for x in (F.lit(k), F.array(*map(F.lit, w)))])
     least = F.create_map(*[F.lit(x) for kv in LEAST_CONTEXT.items() for x in kv])
@@ -67,8 +77,8 @@ def routes(scores: DataFrame) -> DataFrame:
 
 
 def call_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """Calls with cost_usd, by a price table (provider, per 1k tokens)."""
-    return calls.join(F.broadcast(prices), calls["provider"] == prices["name"], "left").withColumn("cost_usd", F.col("tokens") / 1000.0 * F.coalesce("cost_per_1k", F.lit(0.0)))
+    """Calls with cost_usd, by a price table (provider, per 1k tokens). Whether the table is sent or shuffled is left to its size."""
+    return calls.join(prices, calls["provider"] == prices["name"], "left").withColumn("cost_usd", F.col("tokens") / 1000.0 * F.coalesce("cost_per_1k", F.lit(0.0)))
 
 
 def health(calls: DataFrame, key: str = "provider") -> DataFrame:
@@ -82,16 +92,37 @@ def health(calls: DataFrame, key: str = "provider") -> DataFrame:
     return last.select(key, "calls", "failures", "longest_run", "last_run", (F.col("last_run") < UNHEALTHY_AFTER).alias("healthy"))
 
 
-def cache_events(requests: DataFrame, ttl: int = TTL_MS) -> DataFrame:
-    """Requests with ``outcome``: hit if the same provider and prompt succeeded within ``ttl`` before, expired, or miss."""
-    at = Window.partitionBy("provider", "prompt").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.max(F.when(F.col("ok"), F.col("ts"))).over(at)
-    return requests.withColumn("outcome", F.when(before.isNull(), "miss").when(F.col("ts") - before <= ttl, "hit").otherwise("expired"))
+def cache_events(requests: DataFrame, ttl: int = TTL_MS, size: int = CACHE_SIZE) -> DataFrame:
+    """(provider, request, prompt, ts, outcome, evicted) of a cache a provider: hit, miss, or expired.
+
+    An entry lives for ``ttl`` from when it was stored; hits do not renew it. A request that is no hit and succeeds
+    stores its answer, and where ``size`` entries are held already, the one used longest ago is evicted for it.
+    """
+
+    def step(cache: dict, r: dict):
+        made, evicted = cache.get(r["prompt"]), None
+        outcome = "miss" if made is None else "expired" if r["ts"] - made > ttl else "hit"
+        # a dict keeps the order of use: what is used goes to its end
+        if outcome != "miss":
+            del cache[r["prompt"]]
+        if outcome == "hit":
+            cache[r["prompt"]] = made
+        elif r["ok"]:
+            if len(cache) >= size:
+                evicted = next(iter(cache))
+                del cache[evicted]
+            cache[r["prompt"]] = r["ts"]
+        return cache, [(r["request"], r["prompt"], r["ts"], outcome, evicted)]
+
+    rows = requests.select("provider", "request", "prompt", "ts", "ok")
+    return sequenced(rows, ["provider"], ["ts", "request"], dict, step, "request string, prompt string, ts long, outcome string, evicted string")
 
 
-def cache_statistics(requests: DataFrame, ttl: int = TTL_MS) -> DataFrame:
-    seen = cache_events(requests, ttl).groupBy("provider").agg(F.count_if(F.col("outcome") == "hit").alias("hits"), F.count_if(F.col("outcome") == "miss").alias("misses"), F.count_if(F.col("outcome") == "expired").alias("expirations"))
-    return seen.withColumn("hit_rate", rounded(F.col("hits") / (F.col("hits") + F.col("misses") + F.col("expirations")), 3))
+def cache_statistics(requests: DataFrame, ttl: int = TTL_MS, size: int = CACHE_SIZE) -> DataFrame:
+    """(provider, hits, misses, expirations, evictions, hit_rate): what expires is a miss and an eviction too."""
+    of = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    seen = cache_events(requests, ttl, size).groupBy("provider").agg(of("hit").alias("hits"), of("miss", "expired").alias("misses"), of("expired").alias("expirations"), (F.count("evicted") + of("expired")).alias("evictions"))
+    return seen.withColumn("hit_rate", rounded(F.col("hits") / (F.col("hits") + F.col("misses")), 3))
 
 
 def least_recent(requests: DataFrame, keep: int = CACHE_SIZE) -> DataFrame:
@@ -101,9 +132,12 @@ def least_recent(requests: DataFrame, keep: int = CACHE_SIZE) -> DataFrame:
 
 
 def deduplicated(requests: DataFrame, within: int = 5_000) -> DataFrame:
-    """Requests without those that repeat one of the same provider and prompt which may still be in flight."""
-    at = Window.partitionBy("provider", "prompt").orderBy("ts", "request")
-    return requests.withColumn("_was", F.lag("ts").over(at)).filter(F.col("_was").isNull() | (F.col("ts") - F.col("_was") > within)).drop("_was")
+    """(provider, prompt, request, ts) of the requests that are executed: those not made while an equal one is in flight.
+
+    A request is in flight for ``within`` from when it was executed; those that join it do not prolong that.
+    """
+    step = lambda until, r: (until, []) if until is not None and r["ts"] <= until else (r["ts"] + within, [(r["request"], r["ts"])])
+    return sequenced(requests.select("provider", "prompt", "request", "ts"), ["provider", "prompt"], ["ts", "request"], lambda: None, step, "request string, ts long")
 
 
 def first_success(requests: DataFrame) -> DataFrame:
@@ -117,27 +151,23 @@ def first_success(requests: DataFrame) -> DataFrame:
 def token_buckets(requests: DataFrame, rpm: int = 60, tpm: int = 60_000, key: str = "provider") -> DataFrame:
     """(provider, request, wait_ms): what each request waits for in a bucket of requests and one of tokens.
 
-    Buckets hold ten seconds' worth and refill evenly; later requests wait behind earlier ones. State runs from
-    request to request, so this folds over a key's log.
+    Buckets hold ten seconds' worth and refill evenly; later requests wait behind earlier ones.
     """
-    caps = (float(max(1, -(-rpm // 6))), float(max(1, -(-tpm // 6))))
-    rate = (rpm / 60_000.0, tpm / 60_000.0)
-    rows = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", "request", "tokens"))).alias("a"))
-    kind = "array<struct<request:string,wait_ms:double>>"
-    state = lambda r, t, at, out: F.struct(r.alias("r"), t.alias("t"), at.alias("at"), out.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now = F.greatest(x["ts"].cast("double"), acc["at"])
-        passed = now - acc["at"]
-        r, t = F.least(F.lit(caps[0]), acc["r"] + passed * rate[0]), F.least(F.lit(caps[1]), acc["t"] + passed * rate[1])
-        need = F.least(x["tokens"].cast("double"), F.lit(caps[1]))
-        wait = F.greatest(F.lit(0.0), (1 - r) / rate[0], (need - t) / rate[1])
-        done = now + wait
-        left = lambda have, cap, per, use: F.least(F.lit(cap), have + wait * per) - use
-        return state(left(r, caps[0], rate[0], F.lit(1.0)), left(t, caps[1], rate[1], need), done, F.concat(acc["out"], F.array(F.struct(x["request"].alias("request"), (done - x["ts"]).alias("wait_ms")))))
-
-    start = state(F.lit(caps[0]), F.lit(caps[1]), F.lit(0.0), F.array().cast(kind))
-    return rows.select(key, F.explode(F.aggregate("a", start, step, lambda acc: acc["out"])).alias("x")).select(key, "x.request", rounded(F.col("x.wait_ms"), 3).alias("wait_ms"))
+    most_requests, most_tokens = float(max(1, -(-rpm // 6))), float(max(1, -(-tpm // 6)))
+    per_request, per_token = rpm / 60_000.0, tpm / 60_000.0
+
+    def step(state: tuple, row: dict):
+        r, t, at = state
+        now = max(float(row["ts"]), at)
+        r, t = min(most_requests, r + (now - at) * per_request), min(most_tokens, t + (now - at) * per_token)
+        need = min(float(row["tokens"]), most_tokens)
+        wait = max(0.0, (1 - r) / per_request, (need - t) / per_token)
+        left = (min(most_requests, r + wait * per_request) - 1.0, min(most_tokens, t + wait * per_token) - need, now + wait)
+        return left, [(row["request"], now + wait - row["ts"])]
+
+    rows = requests.select(key, "ts", "request", "tokens")
+    waits = sequenced(rows, [key], ["ts", "request", "tokens"], lambda: (most_requests, most_tokens, 0.0), step, "request string, wait_ms double")
+    return waits.withColumn("wait_ms", rounded("wait_ms", 3))
 
 
 def trimmed_prompt(prompt, budget: int) -> Column:
@@ -157,12 +187,6 @@ def token_plan(rows: DataFrame, context: int = 8_000, wanted: int = 1_024, syste
     return rows.withColumn("prompt_tokens", t).withColumn("output_tokens", F.least(F.lit(wanted), room)).withColumn("fits", F.col("output_tokens") >= wanted)
 
 
-def cache_key(provider, prompt) -> Column:
-    """provider, digest, length, and the ends of a prompt; equal prompts have equal keys."""
-    p = F.col(prompt)
-    return F.concat_ws(":", F.col(provider), F.substring(F.md5(p.cast("binary")), 1, 12), F.length(p).cast("string"), F.substring(p, 1, 12), F.substring(p, -12, 12))
-
-
 def error_kind(message) -> Column:
     """The kind of a failure by the first phrase its message holds."""
     m = F.lower(F.col(message) if isinstance(message, str) else message)

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Queries in a row that is sent to all tasks.
+BLOCK = 256
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -24,13 +28,14 @@ def cosine(a, b) -> Column:
 def nearest(queries: DataFrame, history: DataFrame, k: int = 2, id_: str = "vec_id", vector: str = "embedding", most_queries: int = 4096) -> DataFrame:
     """(query, rank, id, similarity) of the k nearest of other ids, ties by id.
 
-    A stated query set goes against all rows in blocks: the queries, of a checked number, are gathered in one row a block
-    and sent to all rows; each row meets each query once, and only the best of each partition are shuffled.
+    A stated query set goes against all rows in blocks: the queries, of a checked number, are gathered in rows of BLOCK
+    each, which are sent to all rows; each row meets each query once, and only the best of each partition are shuffled.
     """
     n = queries.count()
     if n > most_queries:
         raise ValueError(f"{n} queries; pass at most {most_queries} at a time")
-    block = queries.select(F.struct(F.col(id_).alias("q"), F.col(vector).alias("v"), norm(F.col(vector)).alias("n")).alias("x")).agg(F.collect_list("x").alias("_block"))
+    stated = queries.select(F.struct(F.col(id_).alias("q"), F.col(vector).alias("v"), norm(F.col(vector)).alias("n")).alias("x"))
+    block = stated.groupBy(F.pmod(F.xxhash64("x.q"), F.lit(max(1, -(-n // BLOCK)))).alias("_part")).agg(F.collect_list("x").alias("_block")).drop("_part")
     rows = history.select(F.col(id_).alias("id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_n"))
     met = rows.join(F.broadcast(block)).select("id", "_v", "_n", F.explode("_block").alias("b")).filter("id <> b.q")
     scale = F.col("_n") * F.col("b.n")

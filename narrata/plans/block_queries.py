@@ -226,7 +226,7 @@ def reading_progress(spark, sf_dir):
 @query(
     "cinematic_summary",
     f"""WITH {BLOCKS}, b AS (SELECT doc_id, count(*) AS cues, coalesce(floor(avg(tension) + 0.5), 0)::BIGINT AS avg_tension, coalesce(max(tension) - min(tension), 0) AS tension_swing, CASE WHEN count(tension) >= 2 THEN stddev_pop(tension) ELSE 0.0 END AS dev,
-  count(DISTINCT emotion) AS emotions, count(*) FILTER (WHERE type = 'transition') AS transitions, count(*) FILTER (WHERE type = 'sfx') AS sounds,
+  count(DISTINCT emotion) AS emotions, count(*) FILTER (WHERE type = 'transition' OR pos % 9 = 4) AS transitions, count(*) FILTER (WHERE type = 'sfx' OR pos % 6 = 2) AS sounds,
   floor(count(*) FILTER (WHERE type IN ('dialogue', 'inner_thought'))::DOUBLE / count(*) * 100.0::DOUBLE + 0.5)::BIGINT AS dialogue_percent,
   avg(CASE timing WHEN 'slow' THEN 30 WHEN 'normal' THEN 52 WHEN 'quick' THEN 74 WHEN 'rapid' THEN 92 END) AS timing FROM blocks GROUP BY doc_id),
 s AS (SELECT *, coalesce(timing, greatest(0.0::DOUBLE, least(100.0::DOUBLE, 35 + cues / 2.0::DOUBLE * 14))) AS score FROM b)
@@ -235,7 +235,8 @@ SELECT doc_id, cues, avg_tension, tension_swing, emotions, transitions, sounds,
   CASE WHEN score < 40 THEN 'Measured' WHEN score < 62 THEN 'Balanced' WHEN score < 80 THEN 'Propulsive' ELSE 'Frenetic' END AS rhythm FROM s""",
 )
 def cinematic_summary(spark, sf_dir):
-    return reader.cinematic_summary(blocks(spark, sf_dir), 2)
+    carrying = blocks(spark, sf_dir).withColumns({"transition": F.when(F.col("pos") % 9 == 4, "CUT TO"), "sfx": F.when(F.col("pos") % 6 == 2, "BANG")})
+    return reader.cinematic_summary(carrying, 2)
 
 
 _JOBS = f"""{cte('fx_job_events')}, st AS (SELECT job, arg_max(kind, seq) AS kind, count(*) FILTER (WHERE kind = 'started') AS attempts, min(ts) AS created_ts, max(ts) AS updated_ts FROM fx_job_events GROUP BY job),
@@ -293,14 +294,25 @@ def provider_health(spark, sf_dir):
     return requests.health(calls(spark, sf_dir))
 
 
+# an entry's life by the requests of its key in order; with more room than there are prompts nothing else is evicted
+_CACHE = f"""{CALLS}, o AS (SELECT *, row_number() OVER (PARTITION BY provider, prompt ORDER BY ts, request) AS n FROM calls),
+life AS (SELECT provider, prompt, n, request, 'miss' AS outcome, CASE WHEN ok THEN ts END AS made FROM o WHERE n = 1
+  UNION ALL SELECT o.provider, o.prompt, o.n, o.request, CASE WHEN l.made IS NULL THEN 'miss' WHEN o.ts - l.made > {_TTL} THEN 'expired' ELSE 'hit' END, CASE WHEN l.made IS NOT NULL AND o.ts - l.made <= {_TTL} THEN l.made WHEN o.ok THEN o.ts END
+  FROM life l JOIN o ON o.provider = l.provider AND o.prompt = l.prompt AND o.n = l.n + 1)"""
+
+
 @query(
     "cache_statistics",
-    f"""WITH {CALLS}, b AS (SELECT *, max(CASE WHEN ok THEN ts END) OVER (PARTITION BY provider, prompt ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM calls),
-c AS (SELECT provider, count(*) FILTER (WHERE was IS NOT NULL AND ts - was <= {_TTL}) AS hits, count(*) FILTER (WHERE was IS NULL) AS misses, count(*) FILTER (WHERE ts - was > {_TTL}) AS expirations FROM b GROUP BY provider)
-SELECT *, {sql.rounded('hits::DOUBLE / (hits + misses + expirations)', 3)} AS hit_rate FROM c""",
+    f"""WITH RECURSIVE {_CACHE}, c AS (SELECT provider, count(*) FILTER (WHERE outcome = 'hit') AS hits, count(*) FILTER (WHERE outcome <> 'hit') AS misses, count(*) FILTER (WHERE outcome = 'expired') AS expirations FROM life GROUP BY provider)
+SELECT *, expirations AS evictions, {sql.rounded('hits::DOUBLE / (hits + misses)', 3)} AS hit_rate FROM c""",
 )
 def cache_statistics(spark, sf_dir):
-    return requests.cache_statistics(calls(spark, sf_dir), _TTL)
+    return requests.cache_statistics(calls(spark, sf_dir), _TTL, 1000)
+
+
+@query("cache_events")
+def cache_events(spark, sf_dir):
+    return requests.cache_events(calls(spark, sf_dir), _TTL, 20)
 
 
 @query("cache_entries", f"WITH {CALLS} SELECT provider, prompt, max(ts) AS last_ts FROM calls GROUP BY ALL ORDER BY last_ts DESC, provider, prompt LIMIT 50")
@@ -308,9 +320,15 @@ def cache_entries(spark, sf_dir):
     return requests.least_recent(calls(spark, sf_dir))
 
 
-@query("requests_in_flight", f"WITH {CALLS}, l AS (SELECT *, lag(ts) OVER (PARTITION BY provider, prompt ORDER BY ts, request) AS was FROM calls) SELECT request, provider, prompt, ts FROM l WHERE was IS NULL OR ts - was > 5000")
+@query(
+    "requests_in_flight",
+    f"""WITH RECURSIVE {CALLS}, o AS (SELECT *, row_number() OVER (PARTITION BY provider, prompt ORDER BY ts, request) AS n FROM calls),
+run AS (SELECT provider, prompt, n, request, ts, ts AS since FROM o WHERE n = 1
+  UNION ALL SELECT o.provider, o.prompt, o.n, o.request, o.ts, CASE WHEN o.ts - r.since > {_TTL} THEN o.ts ELSE r.since END FROM run r JOIN o ON o.provider = r.provider AND o.prompt = r.prompt AND o.n = r.n + 1)
+SELECT request, provider, prompt, ts FROM run WHERE ts = since""",
+)
 def requests_in_flight(spark, sf_dir):
-    return requests.deduplicated(calls(spark, sf_dir)).select("request", "provider", "prompt", "ts")
+    return requests.deduplicated(calls(spark, sf_dir), _TTL).select("request", "provider", "prompt", "ts")
 
 
 @query(

@@ -96,9 +96,9 @@ def merged_metadata(spark, sf_dir):
     return metadata.merged(rows.withColumn("title_key", metadata.title_key("title"))).withColumn("subjects", F.array_join("subjects", "|"))
 
 
-@query("title_keys", rf"SELECT page_id, {sql.trim(chr(114) + 'egexp_replace(regexp_replace(lower(substr(html, 1, 400)), ' + sql.q('[^a-z0-9' + chr(92) + 's]') + ', ' + sql.q(' ') + ', ' + sql.q('g') + '), ' + sql.q(chr(92) + 's+') + ', ' + sql.q(' ') + ', ' + sql.q('g') + ')')} AS key FROM pages")
+@query("title_keys", rf"SELECT page_id, {sql.trim(chr(114) + 'egexp_replace(regexp_replace(lower(html), ' + sql.q('[^a-z0-9' + chr(92) + 's]') + ', ' + sql.q(' ') + ', ' + sql.q('g') + '), ' + sql.q(chr(92) + 's+') + ', ' + sql.q(' ') + ', ' + sql.q('g') + ')')} AS key FROM pages")
 def title_keys(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", metadata.title_key(F.substring("html", 1, 400)).alias("key"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", metadata.title_key("html").alias("key"))
 
 
 @query(
@@ -348,10 +348,16 @@ def sound_intensity(spark, sf_dir):
     return blocks(spark, sf_dir).select("doc_id", "pos", markup.sound_intensity(F.coalesce("content", F.lit(""))).alias("intensity"))
 
 
-@query("prompt_keys", f"WITH {TEXTS} SELECT doc_id, concat_ws(':', 'local', substr(md5(text), 1, 12), length(text)::VARCHAR, substr(text, 1, 12), right(text, 12)) AS key FROM texts WHERE length(text) >= 12")
+_PROMPT = f"x AS (SELECT doc_id, {sql.trim('text')} AS p FROM texts)"
+
+
+@query(
+    "prompt_keys",
+    f"""WITH {TEXTS}, {_PROMPT} SELECT doc_id, concat('local:d:', lower(to_base({sql.fnv1a("concat('local|default|', p)")}, 36)), ':', length(p), ':', substr(p, 1, 24), CASE WHEN length(p) > 48 THEN concat('…', right(p, 24)) ELSE '' END) AS key FROM x""",
+)
 def prompt_keys(spark, sf_dir):
-    rows = texts(spark, sf_dir).filter(F.length("text") >= 12).withColumn("provider", F.lit("local"))
-    return rows.select("doc_id", requests.cache_key("provider", "text").alias("key"))
+    rows = texts(spark, sf_dir).withColumn("provider", F.lit("local"))
+    return rows.select("doc_id", requests.cache_key("provider", F.coalesce("text", F.lit(""))).alias("key"))
 
 
 @query("retry_delays", "SELECT n::INTEGER AS attempt, least(30000.0::DOUBLE, 1000 * pow(2.0::DOUBLE, n))::BIGINT AS ms FROM range(12) t(n)")

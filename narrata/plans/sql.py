@@ -29,6 +29,15 @@ def rounded(x: str, k: int = 0) -> str:
     return f"floor(({x}) * {float(10**k)} + 0.5) / {float(10**k)}" if k else f"floor({x} + 0.5)"
 
 
+def hashed(x: str, start: int, step: str) -> str:
+    """A 32-bit hash over a text's characters: ``step`` over h and x, from ``start``."""
+    return f"list_reduce(list_prepend({start}::HUGEINT, list_transform(string_split({x}, ''), lambda c: CASE WHEN c = '' THEN NULL ELSE unicode(c) END::HUGEINT)), lambda h, x: CASE WHEN x IS NULL THEN h ELSE ({step}) & 4294967295::HUGEINT END)::BIGINT"
+
+
+def fnv1a(x: str) -> str:
+    return hashed(x, 2166136261, "xor(h, x) * 16777619")
+
+
 def emotion(x: str) -> str:
     return f"CASE WHEN {x} >= 0.3 THEN 'joy' WHEN {x} >= 0.1 THEN 'surprise' WHEN {x} <= -0.4 THEN 'fear' WHEN {x} <= -0.2 THEN 'sadness' WHEN {x} <= -0.1 THEN 'anger' ELSE 'neutral' END"
 
