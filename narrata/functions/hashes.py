@@ -22,11 +22,17 @@ def signed32(x: Column) -> Column:
     return F.when(low32(x) >= 1 << 31, low32(x) - (1 << 32)).otherwise(low32(x))
 
 
-def fnv1a(t) -> Column:
-    """FNV-1a in 32 bits."""
+def fnv1a_exact(t) -> Column:
+    """FNV-1a in 32 bits, multiplied in whole numbers."""
     return F.aggregate(units(t), F.lit(2166136261).cast("bigint"), lambda h, x: low32(h.bitwiseXOR(x) * 16777619))
 
 
+def fnv1a(t) -> Column:
+    """FNV-1a in 32 bits as engines without whole numbers compute it: a product over 2**53 loses its lowest bits."""
+    step = lambda h, x: signed32((h.bitwiseXOR(x).cast("double") * 16777619.0).cast("bigint"))
+    return low32(F.aggregate(units(t), signed32(F.lit(2166136261).cast("bigint")), step))
+
+
 def djb2(t, most: int = 512) -> Column:
     """h * 33 + unit from 5381, in 32 bits without a sign, over the first ``most`` characters."""
     return F.aggregate(units(F.substring(c(t), 1, most)), F.lit(5381).cast("bigint"), lambda h, x: low32(h * 33 + x))

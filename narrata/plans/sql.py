@@ -30,12 +30,14 @@ def rounded(x: str, k: int = 0) -> str:
 
 
 def hashed(x: str, start: int, step: str) -> str:
-    """A 32-bit hash over a text's characters: ``step`` over h and x, from ``start``."""
-    return f"list_reduce(list_prepend({start}::HUGEINT, list_transform(string_split({x}, ''), lambda c: CASE WHEN c = '' THEN NULL ELSE unicode(c) END::HUGEINT)), lambda h, x: CASE WHEN x IS NULL THEN h ELSE ({step}) & 4294967295::HUGEINT END)::BIGINT"
+    """A 32-bit hash over a text's characters: ``step`` over h and x, from ``start``; h is kept as a signed number."""
+    signed = "CASE WHEN (v & 4294967295) >= 2147483648 THEN (v & 4294967295) - 4294967296 ELSE v & 4294967295 END".replace("v", f"({step})")
+    codes = f"list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: unicode(c)::BIGINT)"
+    return f"(list_reduce(list_prepend({start - (1 << 32) if start >= 1 << 31 else start}::BIGINT, {codes}), lambda h, x: {signed}) & 4294967295)"
 
 
 def fnv1a(x: str) -> str:
-    return hashed(x, 2166136261, "xor(h, x) * 16777619")
+    return hashed(x, 2166136261, "(xor(h, x)::DOUBLE * 16777619.0::DOUBLE)::BIGINT")
 
 
 def emotion(x: str) -> str:
