@@ -347,9 +347,24 @@ def call_costs(spark, sf_dir):
     return requests.call_costs(table(spark, "fx_requests"), table(spark, "fx_providers")).select("request", "provider", "tokens", "cost_usd")
 
 
-@query("token_buckets")
+# waits in milliseconds; events' times are kept apart by their ids elsewhere
+_LOG = f"{CALLS}, log AS (SELECT provider, request, CASE WHEN ts > 1000000000000000 THEN ts // 100000 ELSE ts END AS ts, tokens, row_number() OVER (PARTITION BY provider ORDER BY CASE WHEN ts > 1000000000000000 THEN ts // 100000 ELSE ts END, request, tokens) AS n FROM calls)"
+_NEED = "least(l.tokens::DOUBLE, 1000.0::DOUBLE)"
+
+
+@query(
+    "token_buckets",
+    f"""WITH RECURSIVE {_LOG}, w AS (SELECT provider, 0::BIGINT AS n, ''::VARCHAR AS request, 5.0::DOUBLE AS r, 1000.0::DOUBLE AS t, 0.0::DOUBLE AS done, 0.0::DOUBLE AS wait FROM (SELECT DISTINCT provider FROM log)
+  UNION ALL SELECT provider, n, request, least(5.0::DOUBLE, r + z * 0.0005::DOUBLE) - 1.0::DOUBLE, least(1000.0::DOUBLE, t + z * 0.1::DOUBLE) - need, now + z, now + z - ts
+  FROM (SELECT *, greatest(0.0::DOUBLE, (1 - r) / 0.0005::DOUBLE, (need - t) / 0.1::DOUBLE) AS z FROM (
+    SELECT provider, n, request, ts, need, now, least(5.0::DOUBLE, r + (now - done) * 0.0005::DOUBLE) AS r, least(1000.0::DOUBLE, t + (now - done) * 0.1::DOUBLE) AS t FROM (
+      SELECT l.provider, l.n, l.request, l.ts, {_NEED} AS need, greatest(l.ts::DOUBLE, w.done) AS now, w.r, w.t, w.done FROM w JOIN log l ON l.provider = w.provider AND l.n = w.n + 1))))
+SELECT provider, request, {sql.rounded('wait', 3)} AS wait_ms FROM w WHERE n > 0""",
+)
 def token_buckets(spark, sf_dir):
-    return requests.token_buckets(table(spark, "fx_requests"), rpm=30, tpm=6_000)
+    far = F.col("ts") > 1_000_000_000_000_000
+    log = calls(spark, sf_dir).withColumn("ts", F.when(far, F.floor(F.col("ts") / 100_000)).otherwise(F.col("ts")))
+    return requests.token_buckets(log, rpm=30, tpm=6_000)
 
 
 @query(
@@ -388,12 +403,31 @@ def paragraph_strategies(spark, sf_dir):
     return packing.chosen_paragraphs(texts(spark, sf_dir))
 
 
-@query("line_chunks")
+_FIT = lambda most: f"r.total + w.s + r.n <= {most}"
+
+
+@query(
+    "line_chunks",
+    rf"""WITH RECURSIVE {TEXTS}, w AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i, length(unnest(a)) AS s FROM (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {sql.trim('x')}), lambda x: x <> '') AS a FROM texts)),
+r AS (SELECT doc_id, i, line, 0 AS chunk, 1 AS n, s AS total FROM w WHERE i = 1
+  UNION ALL SELECT w.doc_id, w.i, w.line, CASE WHEN {_FIT(600)} THEN r.chunk ELSE r.chunk + 1 END, CASE WHEN {_FIT(600)} THEN r.n + 1 ELSE 1 END, CASE WHEN {_FIT(600)} THEN r.total + w.s ELSE w.s END FROM r JOIN w ON w.doc_id = r.doc_id AND w.i = r.i + 1)
+SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS text FROM r GROUP BY doc_id, chunk""",
+)
 def line_chunks(spark, sf_dir):
     return packing.line_chunks(texts(spark, sf_dir))
 
 
-@query("page_layout")
+@query(
+    "page_layout",
+    rf"""WITH RECURSIVE {TEXTS}, l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM texts)),
+p AS (SELECT doc_id, k, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') AS a FROM l WHERE {sql.trim('line')} <> ''),
+w AS (SELECT doc_id, k, unnest(a) AS word, generate_subscripts(a, 1) AS i, length(unnest(a)) AS s FROM p),
+r AS (SELECT doc_id, k, i, word, 0 AS line, 1 AS n, s AS total FROM w WHERE i = 1
+  UNION ALL SELECT w.doc_id, w.k, w.i, w.word, CASE WHEN {_FIT(90)} THEN r.line ELSE r.line + 1 END, CASE WHEN {_FIT(90)} THEN r.n + 1 ELSE 1 END, CASE WHEN {_FIT(90)} THEN r.total + w.s ELSE w.s END FROM r JOIN w ON w.doc_id = r.doc_id AND w.k = r.k AND w.i = r.i + 1),
+o AS (SELECT doc_id, k, line, string_agg(word, ' ' ORDER BY i) AS text FROM r GROUP BY ALL UNION ALL SELECT doc_id, k, 1000000000, '' FROM p),
+z AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY k, line) - 1 AS i FROM o)
+SELECT doc_id, (i // 40)::INTEGER AS page, (i % 40)::INTEGER AS line, text FROM z""",
+)
 def page_layout(spark, sf_dir):
     return packing.pages(texts(spark, sf_dir))
 

@@ -215,7 +215,13 @@ def plain_blocks(spark, sf_dir):
     return plain.plain_blocks(texts(spark, sf_dir).unionByName(_joined_paragraphs(spark)))
 
 
-@query("paragraph_moods")
+@query(
+    "paragraph_moods",
+    rf"""WITH {PARAS}, s AS (SELECT doc_id, pos, coalesce(text, '') AS p, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', concat('\1', chr(1)), 'g'), chr(1)), lambda x: {sql.trim('x')} <> '') AS s FROM paras),
+n AS (SELECT doc_id, pos, p, len(s) AS n, list_transform(s, lambda x: len(regexp_split_to_array(x, '\s+'))) AS w FROM s),
+k AS (SELECT doc_id, pos, CASE WHEN len(regexp_extract_all(p, '\?')) >= 2 THEN 1 WHEN n >= 2 AND len(list_filter(w, lambda x: x < 5)) >= 2 AND len(list_filter(w, lambda x: x < 5)) >= n * 0.5 THEN 2 WHEN len(list_filter(w, lambda x: x > 30)) > 0 THEN 3 WHEN contains(p, '!') THEN 4 WHEN contains(p, '...') OR contains(p, '…') THEN 5 ELSE 6 END AS k FROM n)
+SELECT doc_id, pos, (['normal', 'emphasis', 'normal', 'emphasis', 'whisper', 'normal'])[k] AS intensity, (['normal', 'rapid', 'slow', NULL, NULL, NULL])[k] AS timing, CASE WHEN k = 1 THEN 'suspense' END AS emotion FROM k""",
+)
 def paragraph_moods(spark, sf_dir):
     return line_texts(spark, sf_dir).select("doc_id", "pos", staging.mood("text").alias("m")).select("doc_id", "pos", "m.*")
 
@@ -326,9 +332,14 @@ def page_boundaries(spark, sf_dir):
     return positioned.without_boundaries(_pages(spark))
 
 
-@query("scanned_pages")
+@query(
+    "scanned_pages",
+    f"""WITH p AS (SELECT conv_id AS doc_id, turn AS page, text, length({sql.trim('text')}) < 120 AS poor FROM conversations)
+SELECT doc_id, page, text, poor AND sum(poor::INTEGER) OVER (PARTITION BY doc_id ORDER BY page) <= 5 AS scan FROM p""",
+)
 def scanned_pages(spark, sf_dir):
-    return positioned.needs_scan(_pages(spark))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
+    return positioned.needs_scan(turns, least=120)
 
 
 @query("markup_counts")
