@@ -36,14 +36,17 @@ def speaker(before: Column, after: Column) -> Column:
 
 def fragments(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, kind, content, speaker): quotes and what stands between them, in order. Quotes are straight ones."""
-    t = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("t"))
-    quotes = F.regexp_extract_all("t", F.lit(f"({QUOTED})"), F.lit(1))
-    gaps = F.split(F.col("t"), QUOTED, -1)
-    both = F.arrays_zip(gaps.alias("gap"), quotes.alias("quote"))
-    rows = t.select(key, F.col("t"), gaps.alias("gaps"), quotes.alias("quotes"), F.posexplode(both).alias("i", "p"))
-    # what stands around the quote at i, as far as a speaker is looked for
-    before = F.concat(F.when(F.col("i") > 0, F.get("quotes", F.col("i") - 1)).otherwise(""), F.col("p.gap"))
-    after = F.concat(F.coalesce(F.get("gaps", F.col("i") + 1), F.lit("")), F.coalesce(F.get("quotes", F.col("i") + 1), F.lit("")))
+    t = F.coalesce(F.col(text), F.lit(""))
+    gaps, quotes = F.split(t, QUOTED, -1), F.regexp_extract_all(t, F.lit(f"({QUOTED})"), F.lit(1))
+
+    # what stands around the quote at i, as far as a speaker is looked for, goes with it; the text itself does not
+    def parts_of(g: Column, q: Column) -> Column:
+        before = lambda x, i: F.right(F.concat(F.when(i > 0, F.get(q, i - 1)).otherwise(""), x), F.lit(180))
+        after = lambda i: F.left(F.concat(F.coalesce(F.get(g, i + 1), F.lit("")), F.coalesce(F.get(q, i + 1), F.lit(""))), F.lit(180))
+        return F.transform(g, lambda x, i: F.struct(x.alias("gap"), F.get(q, i).alias("quote"), before(x, i).alias("before"), after(i).alias("after")))
+
+    rows = df.select(key, F.posexplode(let(gaps, lambda g: let(quotes, lambda q: parts_of(g, q)))).alias("i", "p"))
+    before, after = F.col("p.before"), F.col("p.after")
     tidy = trimmed(F.regexp_replace(F.regexp_replace("p.gap", r"^[,;:\-\s]+", ""), r"\s+", " "))
     none = F.lit(None).cast("string")
     parts = F.array(
@@ -79,19 +82,19 @@ def analysis(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     t = F.coalesce(F.col(text), F.lit(""))
     full = F.filter(F.transform(lines(t), trimmed), lambda x: x != "")
     n = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
-    base = df.select(key, t.alias("t"), full.alias("_l"), sentiment(t).alias("_s"))
+    base = df.select(key, t.alias("_t"), full.alias("_l"), sentiment(t).alias("_s"))
     base = base.select(
         key,
-        "t",
+        "_t",
         F.size("_l").cast("long").alias("lines"),
         F.size(F.filter("_l", lambda x: F.regexp_like(x, F.lit(DIALOGUE_LINE)))).cast("long").alias("dialogue_lines"),
         F.size(F.filter("_l", lambda x: n(x) <= 6)).cast("long").alias("short_lines"),
         F.abs("_s.score").alias("charge"),
     )
-    ease = readability(df, key, text).select(key, "words", "sentences", "reading_ease")
-    out = base.join(ease, key)
+    # one scan: the measures of readability are taken beside these, not joined to them
+    out = readability(base, key, "_t", ["_t", "lines", "dialogue_lines", "short_lines", "charge"])
     return out.select(
-        key, "words", "sentences", "dialogue_lines", "short_lines", "reading_ease", tension("t", F.col("short_lines"), F.col("charge")).alias("tension"), "charge",
+        key, "words", "sentences", "dialogue_lines", "short_lines", "reading_ease", tension("_t", F.col("short_lines"), F.col("charge")).alias("tension"), "charge",
         F.when(F.col("lines") > 0, F.col("dialogue_lines") / F.col("lines")).otherwise(0.0).alias("dialogue_ratio"),
     )
 

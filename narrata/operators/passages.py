@@ -60,15 +60,16 @@ def top_words(df: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text
     return counted.withColumn("rank", F.row_number().over(at)).filter(F.col("rank") <= n).select(key, "rank", "word", "n")
 
 
-def readability(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Reading ease, grade level, averages, vocabulary and complex words of each text."""
+def readability(df: DataFrame, key: str = "doc_id", text: str = "text", keep=()) -> DataFrame:
+    """Reading ease, grade level, averages, vocabulary and complex words of each text, beside the columns to keep."""
     t = F.coalesce(F.col(text), F.lit(""))
-    w = df.select(key, words(t).alias("_w"), F.greatest(F.lit(1), F.size(sentences(t))).cast("long").alias("sentences"))
+    w = df.select(key, *keep, words(t).alias("_w"), F.greatest(F.lit(1), F.size(sentences(t))).cast("long").alias("sentences"))
     w = w.withColumn("_s", F.transform("_w", syllables)).withColumn("words", F.greatest(F.lit(1), F.size("_w")).cast("long"))
     per_sentence, per_word = F.col("words") / F.col("sentences"), F.aggregate("_s", F.lit(0), lambda a, x: a + x) / F.col("words")
     ease = clamp(rounded(206.835 - 1.015 * per_sentence - 84.6 * per_word, 1), 0.0, 100.0)
     return w.select(
         key,
+        *keep,
         ease.alias("reading_ease"),
         F.greatest(F.lit(0.0), rounded(0.39 * per_sentence + 11.8 * per_word - 15.59, 1)).alias("grade"),
         rounded(per_sentence, 1).alias("words_per_sentence"),

@@ -92,6 +92,12 @@ def health(calls: DataFrame, key: str = "provider") -> DataFrame:
     return last.select(key, "calls", "failures", "longest_run", "last_run", (F.col("last_run") < UNHEALTHY_AFTER).alias("healthy"))
 
 
+def usable(calls: DataFrame, now: int, key: str = "provider") -> DataFrame:
+    """(provider, usable): healthy providers, and those not called for RECOVERS_AFTER_MS, which are worth another try."""
+    last = calls.groupBy(key).agg(F.max("ts").alias("_ts"))
+    return health(calls, key).join(last, key).select(key, (F.col("healthy") | (F.lit(now) - F.col("_ts") > RECOVERS_AFTER_MS)).alias("usable"))
+
+
 def cache_events(requests: DataFrame, ttl: int = TTL_MS, size: int = CACHE_SIZE) -> DataFrame:
     """(provider, request, prompt, ts, outcome, evicted) of a cache a provider: hit, miss, or expired.
 

@@ -294,6 +294,18 @@ def provider_health(spark, sf_dir):
     return requests.health(calls(spark, sf_dir))
 
 
+_NOW = 1_704_400_000_000 * 100_000
+
+
+@query(
+    "usable_providers",
+    f"""WITH {CALLS}, n AS (SELECT provider, ok, ts, row_number() OVER (PARTITION BY provider ORDER BY ts DESC, request DESC) AS n FROM calls)
+SELECT provider, count(*) FILTER (WHERE n <= 3 AND NOT ok) < 3 OR {_NOW} - max(ts) > 120000 AS usable FROM n GROUP BY provider""",
+)
+def usable_providers(spark, sf_dir):
+    return requests.usable(calls(spark, sf_dir), _NOW)
+
+
 # an entry's life by the requests of its key in order; with more room than there are prompts nothing else is evicted
 _CACHE = f"""{CALLS}, o AS (SELECT *, row_number() OVER (PARTITION BY provider, prompt ORDER BY ts, request) AS n FROM calls),
 life AS (SELECT provider, prompt, n, request, 'miss' AS outcome, CASE WHEN ok THEN ts END AS made FROM o WHERE n = 1
