@@ -208,3 +208,13 @@ def file_name(title, mode: str, extension: str) -> Column:
 def without_tags(html) -> Column:
     """HTML as one line of text: scripts, styles and tags go, common entities are spelled out."""
     return one_line(replaced(html, (r"(?is)<(script|style)\b.*?</\1>", " "), (r"(?s)<[^>]+>", " "), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")))
+
+
+def sealed(t, key: str) -> Column:
+    """A text under AES-GCM by a key derived from a phrase, in base 64. No two are equal."""
+    return F.base64(F.aes_encrypt(F.encode(c(t), "UTF-8"), F.unhex(F.sha2(F.lit(key), 256)), F.lit("GCM")))
+
+
+def opened(t, key: str) -> Column:
+    """What ``sealed`` sealed; null where the key or the text is not right."""
+    return F.decode(F.try_aes_decrypt(F.unbase64(c(t)), F.unhex(F.sha2(F.lit(key), 256)), F.lit("GCM")), "UTF-8")

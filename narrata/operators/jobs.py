@@ -25,11 +25,17 @@ def status_counts(states: DataFrame) -> DataFrame:
     return domain.join(states.groupBy("status").agg(F.count("*").alias("jobs")), "status", "left").fillna(0, ["jobs"])
 
 
-def next_jobs(states: DataFrame, priorities: DataFrame | None = None, n: int = 3) -> DataFrame:
-    """The n pending jobs to start, by priority, then age."""
+def next_jobs(states: DataFrame, priorities: DataFrame | None = None, slots: int = 3, now: int | None = None) -> DataFrame:
+    """The pending jobs to start in the slots that processing jobs leave free, by priority, then age.
+
+    Where states have ``retry_after``, a job waits until ``now`` is past it. The jobs returned are at most ``slots``.
+    """
     rows = states.filter("status = 'pending'")
+    if now is not None and "retry_after" in states.columns:
+        rows = rows.filter(F.col("retry_after").isNull() | (F.col("retry_after") <= now))
     rows = rows.join(priorities, "job", "left").fillna(0, ["priority"]) if priorities is not None else rows.withColumn("priority", F.lit(0))
-    return rows.orderBy(F.desc("priority"), "created_ts", "job").limit(n)
+    busy = states.filter("status = 'processing'").limit(slots).count()
+    return rows.orderBy(F.desc("priority"), "created_ts", "job").limit(max(0, slots - busy))
 
 
 def retained(states: DataFrame, ref_ts: int, days: int = 7) -> DataFrame:

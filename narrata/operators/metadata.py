@@ -87,3 +87,28 @@ def recent_words(events: DataFrame, key: str, word: str, ts: str, n: int = 8) ->
     last = events.groupBy(key, F.lower(word).alias("word")).agg(F.max(ts).alias("last_ts"))
     at = Window.partitionBy(key).orderBy(F.desc("last_ts"), "word")
     return last.withColumn("rank", F.row_number().over(at)).filter(F.col("rank") <= n)
+
+
+#: What a dictionary service answers: an array of entries.
+ENTRIES = "array<struct<word:string,phonetic:string,meanings:array<struct<partOfSpeech:string,definitions:array<struct<definition:string,example:string>>>>>>"
+
+
+def definitions(answers: DataFrame, most: int = 6, word: str = "word", json: str = "json") -> DataFrame:
+    """(word, rank, part, definition, example): the first ``most`` definitions of dictionary answers; what is no answer gives none."""
+    entries = F.from_json(F.col(json), ENTRIES)
+    each = lambda m: F.transform(F.coalesce(m["definitions"], F.array().cast("array<struct<definition:string,example:string>>")), lambda d: F.struct(m["partOfSpeech"].alias("part"), d["definition"].alias("definition"), d["example"].alias("example")))
+    flat = F.flatten(F.transform(F.flatten(F.transform(entries, lambda e: e["meanings"])), each))
+    fine = F.slice(F.filter(flat, lambda d: d["definition"].isNotNull() & (d["definition"] != "")), 1, most)
+    return answers.select(word, F.posexplode(fine).alias("i", "d")).select(word, (F.col("i") + 1).alias("rank"), "d.*")
+
+
+def first_sentence(value) -> Column:
+    """The first sentence of a field that is text, an array of texts, or an object with a text under value."""
+    v = F.try_parse_json(c(value))
+    text = F.coalesce(F.try_variant_get(v, "$.value", "string"), F.try_variant_get(v, "$[0]", "string"), F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")), F.when(v.isNull(), c(value)))
+    return F.nullif(trimmed(F.regexp_extract(trimmed(text), r"(?s)^(.*?[.!?])(?:\s|\z)|^(.*)", 0)), F.lit(""))
+
+
+def subjects_of(description) -> Column:
+    """The parts between commas, semicolons and slashes."""
+    return distinct_names(F.split(F.coalesce(c(description), F.lit("")), "[,;/]"))

@@ -200,6 +200,13 @@ def error_kind(message) -> Column:
     return cases([(has("429", "rate limit", "too many requests"), "rate_limit"), (has("401", "403", "unauthorized", "api key"), "auth"), (has("timeout", "timed out"), "timeout"), (has("network", "fetch", "connection"), "network"), (has("404", "model not found", "unavailable"), "model_unavailable")], "unknown")
 
 
-def retry_delay(attempt, base: int = 1000, cap: int = 30_000) -> Column:
-    """Milliseconds before a further attempt: doubled each time, up to the cap."""
-    return F.least(F.lit(float(cap)), base * F.pow(F.lit(2.0), F.col(attempt))).cast("long")
+def retry_delay(attempt, base: int = 1000, cap: int = 30_000, after=None, spread: float = 0.0, seed=None) -> Column:
+    """Milliseconds before a further attempt: doubled each time, up to the cap; what the server asked for goes before.
+
+    With ``spread``, delays are stretched by up to that share, by a digest of ``seed``, so that reruns agree.
+    """
+    wait = base * F.pow(F.lit(2.0), F.col(attempt))
+    if spread:
+        wait = wait * (1 + spread * F.pmod(F.xxhash64(seed), F.lit(1000)) / 1000.0)
+    wait = F.least(F.lit(float(cap)), wait)
+    return (wait if after is None else F.coalesce(F.col(after).cast("double"), wait)).cast("long")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashes
-from ..functions.text import trimmed
-from ..operators import chapters, display, documents, passages, records, scenes
+from ..functions.text import opened, sealed, trimmed
+from ..operators import chapters, display, documents, ingest, jobs, metadata, packing, passages, records, requests, scenes
+from ..sources import books
 from . import sql
 from .block_queries import BLOCKS, blocks
 from .fixtures import cte, table
@@ -382,3 +383,133 @@ def merged_words(spark, sf_dir):
 def scan_quality(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return records.scan_quality(e.select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 3 == 0).alias("scanned"), (F.col("event_id") % 101).alias("confidence")))
+
+
+# orders as jobs: their status, priority and dates
+_ORDER_JOBS = "j AS (SELECT o_orderkey::VARCHAR AS job, (['pending', 'processing', 'completed', 'failed'])[o_orderkey % 5 % 4 + 1] AS status, epoch_ms(o_orderdate::TIMESTAMP)::BIGINT AS created_ts, epoch_ms(o_orderdate::TIMESTAMP)::BIGINT + o_orderkey * 1000 AS updated_ts, CASE WHEN o_orderkey % 3 = 0 THEN epoch_ms(o_orderdate::TIMESTAMP)::BIGINT + 1000000000 END AS retry_after, (o_orderkey % 7)::INTEGER AS priority FROM orders)"
+_REF = 800_000_000_000
+
+
+def _order_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
+    made = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    status = F.get(F.lit(list(jobs.STATUSES)), (k % 5 % 4).cast("int"))
+    return o.select(k.cast("string").alias("job"), status.alias("status"), made.alias("created_ts"), (made + k * 1000).alias("updated_ts"), F.when(k % 3 == 0, made + 1_000_000_000).alias("retry_after"), (k % 7).cast("int").alias("priority"))
+
+
+@query("jobs_to_start", f"WITH {_ORDER_JOBS}, p AS (SELECT * FROM j WHERE status = 'pending' AND (retry_after IS NULL OR retry_after <= {_REF})) SELECT job, created_ts, priority FROM p ORDER BY priority DESC, created_ts, job LIMIT greatest(0, 1000000 - (SELECT count(*) FROM j WHERE status = 'processing'))")
+def jobs_to_start(spark, sf_dir):
+    rows = _order_jobs(spark, sf_dir)
+    return jobs.next_jobs(rows.drop("priority"), rows.select("job", "priority"), 1_000_000, _REF).select("job", "created_ts", "priority")
+
+
+@query("retained_jobs", f"WITH {_ORDER_JOBS} SELECT job, status, updated_ts FROM j WHERE status NOT IN ('completed', 'failed') OR updated_ts >= {_REF} - 7 * 86400000")
+def retained_jobs(spark, sf_dir):
+    return jobs.retained(_order_jobs(spark, sf_dir), _REF).select("job", "status", "updated_ts")
+
+
+@query("newest_orders", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n <= 3")
+def newest_orders(spark, sf_dir):
+    return jobs.newest(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey"), 3, "o_orderkey", "o_custkey")
+
+
+_KEY = lambda x: sql.trim(_replace(f"lower({x})", (r"[^a-z0-9\s]", " "), (r"\s+", " ")))
+
+
+@query(
+    "best_matches",
+    f"""WITH q AS (SELECT p_partkey, p_name, p_brand, p_partkey % 10 AS b FROM part), c AS (SELECT q.p_brand || '!' AS query, p_brand || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' x' END AS title, p_partkey AS pos FROM q),
+n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {_KEY('title')} = {_KEY('query')} DESC, pos) AS n FROM c) SELECT query, title, pos FROM n WHERE n = 1""",
+)
+def best_matches(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return metadata.best_match(p.select(F.concat("p_brand", F.lit("!")).alias("query"), F.concat("p_brand", F.when(F.col("p_partkey") % 3 == 0, "").otherwise(" x")).alias("title"), F.col("p_partkey").alias("pos")))
+
+
+@query("completions", rf"""WITH {TEXTS}, w AS (SELECT lower(unnest({sql.words("coalesce(text, '')")})) AS word FROM texts), n AS (SELECT word, count(*) AS n FROM w GROUP BY word) SELECT word, n FROM n WHERE starts_with(word, 'th') AND word <> 'th' ORDER BY n DESC, word LIMIT 8""")
+def completions(spark, sf_dir):
+    from ..functions.text import words
+
+    vocabulary = texts(spark, sf_dir).select(F.explode(F.transform(words(F.coalesce("text", F.lit(""))), lambda w: F.lower(w))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return metadata.completions(vocabulary, "th")
+
+
+@query("toggled_marks", f"WITH {_BOOKS} SELECT book, CASE WHEN current IN (2, 4) THEN array_to_string(list_filter(read_chapters, lambda x: x <> current), ',') ELSE array_to_string(list_append(read_chapters, current), ',') END AS marks FROM pr")
+def toggled_marks(spark, sf_dir):
+    progress = _books(spark, sf_dir)[1]
+    return progress.select("book", F.array_join(F.transform(metadata.toggled(F.col("read_chapters"), F.col("current")), lambda x: x.cast("string")), ",").alias("marks"))
+
+
+@query("chosen_chapters", f"WITH {_BOOKS}, n AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY number) - 1 AS i FROM ch) SELECT book, number, title FROM n WHERE i IN (0, 2, 99)")
+def chosen_chapters(spark, sf_dir):
+    return books.chosen_chapters(_books(spark, sf_dir)[0], [0, 2, 99])
+
+
+@query("migrated_books", "SELECT c_custkey::VARCHAR AS book, coalesce(CASE WHEN c_custkey % 2 = 0 THEN 'ready' END, 'new') AS status, false AS is_public FROM customer")
+def migrated_books(spark, sf_dir):
+    old = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("book"), F.when(F.col("c_custkey") % 2 == 0, "ready").alias("status"))
+    return books.migrated(old, status="new", is_public=False)
+
+
+@query("low_confidence", "SELECT event_id, (event_id % 10) / 10.0::DOUBLE >= 0.35 OR event_id % 100 < 65 OR event_id % 17 = 0 AS low FROM events")
+def low_confidence(spark, sf_dir):
+    i = F.col("event_id")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", ingest.low_confidence((i % 10) / 10.0, i % 100, i % 17 == 0).alias("low"))
+
+
+_FAILURES = "(['HTTP 429', 'Bad API key', 'Timed out', 'fetch failed', 'Model not found', 'odd'])[event_id % 6 + 1]"
+
+
+@query("error_kinds", f"SELECT event_id, (['rate_limit', 'auth', 'timeout', 'network', 'model_unavailable', 'unknown'])[event_id % 6 + 1] AS kind, {_FAILURES} AS message FROM events")
+def error_kinds(spark, sf_dir):
+    message = F.get(F.lit(["HTTP 429", "Bad API key", "Timed out", "fetch failed", "Model not found", "odd"]), (F.col("event_id") % 6).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", requests.error_kind(message).alias("kind"), message.alias("message"))
+
+
+@query("delays_asked_for", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_id * 10 ELSE least(30000, 1000 * pow(2, event_id % 7)) END::BIGINT AS ms FROM events")
+def delays_asked_for(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") % 7).alias("n"), F.when(F.col("event_id") % 4 == 0, F.col("event_id") * 10).alias("after"))
+    return rows.select("event_id", requests.retry_delay("n", after="after").alias("ms"))
+
+
+@query("sealed_texts", f"WITH {TEXTS} SELECT doc_id, true AS differs, coalesce(text, '') AS again, NULL::VARCHAR AS wrong FROM texts")
+def sealed_texts(spark, sf_dir):
+    rows = texts(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("s", sealed("t", "phrase"))
+    return rows.select("doc_id", (F.col("s") != F.col("t")).alias("differs"), opened("s", "phrase").alias("again"), opened("s", "other").alias("wrong"))
+
+
+@query(
+    "definitions",
+    "SELECT p_partkey AS word, 1 AS rank, 'noun' AS part, p_brand AS definition, NULL::VARCHAR AS example FROM part WHERE p_partkey % 9 > 0 UNION ALL SELECT p_partkey, 2, 'verb', p_type, 'e' FROM part WHERE p_partkey % 9 > 0",
+)
+def definitions(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    one = F.to_json(F.array(F.struct(F.lit("w").alias("word"), F.array(
+        F.struct(F.lit("noun").alias("partOfSpeech"), F.array(F.struct(F.col("p_brand").alias("definition"), F.lit(None).cast("string").alias("example")), F.struct(F.lit("").alias("definition"), F.lit(None).cast("string").alias("example"))).alias("definitions")),
+        F.struct(F.lit("verb").alias("partOfSpeech"), F.array(F.struct(F.col("p_type").alias("definition"), F.lit("e").alias("example"))).alias("definitions")),
+    ).alias("meanings"))))
+    return metadata.definitions(p.select(F.col("p_partkey").alias("word"), F.when(F.col("p_partkey") % 9 > 0, one).otherwise("no answer").alias("json")))
+
+
+@query("subjects", "WITH s AS (SELECT c_custkey, list_transform(regexp_split_to_array(concat(c_mktsegment, '; ', lower(c_mktsegment), '/x, ', c_nationkey), '[,;/]'), lambda x: trim(x)) AS a FROM customer) SELECT c_custkey, concat_ws('|', a[1], a[3], a[4]) AS subjects FROM s")
+def subjects(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    text = F.concat("c_mktsegment", F.lit("; "), F.lower("c_mktsegment"), F.lit("/x, "), F.col("c_nationkey").cast("string"))
+    return c.select("c_custkey", F.array_join(metadata.subjects_of(text), "|").alias("subjects"))
+
+
+@query("first_sentences", "SELECT event_id, 'One. ' || 'x' AS raw, 'One.' AS first FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, '[\"Two! more\"]', 'Two!' FROM events WHERE event_id % 3 = 1 UNION ALL SELECT event_id, '{\"value\": \"Three\"}', 'Three' FROM events WHERE event_id % 3 = 2".replace("\\", ""))
+def first_sentences(spark, sf_dir):
+    raw = F.get(F.lit(["One. x", '["Two! more"]', '{"value": "Three"}']), (F.col("event_id") % 3).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", raw.alias("raw"), metadata.first_sentence(raw).alias("first"))
+
+
+@query(
+    "paragraph_chunks",
+    rf"""WITH RECURSIVE {TEXTS}, w AS (SELECT doc_id, unnest(a) AS p, generate_subscripts(a, 1) AS i, length(unnest(a)) AS s FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n\s*\n'), lambda x: {sql.trim('x')}), lambda x: x <> '') AS a FROM texts)),
+r AS (SELECT doc_id, i, p, 0 AS chunk, 1 AS n, s AS total FROM w WHERE i = 1
+  UNION ALL SELECT w.doc_id, w.i, w.p, CASE WHEN r.total + w.s + 2 * r.n <= 300 THEN r.chunk ELSE r.chunk + 1 END, CASE WHEN r.total + w.s + 2 * r.n <= 300 THEN r.n + 1 ELSE 1 END, CASE WHEN r.total + w.s + 2 * r.n <= 300 THEN r.total + w.s ELSE w.s END FROM r JOIN w ON w.doc_id = r.doc_id AND w.i = r.i + 1)
+SELECT doc_id, chunk, string_agg(p, chr(10) || chr(10) ORDER BY i) AS text FROM r GROUP BY doc_id, chunk""",
+)
+def paragraph_chunks(spark, sf_dir):
+    return packing.chunks(texts(spark, sf_dir), 300)
