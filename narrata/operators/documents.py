@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import cases
-from ..functions.text import c, canonical, let, paragraphs, spaces_normal, trimmed, whole
+from ..functions.text import c, canonical, folded, let, paragraphs, spaces_normal, trimmed, whole
 from .dialogue import fragments
 from .folds import sequenced
 
@@ -185,3 +185,27 @@ def composed(df: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFr
         except Exception as e:
             raise RuntimeError(f"stage {name} failed") from e
     return df
+
+
+def scene_starts(paras: DataFrame, scenes: DataFrame, key: str = "doc_id", chars: int = 80) -> DataFrame:
+    """(key, pos) of the paragraphs (key, pos, text) that scenes (key, scene, text) begin with, by their first characters.
+
+    Scenes are looked for in order, each from the paragraph after the last one found; a scene that is not found is
+    passed over. The first paragraph is no start, and texts of one scene have none.
+    """
+    in_order = lambda x, y: F.array_sort(F.collect_list(F.struct(x, y)))
+    p = paras.groupBy(key).agg(in_order("pos", trimmed(F.coalesce("text", F.lit(""))).alias("text")).alias("_p"))
+    s = scenes.groupBy(key).agg(in_order("scene", F.left(trimmed(F.coalesce("text", F.lit(""))), F.lit(chars)).alias("head")).alias("_s")).filter(F.size("_s") > 1)
+
+    def step(at: Column, scene: Column) -> tuple[Column, Column]:
+        hits = F.filter(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: (i >= at) & F.startswith(F.get("_p", i)["text"], scene["head"]))
+        hit = F.when(scene["head"] != "", F.get(hits, F.lit(0)))
+        return F.coalesce(hit + 1, at), F.filter(F.array(hit), lambda i: i.isNotNull() & (i > 0))
+
+    found = folded(F.col("_s"), F.lit(0), step, "int")
+    return p.join(s, key).select(key, F.explode(F.transform(found, lambda i: F.get("_p", i)["pos"])).alias("pos"))
+
+
+def projected(chapters: DataFrame) -> DataFrame:
+    """Chapters as they are exported: title, number and paragraphs of the revised text where there is one, else of the original."""
+    return chapters.withColumn("paragraphs", paragraphs(F.coalesce("revised", "text", F.lit("")))).drop("revised", "text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashes import cache_key as cache_key
@@ -14,6 +14,17 @@ from .folds import sequenced
 LEAST_CONTEXT = {"low": 0, "medium": 32_000, "high": 128_000, "critical": 200_000}
 WEIGHTS = {"critical": (5, 40, 10, 10, 25, 10), "high": (10, 30, 10, 10, 25, 15), "fast": (15, 5, 35, 10, 25, 10), "else": (30, 15, 15, 10, 20, 10)}
 TOP_COST = 0.009
+# Kinds of task: complexity, streaming, most cost, fastest first, JSON needed, temperature, raw text. Fixed values.
+TASKS = {
+    "text-repair": ("low", False, 0.0005, True, False, 0.1, True),
+    "metadata": ("low", False, 0.001, True, True, 0.1, False),
+    "formatting": ("low", False, 0.001, True, False, 0.2, True),
+    "scene-analysis": ("medium", False, 0.01, False, True, 0.3, False),
+    "chapter-summary": ("medium", False, 0.01, False, True, 0.3, False),
+    "character-tracking": ("medium", False, 0.01, False, True, 0.2, False),
+    "cinematization": ("high", True, 0.05, False, False, 0.6, True),
+    "narrative-analysis": ("critical", True, 0.1, False, False, 0.4, True),
+}
 CHARS_PER_TOKEN = 4
 TTL_MS, CACHE_SIZE = 30 * 60 * 1000, 50
 UNHEALTHY_AFTER, RECOVERS_AFTER_MS = 3, 120_000
@@ -69,6 +80,11 @@ def provider_scores(providers: DataFrame, policies: DataFrame, input_tokens: int
     return rows.select("policy", "name", "cost_usd", F.when(refused.isNull(), rounded(total / weights, 2)).otherwise(0.0).alias("score"), refused.alias("refused"))
 
 
+def task_policies(spark: SparkSession) -> DataFrame:
+    """The kinds of task as policies, with temperature and whether the answer is raw text."""
+    return spark.createDataFrame([(name, *row) for name, row in TASKS.items()], "policy string, complexity string, needs_stream boolean, max_cost double, prefer_fastest boolean, require_json boolean, temperature double, raw_text boolean")
+
+
 def routes(scores: DataFrame) -> DataFrame:
     """(policy, provider, chain): the best provider for each policy, and all that are left in order."""
     at = Window.partitionBy("policy").orderBy(F.desc("score"), "name")

@@ -10,6 +10,7 @@ from ..functions.text import opened, sealed, trimmed
 from ..operators import chapters, display, documents, ingest, jobs, metadata, packing, passages, records, requests, scenes
 from ..sources import books
 from . import sql
+from .block_queries import _SCORES as SCORES
 from .block_queries import BLOCKS, blocks
 from .fixtures import cte, table
 from .text_queries import PARAS, TEXTS, line_texts, texts
@@ -103,7 +104,6 @@ def detected_tiers(spark, sf_dir):
     return documents.detected_chapters(t, found).groupBy("doc_id", "tier").agg(F.count("*").alias("chapters"))
 
 
-_SPACED = lambda x: _replace(x, (r" ", " "))
 
 
 @query(
@@ -513,3 +513,24 @@ SELECT doc_id, chunk, string_agg(p, chr(10) || chr(10) ORDER BY i) AS text FROM
 )
 def paragraph_chunks(spark, sf_dir):
     return packing.chunks(texts(spark, sf_dir), 300)
+
+
+@query("scene_starts")
+def scene_starts(spark, sf_dir):
+    lines = line_texts(spark, sf_dir)
+    return documents.scene_starts(lines, lines.filter("pos % 3 = 0").select("doc_id", F.col("pos").alias("scene"), "text"))
+
+
+@query("projected_chapters", f"WITH {TEXTS} SELECT doc_id, list_transform(list_filter(list_transform(regexp_split_to_array(coalesce(CASE WHEN doc_id % 4 = 0 THEN concat('Revised.', chr(10), chr(10), text) END, text, ''), '\\n\\s*\\n'), lambda x: {sql.trim('x')}), lambda x: x <> ''), lambda x: length(x))::VARCHAR AS lengths FROM texts")
+def projected_chapters(spark, sf_dir):
+    revised = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Revised.\n\n"), "text"))
+    rows = documents.projected(texts(spark, sf_dir).withColumn("revised", revised))
+    return rows.select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("paragraphs", lambda x: F.length(x).cast("string")), ", "), F.lit("]")).alias("lengths"))
+
+
+_TASKS = ", ".join(f"('{name}', '{c}', {s}, {m}::DOUBLE, {f}, {j})" for name, (c, s, m, f, j, *_) in requests.TASKS.items())
+
+
+@query("task_routes", f"WITH {SCORES.replace(cte('fx_policies'), 'fx_policies(policy, complexity, needs_stream, max_cost, prefer_fastest, require_json) AS (VALUES ' + _TASKS + ')')}, n AS (SELECT *, row_number() OVER (PARTITION BY policy ORDER BY score DESC, name) AS n FROM scores WHERE refused IS NULL) SELECT policy, arg_min(name, n) AS provider, string_agg(name, '>' ORDER BY n) AS chain FROM n GROUP BY policy")
+def task_routes(spark, sf_dir):
+    return requests.routes(requests.provider_scores(table(spark, "fx_providers"), requests.task_policies(spark).drop("temperature", "raw_text")))

@@ -16,7 +16,7 @@ HELD = {
     "scene_titles": "test_values.test_scenes", "chapters": "test_values.test_chapters", "exported_chapters": "test_values.test_chapters", "markup_blocks": "test_values.test_markup",
     "paragraph_strategies": "test_values.test_packings_lose_nothing", "careful_sentences": "test_values.test_careful_sentences", "rebuilt_paragraphs": "test_values.test_rebuilding_loses_nothing",
     "staged_scenes": "test_values.test_staging", "plain_blocks": "test_values.test_plain_blocks", "page_boundaries": "test_values.test_boundaries", "stream_thinned": "test_values.test_thinning_depends_on_the_last_kept",
-    "checked_outputs": "here", "titles": "here",
+    "checked_outputs": "here", "titles": "here", "scene_starts": "here",
 }
 
 
@@ -225,3 +225,22 @@ def test_titles(spark, sf_dir):
         lines = [trim(x) for x in (r.text or "").split("\n") if trim(x)][:40]
         assert got[r.doc_id] == "Untitled Novel" or any(got[r.doc_id] in re.sub(r"\s+", " ", x) for x in lines)
     assert len(fixtures.BOOKS) and all(got[-b[0]] for b in fixtures.BOOKS)
+
+
+def test_scene_starts(spark, sf_dir):
+    paras = {}
+    for r in text_queries.line_texts(spark, sf_dir).collect():
+        paras.setdefault(r.doc_id, []).append((r.pos, trim(r.text or "")))
+    want = set()
+    for i, rows in paras.items():
+        rows.sort()
+        heads = [t[:80] for pos, t in rows if pos % 3 == 0]
+        at = 0
+        for head in heads if len(heads) > 1 else []:
+            hit = next((k for k in range(at, len(rows)) if head and rows[k][1].startswith(head)), None)
+            if hit is not None:
+                at = hit + 1
+                if hit > 0:
+                    want.add((i, rows[hit][0]))
+    got = [tuple(r) for r in run(spark, sf_dir, "scene_starts")]
+    assert set(got) == want and len(got) == len(want)
