@@ -28,12 +28,24 @@ def cosine(a, b) -> Column:
 def nearest(queries: DataFrame, history: DataFrame, k: int = 2, id_: str = "vec_id", vector: str = "embedding", most_queries: int = 4096) -> DataFrame:
     """(query, rank, id, similarity) of the k nearest of other ids, ties by id.
 
-    A stated query set goes against all rows in blocks: the queries, of a checked number, are gathered in rows of BLOCK
-    each, which are sent to all rows; each row meets each query once, and only the best of each partition are shuffled.
+    A stated query set goes against all rows in blocks: at most ``most_queries`` at a time, in as many passes as that
+    takes, are gathered in rows of BLOCK each and sent to all rows; each row meets each query once, and only the best of
+    each partition are shuffled.
     """
+    passes = max(1, -(-queries.count() // most_queries))
+    part = F.pmod(F.xxhash64(id_, F.lit("pass")), F.lit(2 * passes if passes > 1 else 1))
+    out = None
+    for i in range(2 * passes if passes > 1 else 1):
+        found = _nearest(queries.filter(part == i), history, k, id_, vector, most_queries)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _nearest(queries: DataFrame, history: DataFrame, k: int, id_: str, vector: str, most_queries: int) -> DataFrame:
+    """As ``nearest``, for a checked number of queries."""
     n = queries.count()
     if n > most_queries:
-        raise ValueError(f"{n} queries; pass at most {most_queries} at a time")
+        raise ValueError(f"{n} queries in a pass of at most {most_queries}")
     stated = queries.select(F.struct(F.col(id_).alias("q"), F.col(vector).alias("v"), norm(F.col(vector)).alias("n")).alias("x"))
     block = stated.groupBy(F.pmod(F.xxhash64("x.q"), F.lit(max(1, -(-n // BLOCK)))).alias("_part")).agg(F.collect_list("x").alias("_block")).drop("_part")
     rows = history.select(F.col(id_).alias("id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_n"))

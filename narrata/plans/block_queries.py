@@ -407,7 +407,7 @@ def nearest_vectors(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     from ..functions.text import rounded
 
-    return vectors.nearest(e.filter("vec_id % 20 = 0"), e, most_queries=1 << 20).withColumn("similarity", rounded("similarity", 6))
+    return vectors.nearest(e.filter("vec_id % 20 = 0"), e).withColumn("similarity", rounded("similarity", 6))
 
 
 @query("paragraph_strategies")

@@ -115,6 +115,13 @@ def test_vectors(spark):
         one_wide.select(vectors.cosine(F.col("a"), F.col("b"))).collect()
 
 
+def test_vectors_in_passes(spark):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sets = [sorted((r.query, r["rank"], r.id) for r in vectors.nearest(v.filter("vec_id % 4 = 0"), v, 3, most_queries=n).collect()) for n in (4096, 8)]
+    assert len(sets[0]) == 30 and sets[0] == sets[1]
+
+
 def test_metadata(spark):
     assert one(spark, F.array_join(metadata.distinct_names(F.col("v")), "|"), v=[" A", "a", "", "B"]) == "A|B"
     assert one(spark, metadata.genre(F.col("v")), v=["Space opera", "Love story"]) == "romance"
