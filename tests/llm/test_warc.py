@@ -92,7 +92,7 @@ def test_gaps_are_logged_with_their_places():
     found = scanned(a + b"junk WARC/1.0 junk \x1f\x8b\x08 " + b[:-9] + c)
     gaps = [x for x in found if x["fault"]]
     assert [x["record_id"] for x in found if x["fault"] is None] == ["urn:page:0", "urn:page:2"]
-    assert [(x["offset"], x["length"], x["fault"]) for x in gaps] == [(len(a), len(b) - 9 + 22, "version line")]
+    assert [(x["offset"], x["length"], x["fault"]) for x in gaps] == [(len(a), len(b) - 9 + 23, "version line")]
     # cut off at the end, and a length that claims more than there is
     assert [x["fault"] for x in scanned(a + b[:-1])] == [None, "member's end"]
     lying = page(5, b"x" * 40).replace(b"Content-Length: 40", b"Content-Length: 99999999", 1).replace(b"Content-Length: 1", b"Content-Length: 9")
