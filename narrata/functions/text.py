@@ -183,6 +183,11 @@ def extracted_normal(t) -> Column:
     return trimmed(replaced(unicode_normal(quotes_normal(kept)), (r"\n{4,}", "\n\n\n"), (r"(?m)^[ \t]+|[ \t]+$", "")))
 
 
+def post_extraction(t) -> Column:
+    """Text of any file as its reader leaves it: no zero-width marks, newlines as \\n, none of the white space that ends lines, blank lines among it."""
+    return trimmed(replaced(t, (r"[\u200B-\u200D\uFEFF]", ""), (r"\r\n|\r", "\n"), (r"(?md)\s+$", ""), (r"\n{3,}", "\n\n"), (r"[ \t]+", " ")))
+
+
 def ocr_normal(t) -> Column:
     """Scanner artefacts: a lone l before a word as I, stray accents, tabs, form feeds, dot runs, control characters."""
     fixed = replaced(

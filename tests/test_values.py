@@ -174,9 +174,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "f.doc").write_bytes(b"x")
     got = {r.path.rpartition("/")[2]: (r.text, r.error) for r in files.read_documents(spark, str(tmp_path)).collect()}
     assert got["a.txt"] == ("plain text", None)
-    assert got["b.docx"] == ("onetwo\n\nthree", None)
-    assert got["c.pptx"] == ("s2\n\ns10", None)
-    assert got["d.epub"] == ("second\n\nfirst", None)
+    assert got["b.docx"] == ("onetwo\nthree", None)
+    assert got["c.pptx"] == ("s2\ns10", None)
+    assert got["d.epub"] == ("second\nfirst", None)
     assert got["e.docx"][1].startswith("EXTRACTION_FAILED")
     assert got["f.doc"] == (None, "LEGACY_FORMAT")
 
