@@ -226,3 +226,33 @@ def retry_delay(attempt, base: int = 1000, cap: int = 30_000, after=None, spread
         wait = wait * (1 + spread * F.pmod(F.xxhash64(seed), F.lit(1000)) / 1000.0)
     wait = F.least(F.lit(float(cap)), wait)
     return (wait if after is None else F.coalesce(F.col(after).cast("double"), wait)).cast("long")
+
+
+def dated_costs(calls: DataFrame, prices: DataFrame, width: int = 86_400_000) -> DataFrame:
+    """(provider, calls, unpriced, estimated_usd, actual_usd): each call at the price of its time, and at the newest one.
+
+    Calls (provider, ts, estimated, tokens) meet prices (provider, since, micros: millionths a thousand tokens) as of their time by
+    one sort of both together. A provider's time is cut in stretches of ``width``, which are sorted apart, so one with most of the
+    calls is many tasks' work; the price in force when a stretch begins comes from the prices and the stretches alone. Of prices
+    of one time the highest holds. Sums are whole numbers, so their order does not matter.
+    """
+    stretch = lambda c: F.floor(F.col(c) / width).cast("long")
+    priced = prices.filter("since is not null and micros is not null").groupBy("provider", "since").agg(F.max("micros").cast("long").alias("micros"))
+    rows = calls.select("provider", "ts", F.coalesce("estimated", F.lit(0)).cast("long").alias("estimated"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+    none = lambda name: F.lit(None).cast("long").alias(name)
+    # a row a stretch, at its start, and the prices: what was in force before
+    starts = rows.select("provider", stretch("ts").alias("part")).distinct().select("provider", (F.col("part") * width).alias("ts"), F.lit(1).alias("_start"), none("micros"))
+    known = starts.unionByName(priced.select("provider", F.col("since").alias("ts"), F.lit(0).alias("_start"), "micros"))
+    before = Window.partitionBy("provider").orderBy("ts", "_start").rowsBetween(Window.unboundedPreceding, 0)
+    carried = known.withColumn("micros", F.last("micros", ignorenulls=True).over(before)).filter("_start = 1 and micros is not null")
+    both = (
+        rows.select("provider", "ts", F.lit(1).alias("_call"), none("micros"), "estimated", "tokens")
+        .unionByName(priced.select("provider", F.col("since").alias("ts"), F.lit(0).alias("_call"), "micros", none("estimated"), none("tokens")))
+        .unionByName(carried.select("provider", "ts", F.lit(-1).alias("_call"), "micros", none("estimated"), none("tokens")))
+    )
+    at = Window.partitionBy("provider", "_part").orderBy("ts", "_call").rowsBetween(Window.unboundedPreceding, 0)
+    then = both.withColumn("_part", stretch("ts")).withColumn("micros", F.last("micros", ignorenulls=True).over(at)).filter("_call = 1")
+    sums = then.groupBy("provider").agg(F.count("*").alias("calls"), F.count_if(F.col("micros").isNull()).alias("unpriced"), F.coalesce(F.sum(F.col("tokens") * F.col("micros")), F.lit(0)).alias("_actual"), F.sum("estimated").alias("_estimated"))
+    newest = priced.groupBy("provider").agg(F.max_by("micros", "since").alias("_newest"))
+    usd = lambda x: x.cast("double") / 1e9
+    return sums.join(newest, "provider", "left").select("provider", "calls", "unpriced", usd(F.col("_estimated") * F.coalesce("_newest", F.lit(0))).alias("estimated_usd"), usd(F.col("_actual")).alias("actual_usd"))

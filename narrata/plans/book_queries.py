@@ -397,7 +397,14 @@ def stream_activity(spark, sf_dir):
     return out.select(F.unix_micros("start_ts").alias("start_us"), "event_type", "events")
 
 
-@query("stream_thinned")
+@query(
+    "stream_thinned",
+    """WITH RECURSIVE o AS (SELECT user_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS i FROM events),
+w AS (SELECT user_id, i, ts, event_type, true AS keep FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.i, CASE WHEN k THEN o.ts ELSE w.ts END, CASE WHEN k THEN o.event_type ELSE w.event_type END, k
+  FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1, LATERAL (SELECT o.event_type <> w.event_type OR epoch_us(o.ts) - epoch_us(w.ts) >= 20000000 AS k) x)
+SELECT user_id, ts, event_type FROM w WHERE keep""",
+)
 def stream_thinned(spark, sf_dir):
     return streams.settled(streams.thinned(streams.event_stream(spark, f"{sf_dir}/events.parquet")), "append")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import block_queries, book_queries, more_queries, text_queries
+from . import block_queries, book_queries, engine_queries, more_queries, text_queries
 
-MODULES = [text_queries, block_queries, book_queries, more_queries]
+MODULES = [text_queries, block_queries, book_queries, more_queries, engine_queries]
 
 
 def queries() -> dict:

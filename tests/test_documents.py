@@ -154,3 +154,24 @@ def test_merged_words(spark):
 
     df = spark.createDataFrame([("Run", ["walk", "RUN", " jog"], ["Walk", "", "sprint"])], "b string, x array<string>, y array<string>")
     assert df.select(records.merged_words("b", F.col("x"), F.col("y")).alias("w")).first().w == ["walk", "jog", "sprint"]
+
+
+def test_prices_of_their_time(spark):
+    """Calls before any price, on the day of a change and long after it; one provider with nearly all calls; stretches of any width."""
+    rng_ = random.Random(12)
+    prices = [("a", 50, 7), ("a", 400, 9), ("a", 400, 8), ("b", 10, 3), ("a", 1000, 2), ("c", None, 5), ("a", 700, None)]
+    calls = [("a" if rng_.random() < 0.9 else rng_.choice("bcd"), rng_.randrange(1500), rng_.randrange(40), rng_.randrange(40)) for _ in range(900)] + [("a", 400, None, 5), ("a", 399, 1, None), ("b", 10, 1, 1)]
+    want = {}
+    for provider, ts, estimated, tokens in calls:
+        known = [(since, micros) for p, since, micros in prices if p == provider and since is not None and micros is not None]
+        then = max((x for x in known if x[0] <= ts), default=(None, None))[1]
+        newest = max(known, default=(0, 0))[1]
+        w = want.setdefault(provider, [0, 0, 0, 0])
+        for i, x in enumerate((1, then is None, (estimated or 0) * newest, (tokens or 0) * (then or 0))):
+            w[i] += x
+    c = spark.createDataFrame(calls, "provider string, ts long, estimated long, tokens long").repartition(3)
+    p = spark.createDataFrame(prices, "provider string, since long, micros long")
+    for width in (37, 400, 100_000):
+        got = {r.provider: (r.calls, r.unpriced, r.estimated_usd, r.actual_usd) for r in requests.dated_costs(c, p, width).collect()}
+        assert got == {k: (n, u, e / 1e9, a / 1e9) for k, (n, u, e, a) in want.items()}
+    assert requests.dated_costs(c.limit(0), p).count() == 0

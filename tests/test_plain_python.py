@@ -15,8 +15,9 @@ HELD = {
     "cache_events": "test_documents.test_cache_against_a_dictionary", "document_statistics": "test_documents.test_document_statistics", "typed_fragments": "test_documents.test_typed_fragments",
     "scene_titles": "test_values.test_scenes", "chapters": "test_values.test_chapters", "exported_chapters": "test_values.test_chapters", "markup_blocks": "test_values.test_markup",
     "paragraph_strategies": "test_values.test_packings_lose_nothing", "careful_sentences": "test_values.test_careful_sentences", "rebuilt_paragraphs": "test_values.test_rebuilding_loses_nothing",
-    "staged_scenes": "test_values.test_staging", "plain_blocks": "test_values.test_plain_blocks", "page_boundaries": "test_values.test_boundaries", "stream_thinned": "test_values.test_thinning_depends_on_the_last_kept",
-    "checked_outputs": "here", "titles": "here", "scene_starts": "here",
+    "staged_scenes": "test_values.test_staging", "plain_blocks": "test_values.test_plain_blocks", "page_boundaries": "test_values.test_boundaries",
+    "checked_outputs": "here", "titles": "here", "scene_starts": "here", "rendered_scenes": "test_rendering.test_the_query_over_all_events",
+    "engine_documents": "test_engine.test_stages_equal_the_single_operators", "stage_trace": "test_engine.test_stages_equal_the_single_operators",
 }
 
 

@@ -1,6 +1,7 @@
 """What readers are shown, against a plain replay of the same rules; in one batch and in many."""
 
 import random
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from narrata.streaming import rendering
 SCHEMA = "session long, ts timestamp, seq long, kind string, scene string, content string, provider string"
 
 
-def replayed(events):
-    """(kind, ts, scene, content, progress, completed, scenes, tokens, streaming) by a plain loop over (ts, kind, scene, content, provider) of one session."""
+def replayed(events, upto=None):
+    """(kind, ts, scene, content, progress, completed, scenes, tokens, streaming) by a plain loop over (ts, kind, scene, content, provider) of one session, and what is due after them by ``upto``."""
     out, scenes, text, waits = [], {}, "", 0
     active, streaming, tokens, given, clock = None, False, 0, 0, {}
 
@@ -31,7 +32,7 @@ def replayed(events):
         if held:
             say("chunk", ts, active, held)
 
-    for ts, kind, name, content, _ in [*events, (None, "end", None, None, None)]:
+    for ts, kind, name, content, _ in [*events, (upto, "end", None, None, None)]:
         for which, at in sorted(clock.items(), key=lambda x: (x[1], x[0] == "chunk")):
             if which in clock and (ts is None or at <= ts):
                 if which == "chunk":
@@ -140,3 +141,24 @@ def test_chunks_hold_all_tokens(events):
     for s in {e[0] for e in events}:
         mine = sorted((e for e in events if e[0] == s), key=lambda e: (e[1], e[2]))
         assert "".join(e[5] or "" for e in mine if e[3] == "token") == "".join(r[3] for r in replayed([e[1:2] + e[3:] for e in mine]) if r[0] == "chunk")
+
+
+def test_the_query_over_all_events(spark, sf_dir):
+    from narrata.plans import engine_queries
+
+    static = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").collect()
+    by, last = {}, 0
+    for e in static:
+        k = e.event_id % 97
+        kind = {0: "active", 1: "complete", 2: "skip", 3: "error", 4: "retry"}.get(k, "token")
+        us = round((e.ts.replace(tzinfo=timezone.utc) - datetime(2024, 1, 1, tzinfo=timezone.utc)) / timedelta(microseconds=1))
+        ms = 1_704_067_200_000 + us // 1_000_000_000
+        last = max(last, ms)
+        by.setdefault(e.user_id, []).append((ms, e.event_id, kind, f"s{e.event_id % 5}" if k in (0, 2) else None, e.event_type + " ", "p"))
+    got = {}
+    for r in engine_queries.rendered_scenes(spark, sf_dir).orderBy("session", "n").collect():
+        got.setdefault(r.session, []).append((r.kind, r.ts, r.scene, r.content, r.progress, r.completed, r.scenes, r.tokens, r.streaming))
+    for user, events in by.items():
+        ordered = [(e[0], *e[2:]) for e in sorted(events)]
+        # timers of what was due until the watermark: a second before the last event of all
+        assert got.get(user, []) == replayed(ordered, last - 1000), user
