@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import cases, reading_rhythm
 from ..functions.text import clamp, whole
-from .folds import sequenced
+from .folds import resumed
 
 SESSION_MS = 20 * 60 * 1000
 KEPT = 720
@@ -24,11 +24,15 @@ def thinned(snapshots: DataFrame, key: str = "book") -> DataFrame:
 
     Which one is kept depends on the one kept before. Of a book's, the last KEPT stay.
     """
-    same = lambda p, x: x["ts"] - p["ts"] < 20_000 and p["chapter"] == x["chapter"] and p["mode"] == x["mode"] and abs(p["scroll"] - x["scroll"]) < 0.02
     names = ("ts", "chapter", "mode", "scroll", "read_sec")
-    step = lambda kept, x: (kept, []) if kept and same(kept, x) else (x, [tuple(x[c] for c in names)])
+
+    def step(kept: tuple | None, place: int, x: tuple):
+        if kept and x[0] - kept[0] < 20_000 and kept[1] == x[1] and kept[2] == x[2] and abs(kept[3] - x[3]) < 0.02:
+            return kept, ()
+        return x, (x,)
+
     rows = sane(snapshots).select(key, *names)
-    return latest(sequenced(rows, [key], list(names), dict, step, "ts long, chapter int, mode string, scroll double, read_sec int"), KEPT, key)
+    return latest(resumed(rows, [key], list(names), lambda: None, step, "ts long, chapter int, mode string, scroll double, read_sec int"), KEPT, key)
 
 
 def latest(snapshots: DataFrame, n: int = KEPT, key: str = "book") -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 from narrata.functions import hashes
 from narrata.operators import documents, records, requests
-from narrata.operators.folds import sequenced
+from narrata.operators.folds import resumed, sequenced
 from narrata.streaming import sinks
 
 rng = random.Random(4)
@@ -175,3 +175,37 @@ def test_prices_of_their_time(spark):
         got = {r.provider: (r.calls, r.unpriced, r.estimated_usd, r.actual_usd) for r in requests.dated_costs(c, p, width).collect()}
         assert got == {k: (n, u, e / 1e9, a / 1e9) for k, (n, u, e, a) in want.items()}
     assert requests.dated_costs(c.limit(0), p).count() == 0
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_resumed_folds(spark, hot):
+    """Zones of near values, with one key in nearly all rows or with many keys: as a plain loop, and all ranges at once."""
+    rng_ = random.Random(21)
+    rows = [(0 if hot and rng_.random() < 0.97 else rng_.randrange(9 if hot else 700), i, rng_.choice([0.1, 0.12, 0.14, 0.2, 0.4])) for i in range(20_000)]
+
+    def step(state, place, row):
+        start, anchor = state
+        return (state, ()) if anchor is not None and abs(row[1] - anchor) <= 0.05 else ((place, row[1]), [(start, place - 1)] if place > start else [])
+
+    want = []
+    for k in {r[0] for r in rows}:
+        state, mine = (0, None), sorted(r[1:] for r in rows if r[0] == k)
+        for place, row in enumerate(mine):
+            state, out = step(state, place, row)
+            want += [(k, *x) for x in out]
+        want.append((k, state[0], len(mine) - 1))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rounds = []
+        df = spark.createDataFrame(rows, "k int, i int, x double").repartition(5)
+        got = resumed(df, ["k"], ["i"], lambda: (0, None), step, "a int, b int", lambda state, n: [(state[0], n - 1)], rounds)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+        # the large key is most of the ranges, and they agree soon
+        assert (rounds[0] >= 12 and len(rounds) <= 3) if hot else rounds == []
+        # a fold that never forgets takes a round a range and is right all the same
+        rounds = []
+        total = resumed(df.filter("k = 0"), ["k"], ["i"], lambda: 0, lambda s, place, row: (s + row[0], ()), "total long", lambda s, n: [(s,)], rounds)
+        assert [r.total for r in total.collect()] == [sum(r[1] for r in rows if r[0] == 0)]
+        assert resumed(df.limit(0), ["k"], ["i"], lambda: 0, lambda s, place, row: (s, ()), "x int").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
