@@ -198,14 +198,18 @@ def test_resumed_folds(spark, hot):
     try:
         rounds = []
         df = spark.createDataFrame(rows, "k int, i int, x double").repartition(5)
-        got = resumed(df, ["k"], ["i"], lambda: (0, None), step, "a int, b int", lambda state, n: [(state[0], n - 1)], rounds)
+        got = resumed(df, ["k"], ["i"], lambda: (0, None), step, "a int, b int", lambda state, n: [(state[0], n - 1)], rounds, small=0)
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
         # the large key is most of the ranges, and they agree soon
         assert (rounds[0] >= 12 and len(rounds) <= 3) if hot else rounds == []
         # a fold that never forgets takes a round a range and is right all the same
         rounds = []
-        total = resumed(df.filter("k = 0"), ["k"], ["i"], lambda: 0, lambda s, place, row: (s + row[0], ()), "total long", lambda s, n: [(s,)], rounds)
+        total = resumed(df.filter("k = 0"), ["k"], ["i"], lambda: 0, lambda s, place, row: (s + row[0], ()), "total long", lambda s, n: [(s,)], rounds, small=0)
         assert [r.total for r in total.collect()] == [sum(r[1] for r in rows if r[0] == 0)]
-        assert resumed(df.limit(0), ["k"], ["i"], lambda: 0, lambda s, place, row: (s, ()), "x int").count() == 0
+        for small in (0, 1 << 40):
+            assert resumed(df.limit(0), ["k"], ["i"], lambda: 0, lambda s, place, row: (s, ()), "x int", small=small).count() == 0
+        # few bytes are one pass
+        one = resumed(df, ["k"], ["i"], lambda: (0, None), step, "a int, b int", lambda state, n: [(state[0], n - 1)], [], small=1 << 40)
+        assert sorted(tuple(r) for r in one.collect()) == sorted(want)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
