@@ -7,11 +7,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from ..functions.text import folded, let
 
-__all__ = ["SPACE", "crc_mod", "documents", "folded", "let", "nested", "schema_of", "shared_dir", "spans", "stored"]
+__all__ = ["SPACE", "crc_mod", "documents", "folded", "in_order", "let", "nested", "orderable", "schema_of", "shared_dir", "spans", "stored"]
 
 #: ASCII white space, the separators of words.
 SPACE = r"\x20\x09-\x0D"
@@ -80,3 +80,21 @@ def spans(text: Column, pattern: Column, group: int = 0) -> Column:
 def nested(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns, and all columns of a row in ``_row``, where no name of theirs can clash with another."""
     return docs.select(*names, F.struct("*").alias("_row"))
+
+
+def orderable(kind: DataType) -> bool:
+    """Whether values of a type have an order: maps and variants, and what holds them, have none."""
+    if isinstance(kind, StructType):
+        return all(orderable(f.dataType) for f in kind.fields)
+    return orderable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
+def in_order(docs: DataFrame, *names: str) -> tuple[DataFrame, str]:
+    """As ``nested``, and the name of the column that orders whole rows: ``_row`` itself, or where some column has no
+    order, ``_tie``: the columns that have one, then a digest of the others as JSON."""
+    if orderable(docs.schema):
+        return nested(docs, *names), "_row"
+    quoted = lambda f: F.col("`" + f.name.replace("`", "``") + "`")
+    plain = [quoted(f).alias(f"_{i}") for i, f in enumerate(docs.schema.fields) if orderable(f.dataType)]
+    rest = F.sha2(F.to_json(F.struct(*[quoted(f).alias(f"_{i}") for i, f in enumerate(docs.schema.fields) if not orderable(f.dataType)])), 256)
+    return docs.select(*names, F.struct("*").alias("_row"), F.struct(*plain, rest.alias("_rest")).alias("_tie")), "_tie"

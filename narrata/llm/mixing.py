@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, stored
+from .common import SPACE, documents, in_order, stored
 
 #: Fractions of virtual time in which the cut is searched; it lies near 1. From FAR on they widen, so their number is bounded.
 TICKS, FAR = 4096, 2.0
@@ -120,8 +120,9 @@ def mixed(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3) -> DataFrame:
     shares = mix(docs.select("doc_id", "text", "source", *same), weights, repeats, ("_id", "_text")).filter("taken > 0")
     shares = shares.groupBy("_id", "_text").agg(F.sum(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
     # one of each before the join, so that equal rows are thinned before they are shuffled
-    at = Window.partitionBy("_id", "_text").orderBy("_row")
-    once = docs.select(*same, F.struct("*").alias("_row")).withColumn("_n", F.row_number().over(at)).filter("_n = 1")
+    rows, order = in_order(docs, *same)
+    at = Window.partitionBy("_id", "_text").orderBy(order)
+    once = rows.withColumn("_n", F.row_number().over(at)).filter("_n = 1")
     rows = once.join(shares.hint("shuffle_hash"), ["_id", "_text"])
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import nested, stored
+from .common import in_order, stored
 from .components import components
 
 WIDTH = 5
@@ -184,12 +184,13 @@ def groups(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` without those whose group has a smaller doc_id; a repeated id stays once.
+    """The rows of ``docs`` without those whose group has a smaller doc_id; a repeated id stays once, as the least of its rows.
 
-    Rows without an id are not grouped and stay.
+    Rows without an id are not grouped and stay. Further columns may be of any type and name. Texts of any length are
+    compared whole; an empty table gives no rows.
     """
     gone = stored(groups(docs, radius).filter("node != component").select(F.col("node").alias("doc_id")), "gone")
-    at = Window.partitionBy("doc_id").orderBy("_row")
-    rows = nested(docs, "doc_id")
+    rows, order = in_order(docs, "doc_id")
+    at = Window.partitionBy("doc_id").orderBy(order)
     stay = rows.filter("doc_id is not null").join(gone.hint("shuffle_hash"), "doc_id", "left_anti").withColumn("_n", F.row_number().over(at)).filter("_n = 1")
     return stay.select("_row.*").union(docs.filter("doc_id is null"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, nested, schema_of, stored
+from .common import documents, in_order, schema_of, stored
 from .components import components
 
 BITS = 64
@@ -170,8 +170,9 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     Rows without an id are not grouped and stay.
     """
     kept = groups(docs, width, radius).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    at = Window.partitionBy("doc_id").orderBy("_row")
-    stay = nested(docs, "doc_id").join(kept.hint("shuffle_hash"), "doc_id").withColumn("_n", F.row_number().over(at)).filter("_n = 1")
+    rows, order = in_order(docs, "doc_id")
+    at = Window.partitionBy("doc_id").orderBy(order)
+    stay = rows.join(kept.hint("shuffle_hash"), "doc_id").withColumn("_n", F.row_number().over(at)).filter("_n = 1")
     return stay.select("_row.*").union(docs.filter("doc_id is null"))
 
 
