@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import cases
-from ..functions.text import c, trimmed
+from ..functions.text import c, let, trimmed
 
 # Kinds of feedback; key formats and least lengths of providers; stages and their shares of progress.
 CATEGORIES = ["bug", "ux", "feature", "other"]
@@ -90,8 +90,11 @@ def eligible(providers: DataFrame, allowed: DataFrame, excluded: DataFrame) -> D
 def merged_words(base, *groups) -> Column:
     """The words of all groups in order, each once whatever its case, without the base word."""
     words = F.filter(F.transform(F.flatten(F.array(*groups)), trimmed), lambda w: w != "")
-    once = F.filter(words, lambda w, i: F.array_position(F.transform(words, lambda x: F.lower(x)), F.lower(w)) == i + 1)
-    return F.filter(once, lambda w: F.lower(w) != F.lower(c(base)))
+    # sorted by their small letters, equal words stand side by side, the first met first
+    keyed = F.array_sort(F.transform(words, lambda w, i: F.struct(F.lower(w).alias("low"), i.alias("i"), w.alias("w"))))
+    once = let(keyed, lambda s: F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["low"] != x["low"])))
+    kept = F.filter(once, lambda x: x["low"] != F.lower(c(base)))
+    return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w")))), lambda x: x["w"])
 
 
 def scan_quality(pages: DataFrame, least: float = 60.0, key: str = "doc_id") -> DataFrame:

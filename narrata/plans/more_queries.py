@@ -203,10 +203,10 @@ def reader_states(spark, sf_dir):
     return documents.reader_state(c.select(F.col("conv_id").alias("session"), F.col("turn").alias("scene"), (F.col("conv_id") * 100 + F.col("turn")).alias("ts"), (n % 101).cast("long").alias("progress"), state.alias("state"), n.cast("long").alias("tokens")))
 
 
-@query("text_hashes", f"WITH {TEXTS} SELECT doc_id, {sql.fnv1a('text')} AS fnv, {sql.hashed('substr(text, 1, 512)', 5381, 'h * 33 + x')} AS djb, {sql.hashed('substr(text, 1, 300)', 0, 'h * 31 + x')} AS times31 FROM texts")
+@query("text_hashes", f"WITH {TEXTS} SELECT doc_id, {sql.fnv1a('text')} AS fnv, {sql.hashed('substr(text, 1, 512)', 5381, 'h * 33 + x')} AS djb, {sql.hashed('text', 0, 'h * 31 + x')} AS times31 FROM texts")
 def text_hashes(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
-    return texts(spark, sf_dir).select("doc_id", hashes.fnv1a(t).alias("fnv"), hashes.djb2(t).alias("djb"), hashes.times31(F.substring(t, 1, 300)).alias("times31"))
+    return texts(spark, sf_dir).select("doc_id", hashes.fnv1a(t).alias("fnv"), hashes.djb2(t).alias("djb"), hashes.times31(t).alias("times31"))
 
 
 @query("composed_pipeline")
@@ -369,14 +369,14 @@ def eligible_suppliers(spark, sf_dir):
 
 @query(
     "merged_words",
-    rf"""WITH w AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: {sql.trim('x')} <> '')[1:12] AS a FROM conversations), u AS (SELECT conv_id, turn, {sql.trim('unnest(a)')} AS x, generate_subscripts(a, 1) AS i, lower(a[1]) AS base FROM w),
+    rf"""WITH w AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: {sql.trim('x')} <> '') AS a FROM conversations), u AS (SELECT conv_id, turn, {sql.trim('unnest(a)')} AS x, generate_subscripts(a, 1) AS i, lower(a[1]) AS base FROM w),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, lower(x) ORDER BY i) AS n FROM u)
 SELECT c.conv_id, c.turn, coalesce((SELECT string_agg(x, '|' ORDER BY i) FROM o WHERE o.conv_id = c.conv_id AND o.turn = c.turn AND n = 1 AND lower(x) <> base), '') AS words FROM conversations c""",
 )
 def merged_words(spark, sf_dir):
-    a = F.slice(F.filter(F.split("text", " "), lambda x: trimmed(x) != ""), 1, 12)
+    a = F.filter(F.split("text", " "), lambda x: trimmed(x) != "")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", a.alias("a"))
-    return rows.select("conv_id", "turn", F.array_join(records.merged_words(F.coalesce(F.get("a", F.lit(0)), F.lit("")), F.slice("a", 1, 6), F.slice("a", 7, 6)), "|").alias("words"))
+    return rows.select("conv_id", "turn", F.array_join(records.merged_words(F.coalesce(F.get("a", F.lit(0)), F.lit("")), F.slice("a", 1, 6), F.slice("a", F.lit(7), F.greatest(F.lit(0), F.size("a") - 6))), "|").alias("words"))
 
 
 @query("scan_quality", "SELECT user_id AS doc_id, count(*) FILTER (WHERE event_id % 3 = 0)::DOUBLE / count(*) AS scanned_share, CASE WHEN count(*) FILTER (WHERE event_id % 3 = 0) > 0 THEN sum(event_id % 101) FILTER (WHERE event_id % 3 = 0)::DOUBLE / count(*) FILTER (WHERE event_id % 3 = 0) END AS confidence, count(*) FILTER (WHERE event_id % 3 = 0 AND event_id % 101 < 60) AS low_pages FROM events GROUP BY user_id")
