@@ -32,19 +32,33 @@ def prepass(t) -> Column:
 def cut(paragraph, most: int = MOST) -> Column:
     """A paragraph in parts of up to ``most`` characters, at the last space of each unless that stands too early."""
     least = int(most * LEAST_SHARE)
+    held = lambda at, made: F.struct(at.alias("at"), made.alias("parts"))
 
-    def step(acc: Column, _: Column) -> Column:
-        rest = acc["rest"]
-        window = F.substring(rest, 1, most)
-        space = F.length(F.regexp_extract(window, r"(?s)^(.*) ", 1))
-        at = let(F.when(F.contains(window, F.lit(" ")) & (space >= least), space).otherwise(most), lambda n: F.struct(trimmed(F.substring(rest, F.lit(1), n)).alias("part"), trimmed(F.substring(rest, n + 1, F.length(rest))).alias("rest")))
-        grown = let(at, lambda x: F.struct(x["rest"].alias("rest"), F.concat(acc["parts"], F.filter(F.array(x["part"]), lambda p: p != "")).alias("parts")))
-        return F.when(F.length(rest) <= most, acc).otherwise(grown)
-
-    start = lambda t: F.struct(t.alias("rest"), F.array().cast("array<string>").alias("parts"))
-    turns = lambda t: F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(t) / float(max(1, least))).cast("int")))
-    done = lambda acc: F.filter(F.concat(acc["parts"], F.array(acc["rest"])), lambda p: p != "")
-    return let(trimmed(paragraph), lambda t: F.aggregate(turns(t), start(t), step, done))
+    def seen(blocks: Column, at: Column) -> Column:
+        """The ``most`` characters from a place on: of the block it is in and the next."""
+        k = F.floor(at / most).cast("int")
+        return F.substring(F.concat(F.coalesce(F.get(blocks, k), F.lit("")), F.coalesce(F.get(blocks, k + 1), F.lit(""))), (at % most + 1).cast("int"), F.lit(most))
+
+    def step(t: Column, size: Column, blocks: Column, acc: Column) -> Column:
+        """The next part from where the last one ended."""
+
+        def parted(window: Column) -> Column:
+            space = F.length(F.regexp_extract(window, r"(?s)^(.*) ", 1))
+            n = F.when(F.contains(window, F.lit(" ")) & (space >= least), space).otherwise(most)
+            # what is left begins with its first character that is not white space; a run beyond a window is looked for in all of it
+            lead = lambda stop: F.length(F.regexp_extract(seen(blocks, stop), r"^\s*", 0))
+            following = lambda stop: stop + let(lead(stop), lambda k: F.when(k < most, k).otherwise(F.regexp_instr(F.substring(t, stop + 1, size - stop), F.lit(r"\S")) - 1))
+            return let(n, lambda n: held(following(acc["at"] + n), F.concat(acc["parts"], F.filter(F.array(trimmed(F.substring(window, F.lit(1), n))), lambda p: p != ""))))
+
+        return F.when(size - acc["at"] <= most, acc).otherwise(let(seen(blocks, acc["at"]), parted))
+
+    def whole(t: Column, size: Column, blocks: Column) -> Column:
+        turns = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(size / float(max(1, least))).cast("int")))
+        done = lambda acc: F.filter(F.concat(acc["parts"], F.array(seen(blocks, acc["at"]))), lambda p: p != "")
+        return F.aggregate(turns, held(F.lit(0), F.array().cast("array<string>")), lambda acc, _: step(t, size, blocks, acc), done)
+
+    cut_up = lambda t: F.regexp_extract_all(t, F.lit(f"(?s).{{1,{most}}}"), F.lit(0))
+    return let(trimmed(paragraph), lambda t: let(F.struct(F.length(t).alias("n"), cut_up(t).alias("blocks")), lambda x: whole(t, x["n"], x["blocks"])))
 
 
 def parts(df: DataFrame, most: int = MOST, key: str = "doc_id", text: str = "text") -> DataFrame:
