@@ -49,14 +49,17 @@ def prepass_texts(spark, sf_dir):
 _CUT = 900
 
 
-@query(
-    "cut_paragraphs",
-    rf"""WITH RECURSIVE {TEXTS}, p AS (SELECT doc_id, unnest(x) AS p, generate_subscripts(x, 1) AS n FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda s: {sql.trim('s')}), lambda s: s <> '') AS x FROM texts)),
-w AS (SELECT doc_id, n, 0 AS k, '' AS part, p AS rest FROM p
-  UNION ALL SELECT doc_id, n, k + 1, CASE WHEN length(rest) <= {_CUT} THEN rest ELSE {sql.trim('substr(rest, 1, stop)')} END, CASE WHEN length(rest) <= {_CUT} THEN '' ELSE {sql.trim('substr(rest, stop + 1)')} END
-  FROM (SELECT *, CASE WHEN contains(substr(rest, 1, {_CUT}), ' ') AND length(regexp_extract(substr(rest, 1, {_CUT}), '(?s)^(.*) ', 1)) >= {int(_CUT * 0.4)} THEN length(regexp_extract(substr(rest, 1, {_CUT}), '(?s)^(.*) ', 1)) ELSE {_CUT} END AS stop FROM w WHERE rest <> ''))
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1)::INTEGER AS part, part AS text FROM w WHERE part <> ''""",
-)
+def _cut_sql(most: int) -> str:
+    """CTEs that end in cuts (doc_id, n, k, part): paragraphs n of texts in parts k."""
+    head = f"substr(rest, 1, {most})"
+    space = f"length(regexp_extract({head}, '(?s)^(.*) ', 1))"
+    return rf"""cut_p AS (SELECT doc_id, unnest(x) AS p, generate_subscripts(x, 1) AS n FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n\s*\n'), lambda s: {sql.trim('s')}), lambda s: s <> '') AS x FROM texts)),
+cuts AS (SELECT doc_id, n, 0 AS k, '' AS part, p AS rest FROM cut_p
+  UNION ALL SELECT doc_id, n, k + 1, CASE WHEN length(rest) <= {most} THEN rest ELSE {sql.trim('substr(rest, 1, stop)')} END, CASE WHEN length(rest) <= {most} THEN '' ELSE {sql.trim('substr(rest, stop + 1)')} END
+  FROM (SELECT *, CASE WHEN contains({head}, ' ') AND {space} >= {int(most * 0.4)} THEN {space} ELSE {most} END AS stop FROM cuts WHERE rest <> ''))"""
+
+
+@query("cut_paragraphs", f"WITH RECURSIVE {TEXTS}, {_cut_sql(_CUT)} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1)::INTEGER AS part, part AS text FROM cuts WHERE part <> ''")
 def cut_paragraphs(spark, sf_dir):
     return documents.parts(texts(spark, sf_dir), _CUT)
 
@@ -506,7 +509,7 @@ def first_sentences(spark, sf_dir):
 
 @query(
     "paragraph_chunks",
-    rf"""WITH RECURSIVE {TEXTS}, w AS (SELECT doc_id, unnest(a) AS p, generate_subscripts(a, 1) AS i, length(unnest(a)) AS s FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n\s*\n'), lambda x: {sql.trim('x')}), lambda x: x <> '') AS a FROM texts)),
+    rf"""WITH RECURSIVE {TEXTS}, {_cut_sql(300)}, w AS (SELECT doc_id, part AS p, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) AS i, length(part) AS s FROM cuts WHERE part <> ''),
 r AS (SELECT doc_id, i, p, 0 AS chunk, 1 AS n, s AS total FROM w WHERE i = 1
   UNION ALL SELECT w.doc_id, w.i, w.p, CASE WHEN r.total + w.s + 2 * r.n <= 300 THEN r.chunk ELSE r.chunk + 1 END, CASE WHEN r.total + w.s + 2 * r.n <= 300 THEN r.n + 1 ELSE 1 END, CASE WHEN r.total + w.s + 2 * r.n <= 300 THEN r.total + w.s ELSE w.s END FROM r JOIN w ON w.doc_id = r.doc_id AND w.i = r.i + 1)
 SELECT doc_id, chunk, string_agg(p, chr(10) || chr(10) ORDER BY i) AS text FROM r GROUP BY doc_id, chunk""",
