@@ -1,13 +1,22 @@
-"""Vector search: cosine top-k of query vectors against a history."""
+"""Vector search: exact cosine top-k of query vectors against a history, by cells that bounds let be skipped."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.sinks import written
 
-#: Queries in a row that is sent to all tasks.
-BLOCK = 256
+#: Most cells, which all tasks know the centres of; rows and queries of a cell that meet in one task.
+CELLS, ROWS, QUERIES = 1024, 16_384, 4096
+#: Pairs of a query and a row that are few enough to compare all, and queries then sent in a row, and at most.
+FEW, BLOCK, MOST_SENT = 1 << 24, 256, 4096
+#: Cosines of matrix products are trusted to this; what lies nearer is told apart by the exact sum.
+NEAR = 1e-9
+#: The cell of vectors without a direction: their cosine is 0.
+NOWHERE = -1
 
 
 def dot(a, b) -> Column:
@@ -25,27 +34,52 @@ def cosine(a, b) -> Column:
     return F.when(sound & (scale > 0), dot(a, b) / scale).otherwise(0.0)
 
 
-def nearest(queries: DataFrame, history: DataFrame, k: int = 2, id_: str = "vec_id", vector: str = "embedding", most_queries: int = 4096) -> DataFrame:
-    """(query, rank, id, similarity) of the k nearest of other ids, ties by id.
+def _units(column: pa.Array) -> np.ndarray:
+    """Rows of a list column, all of one width and none zero, as unit vectors."""
+    x = np.asarray(column.flatten(), float).reshape(len(column), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    A stated query set goes against all rows in blocks: at most ``most_queries`` at a time, in as many passes as that
-    takes, are gathered in rows of BLOCK each and sent to all rows; each row meets each query once, and only the best of
-    each partition are shuffled.
-    """
-    passes = max(1, -(-queries.count() // most_queries))
-    part = F.pmod(F.xxhash64(id_, F.lit("pass")), F.lit(2 * passes if passes > 1 else 1))
-    out = None
-    for i in range(2 * passes if passes > 1 else 1):
-        found = _nearest(queries.filter(part == i), history, k, id_, vector, most_queries)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _nearest(queries: DataFrame, history: DataFrame, k: int, id_: str, vector: str, most_queries: int) -> DataFrame:
-    """As ``nearest``, for a checked number of queries."""
-    n = queries.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries in a pass of at most {most_queries}")
+
+def _angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ centres.T, -1.0, 1.0))
+
+
+def _met(pairs: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """(query, id, near) over pairs (query, v, cell): of each query and part of a cell what may be among the k nearest."""
+    count = lambda df, most, name: df.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    sizes = count(placed, ROWS, "across").join(count(pairs, QUERIES, "down"), "cell")
+    dealt = lambda df, key, own, other: df.join(sizes, "cell").withColumns({own[0]: F.pmod(F.xxhash64(key), F.col(own[1])).cast("int"), other[0]: F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1))}).drop("across", "down")
+    left, right = dealt(pairs, "query", ("d", "down"), ("a", "across")), dealt(placed.select("id", "v", "cell"), "id", ("a", "across"), ("d", "down"))
+    schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("near", pa.float64())])
+
+    def tile(q: pa.Table, h: pa.Table) -> pa.Table:
+        if not q.num_rows or not h.num_rows:
+            return schema.empty_table()
+        names, ids = q.column("query").to_numpy(), h.column("id").to_numpy()
+        zero = h.column("cell")[0].as_py() == NOWHERE
+        x, y = _units(q.column("v").combine_chunks()), None if zero else _units(h.column("v").combine_chunks())
+        out = ([], [], [])
+        for i in range(0, len(x), 256):
+            near = np.zeros((len(x[i : i + 256]), len(ids))) if zero else x[i : i + 256] @ y.T
+            near[names[i : i + 256, None] == ids[None]] = -2.0
+            least = np.partition(near, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)] if len(ids) > k else np.full(len(near), -1.5)
+            for row, bound in enumerate(least):
+                at = np.flatnonzero(near[row] >= max(bound - NEAR, -1.5))
+                if zero:
+                    # all are equally near: those with the least ids stand first
+                    at = at[np.argsort(ids[at], kind="stable")[:k]]
+                out[0].append(np.full(len(at), names[i + row]))
+                out[1].append(ids[at])
+                out[2].append(near[row, at])
+        return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(out, schema)], schema=schema)
+
+    key = ("cell", "a", "d")
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(n, *key).groupBy(*key).cogroup(right.repartition(n, *key).groupBy(*key)).applyInArrow(tile, "query long, id long, near double")
+
+
+def _of_few(queries: DataFrame, history: DataFrame, n: int, k: int, id_: str, vector: str) -> DataFrame:
+    """As ``nearest``, for n queries of a checked number: blocks of them are sent to all rows."""
     stated = queries.select(F.struct(F.col(id_).alias("q"), F.col(vector).alias("v"), norm(F.col(vector)).alias("n")).alias("x"))
     block = stated.groupBy(F.pmod(F.xxhash64("x.q"), F.lit(max(1, -(-n // BLOCK)))).alias("_part")).agg(F.collect_list("x").alias("_block")).drop("_part")
     rows = history.select(F.col(id_).alias("id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_n"))
@@ -54,3 +88,84 @@ def _nearest(queries: DataFrame, history: DataFrame, k: int, id_: str, vector: s
     met = met.select(F.col("b.q").alias("query"), "id", F.when(scale > 0, dot(F.col("_v"), F.col("b.v")) / scale).otherwise(0.0).alias("similarity"))
     at = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     return met.withColumn("rank", F.row_number().over(at)).filter(F.col("rank") <= k).select("query", "rank", "id", "similarity")
+
+
+def nearest(queries: DataFrame, history: DataFrame, k: int = 2, id_: str = "vec_id", vector: str = "embedding", probes: int = 2, skipped: list | None = None, few: int = FEW) -> DataFrame:
+    """(query, rank, id, similarity) of the k nearest of other ids, ties by id; exact.
+
+    The history is read once and put in cells around some of its vectors. A cell's largest angle to its centre bounds how near
+    anything in it can be to a query. Each query first looks into the ``probes`` nearest cells; of the others only those whose
+    bound is not below what it has found are looked into. Queries and rows of a cell meet in parts of bounded size. ``skipped`` gets
+    the pairs of a query and a cell there are, and those that were looked into. Vectors have one width, and no null in them;
+    one that is zero is 0 like to all. Rows without a vector or an id take no part. Where there are ``few`` pairs at most, all are compared.
+    """
+    spark = history.sparkSession
+    fine = lambda df: df.filter(F.col(id_).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = fine(history)
+    n, many = rows.count(), fine(queries).count()
+    if n * many <= few and many <= MOST_SENT:
+        return _of_few(fine(queries), rows, many, k, "id", "v")
+    # of a bounded number: centres that every task gets
+    picked = rows.filter(norm("v") > 0).orderBy(F.xxhash64("id"), "id").limit(min(CELLS, max(1, int(n**0.5)))).collect()
+    centres = np.array([r.v for r in picked] or [[1.0]], float)
+    centres = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+
+    def place(batches):
+        for batch in batches:
+            ids, v = batch.column(0), batch.column(1)
+            cell, far = np.full(len(ids), NOWHERE), np.zeros(len(ids))
+            some = np.asarray(v.flatten(), float).reshape(len(ids), -1).any(axis=1) if len(ids) else np.zeros(0, bool)
+            if some.any():
+                angle = _angles(_units(v.filter(pa.array(some))), centres)
+                cell[some], far[some] = angle.argmin(axis=1), angle.min(axis=1)
+            yield pa.RecordBatch.from_arrays([ids, v, pa.array(cell, pa.int32()), pa.array(far)], names=["id", "v", "cell", "far"])
+
+    placed = written(rows.mapInArrow(place, "id long, v array<double>, cell int, far double"), "placed-vectors")
+    # a row a cell
+    widest = {r.cell: r.far for r in placed.groupBy("cell").agg(F.max("far").alias("far")).collect()}
+    asked = written(fine(queries).select(F.col("id").alias("query"), "v", norm("v").alias("n")), "queries")
+    cells = sorted(c for c in widest if c != NOWHERE)
+
+    def bounds(batches, found: bool):
+        """(query, v, cell): the nearest cells of queries; with what they found (least), all others that may hold as near ones."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column("v")
+            angle = _angles(_units(v), centres[cells])
+            first = np.zeros(angle.shape, bool)
+            np.put_along_axis(first, np.argsort(angle, axis=1, kind="stable")[:, :probes], True, axis=1)
+            if found:
+                bound = np.cos(np.maximum(0.0, angle - np.array([widest[c] for c in cells])))
+                least = batch.column("least").to_numpy(zero_copy_only=False)[:, None] - NEAR
+                q, c = np.nonzero(~first & (bound >= least))
+                other = np.flatnonzero(least[:, 0] <= 0.0) if NOWHERE in widest else np.zeros(0, int)
+                q, c = np.concatenate((q, other)), np.concatenate((np.array(cells)[c], np.full(len(other), NOWHERE)))
+            else:
+                q, c = np.nonzero(first)
+                c = np.array(cells)[c]
+            yield pa.RecordBatch.from_arrays([batch.column("query").take(pa.array(q)), v.take(pa.array(q)), pa.array(c, pa.int32())], names=["query", "v", "cell"])
+
+    schema = "query long, v array<double>, cell int"
+    if cells:
+        one = written(_met(asked.filter("n > 0").select("query", "v").mapInArrow(lambda b: bounds(b, False), schema), placed, k), "found")
+        at = Window.partitionBy("query").orderBy(F.desc("near"))
+        least = one.withColumn("_n", F.row_number().over(at)).filter(F.col("_n") == k).select("query", F.col("near").alias("least"))
+        open_ = asked.filter("n > 0").join(least, "query", "left").select("query", "v", F.coalesce("least", F.lit(-2.0)).alias("least"))
+        more = written(open_.mapInArrow(lambda b: bounds(b, True), schema), "cells-left")
+        if skipped is not None:
+            directed = asked.filter("n > 0").count()
+            skipped.append((directed * len(widest), directed * min(probes, len(cells)) + more.count()))
+        found = one.union(_met(more, placed, k)).select("query", "id")
+    else:
+        found = spark.createDataFrame([], "query long, id long")
+    # a query without a direction is 0 like to all: those with the least ids
+    first_ids = F.broadcast(rows.select("id").orderBy("id").limit(k + 1))
+    none = asked.filter("n = 0" if cells else "true").select("query").join(first_ids, F.col("query") != F.col("id")).select("query", "id")
+    pairs = found.union(none).distinct()
+    q = asked.select("query", F.col("v").alias("_q"), F.col("n").alias("_qn"))
+    met = pairs.join(q, "query").join(placed.select("id", F.col("v").alias("_v"), norm("v").alias("_n")), "id")
+    scale = F.col("_n") * F.col("_qn")
+    met = met.select("query", "id", F.when(scale > 0, dot(F.col("_v"), F.col("_q")) / F.when(scale > 0, scale)).otherwise(0.0).alias("similarity"))
+    at = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+    return met.withColumn("rank", F.row_number().over(at)).filter(F.col("rank") <= k).select("query", "rank", "id", "similarity")

@@ -115,11 +115,31 @@ def test_vectors(spark):
         one_wide.select(vectors.cosine(F.col("a"), F.col("b"))).collect()
 
 
-def test_vectors_in_passes(spark):
-    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    sets = [sorted((r.query, r["rank"], r.id) for r in vectors.nearest(v.filter("vec_id % 4 = 0"), v, 3, most_queries=n).collect()) for n in (4096, 8)]
-    assert len(sets[0]) == 30 and sets[0] == sets[1]
+def test_vectors_by_cells(spark, monkeypatch):
+    """Clusters, ties, copies and vectors without a direction: as all pairs say, with most cells left aside."""
+    import random
+
+    rng = random.Random(31)
+    spots = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [x + rng.gauss(0, 0.04) for x in spots[i % 12]]) for i in range(600)] + [(600 + i, [0.0] * 8) for i in range(4)] + [(700 + i, spots[0]) for i in range(6)] + [(None, spots[1]), (800, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = v.filter("vec_id % 20 = 0 or vec_id >= 600")
+    taken = lambda **more: sorted((r.query, r["rank"], r.id, r.similarity) for r in vectors.nearest(q, v, 3, **more).collect())
+    want = taken()
+    skipped = []
+    assert taken(few=0, skipped=skipped) == want and len(want) == 3 * q.filter("embedding is not null").count()
+    there, seen = skipped[0]
+    assert seen < there / 3
+    # tasks of few rows and queries
+    monkeypatch.setattr(vectors, "ROWS", 20)
+    monkeypatch.setattr(vectors, "QUERIES", 5)
+    assert taken(few=0) == want
+    # more asked for than a cell holds, a history without any direction, none at all
+    few = v.filter("vec_id < 30")
+    assert sorted(map(tuple, vectors.nearest(few, few, 29, few=0).collect())) == sorted(map(tuple, vectors.nearest(few, few, 29).collect()))
+    zero = v.filter("vec_id between 600 and 603")
+    assert sorted((r.query, r.id) for r in vectors.nearest(zero, zero, 2, few=0).collect()) == [(600, 601), (600, 602), (601, 600), (601, 602), (602, 600), (602, 601), (603, 600), (603, 601)]
+    assert vectors.nearest(v.limit(0), v.limit(0), few=0).count() == 0
 
 
 def test_metadata(spark):
