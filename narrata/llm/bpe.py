@@ -107,7 +107,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK, ov
     """doc_id, ``keep``, n_tokens, ids_sha256, decoded_sha256 and, if ``ids``, the token ids, a row a document.
 
     A null text counts as empty, with no tokens and the digests of nothing. Rows that repeat are encoded
-    each by itself, other columns are left out, an empty table gives no rows.
+    each by itself, other columns are left out, an empty table gives no rows. Texts longer than ``chunk`` are cut in
+    overlapping pieces for tasks; the ids are those of the whole text.
     """
     spark = docs.sparkSession
     ranks, pattern = ranks_of(vocabulary)

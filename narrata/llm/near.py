@@ -164,7 +164,8 @@ def groups(docs: DataFrame, radius: int = 3) -> DataFrame:
 
     Near-duplicates are alike by LEAST at least in their five-word shingles; groups are what such links reach.
     Texts without words are alike. Equal sets are one class, and only classes are compared. Rows that repeat an
-    id are one node, null ids none.
+    id are one node, null ids none. Texts of any length are sketched and compared whole, null ones are empty. Other columns
+    are left out; an empty table gives no rows.
     """
     rows = stored(_sketches(docs.filter("doc_id is not null")), "sketches")
     classes = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("size").alias("size")), "classes")

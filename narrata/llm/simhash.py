@@ -153,7 +153,7 @@ def groups(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, bits, component_id (the smallest doc_id that links reach), a row a document.
 
     Equal fingerprints form a class, whose id is its smallest doc_id; only classes are compared. Null and
-    empty texts have fingerprint zero and are linked like any other. Rows that repeat an id are one node.
+    empty texts have fingerprint zero and are linked like any other; long ones are hashed whole. Rows that repeat an id are one node.
     A null id never names a component; a class of null ids alone has a null one. Other columns are left
     out, and an empty table gives no rows.
     """
