@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return
 the columns of documents. Null texts count as empty, repeated rows and ids are treated as the operators say,
-and empty tables go through. Further columns, whatever their names, are carried along unchanged; the last stage
+and empty tables go through. Texts of any length are treated whole. Ties are settled by content: of near-duplicates
+the smallest id stays, of rows with one id the least as a whole, and documents with one id are mixed in order of size and a
+digest of their texts. Further columns, of any name and type, are carried along unchanged; the last stage
 gives the token ids of a row beside its doc_id and source.
 """
 
