@@ -239,18 +239,30 @@ def cinematic_summary(spark, sf_dir):
     return reader.cinematic_summary(carrying, 2)
 
 
-_JOBS = f"""{cte('fx_job_events')}, st AS (SELECT job, arg_max(kind, seq) AS kind, count(*) FILTER (WHERE kind = 'started') AS attempts, min(ts) AS created_ts, max(ts) AS updated_ts FROM fx_job_events GROUP BY job),
+_JOB_KINDS = ["enqueued", "started", "failed", "started", "completed", "started", "cancelled"]
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as those of jobs, a job a user, and the fixture's."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.get(F.lit(_JOB_KINDS), (F.col("event_id") % 7).cast("int"))
+    rows = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("job"), F.col("event_id").cast("int").alias("seq"), kind.alias("kind"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"))
+    return rows.unionByName(table(spark, "fx_job_events"))
+
+
+_JOBS = f"""{cte('fx_job_events')}, job_events AS (SELECT 'u' || user_id::VARCHAR AS job, event_id::INTEGER AS seq, ({_JOB_KINDS})[event_id % 7 + 1] AS kind, (epoch_us(ts) // 1000)::BIGINT AS ts FROM events UNION ALL SELECT * FROM fx_job_events),
+st AS (SELECT job, arg_max(kind, seq) AS kind, count(*) FILTER (WHERE kind = 'started') AS attempts, min(ts) AS created_ts, max(ts) AS updated_ts FROM job_events GROUP BY job),
 states AS (SELECT job, CASE WHEN kind = 'completed' THEN 'completed' WHEN kind = 'cancelled' THEN 'failed' WHEN kind = 'started' THEN 'processing' WHEN kind = 'failed' AND attempts >= 3 THEN 'failed' ELSE 'pending' END AS status, attempts, created_ts, updated_ts FROM st)"""
 
 
 @query("job_states", f"WITH {_JOBS} SELECT * FROM states")
 def job_states(spark, sf_dir):
-    return jobs.job_states(table(spark, "fx_job_events"))
+    return jobs.job_states(job_events(spark, sf_dir))
 
 
 @query("job_status_counts", f"WITH {_JOBS} SELECT d.status, count(s.job) AS jobs FROM (VALUES ('pending'), ('processing'), ('completed'), ('failed')) d(status) LEFT JOIN states s USING (status) GROUP BY d.status")
 def job_status_counts(spark, sf_dir):
-    return jobs.status_counts(jobs.job_states(table(spark, "fx_job_events")))
+    return jobs.status_counts(jobs.job_states(job_events(spark, sf_dir)))
 
 
 _SCORES = f"""{cte('fx_providers')}, {cte('fx_policies')},
@@ -353,10 +365,10 @@ def first_success(spark, sf_dir):
 
 @query(
     "call_costs",
-    f"WITH {cte('fx_requests')}, {cte('fx_providers')} SELECT request, provider, tokens, tokens / 1000.0::DOUBLE * coalesce(cost_per_1k, 0.0) AS cost_usd FROM fx_requests r LEFT JOIN fx_providers p ON p.name = r.provider",
+    f"WITH {CALLS}, {cte('fx_providers')} SELECT request, provider, tokens, tokens / 1000.0::DOUBLE * coalesce(cost_per_1k, 0.0) AS cost_usd FROM calls r LEFT JOIN fx_providers p ON p.name = r.provider",
 )
 def call_costs(spark, sf_dir):
-    return requests.call_costs(table(spark, "fx_requests"), table(spark, "fx_providers")).select("request", "provider", "tokens", "cost_usd")
+    return requests.call_costs(calls(spark, sf_dir), table(spark, "fx_providers")).select("request", "provider", "tokens", "cost_usd")
 
 
 # waits in milliseconds; events' times are kept apart by their ids elsewhere

@@ -40,12 +40,16 @@ _PATH_ROWS = ", ".join(f"({sql.q(p)}, {n}, {sql.q(m) if m else 'NULL'})" for p,
 
 @query(
     "file_gates",
-    rf"""WITH f(path, length, mime) AS (VALUES {_PATH_ROWS}), e AS (SELECT *, lower(regexp_extract(path, '\.([^./]*)\z', 1)) AS ext FROM f),
+    rf"""WITH g(path, length, mime) AS (VALUES {_PATH_ROWS}), f AS (SELECT path, length::BIGINT AS length, mime FROM g UNION ALL SELECT url || (['.txt', '.pdf', '.doc', '', '.xyz'])[page_id % 5 + 1], length(html)::BIGINT * (page_id % 3) * 9000, CASE WHEN page_id % 2 = 0 THEN 'text/plain' END FROM pages), e AS (SELECT *, lower(regexp_extract(path, '\.([^./]*)\z', 1)) AS ext FROM f),
 k AS (SELECT *, coalesce(CASE WHEN ext IN ('pdf', 'epub', 'docx', 'pptx', 'txt') THEN ext END, CASE mime WHEN 'application/pdf' THEN 'pdf' WHEN 'text/plain' THEN 'txt' END) AS format FROM e)
 SELECT path, coalesce(format, '') AS format, CASE WHEN trim(path) = '' OR length <= 0 THEN 'FILE_EMPTY' WHEN length > 52428800 THEN 'FILE_TOO_LARGE' WHEN ext IN ('doc', 'ppt', 'xls') THEN 'LEGACY_FORMAT' WHEN format IS NULL THEN 'UNSUPPORTED_FORMAT' ELSE '' END AS refused FROM k""",
 )
 def file_gates(spark, sf_dir):
-    rows = spark.createDataFrame(_PATHS, "path string, length long, mime string")
+    """Pages as files by their addresses, and known paths."""
+    i = F.col("page_id")
+    name = F.concat("url", F.get(F.lit([".txt", ".pdf", ".doc", "", ".xyz"]), (i % 5).cast("int")))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(name.alias("path"), (F.length("html").cast("long") * (i % 3) * 9000).alias("length"), F.when(i % 2 == 0, "text/plain").alias("mime"))
+    rows = pages.unionByName(spark.createDataFrame(_PATHS, "path string, length long, mime string"))
     return rows.select("path", F.coalesce(files.file_format("path", "mime"), F.lit("")).alias("format"), F.coalesce(files.file_gate("path", "length", "mime"), F.lit("")).alias("refused"))
 
 
@@ -63,13 +67,15 @@ _MESSAGES = ["File is too large (60 MB)", "Legacy .doc format", "Unsupported thi
 
 @query(
     "error_codes",
-    f"WITH m(message) AS (VALUES {', '.join(f'({sql.q(m)})' for m in _MESSAGES)}), c AS (SELECT message, CASE "
+    f"WITH f(message) AS (VALUES {', '.join(f'({sql.q(m)})' for m in _MESSAGES)}), m AS (SELECT message FROM f UNION ALL SELECT text FROM documents WHERE text IS NOT NULL), c AS (SELECT message, CASE "
     + " ".join(f"WHEN regexp_matches(lower(message), {sql.q(p)}) THEN '{code}'" for p, code, _ in ingest.ERRORS)
-    + f" ELSE 'UNKNOWN_ERROR' END AS code FROM m) SELECT message, code, code NOT IN ({', '.join(sql.q(code) for _, code, ok in ingest.ERRORS if not ok)}) AS recoverable FROM c",
+    + f" ELSE 'UNKNOWN_ERROR' END AS code FROM m) SELECT md5(message) AS message, code, code NOT IN ({', '.join(sql.q(code) for _, code, ok in ingest.ERRORS if not ok)}) AS recoverable FROM c",
 )
 def error_codes(spark, sf_dir):
-    rows = spark.createDataFrame([(m,) for m in _MESSAGES], "message string").withColumn("code", ingest.error_code("message"))
-    return rows.withColumn("recoverable", ingest.recoverable("code"))
+    """Whole texts of documents as messages, and known ones."""
+    texts_ = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").select(F.col("text").alias("message"))
+    rows = texts_.unionByName(spark.createDataFrame([(m,) for m in _MESSAGES], "message string")).withColumn("code", ingest.error_code("message"))
+    return rows.select(F.md5(F.encode("message", "UTF-8")).alias("message"), "code", ingest.recoverable("code").alias("recoverable"))
 
 
 @query(
@@ -202,7 +208,10 @@ def rebuilt_paragraphs(spark, sf_dir):
 
 @query("staged_scenes")
 def staged_scenes(spark, sf_dir):
-    return staging.staged(table(spark, "fx_passages").unionByName(_joined_paragraphs(spark)))
+    """Turns of conversations as texts, and the fixture's, whose ids are negative."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("doc_id"), "text")
+    known = table(spark, "fx_passages").unionByName(_joined_paragraphs(spark))
+    return staging.staged(turns.unionByName(known.withColumn("doc_id", -F.col("doc_id"))))
 
 
 def _joined_paragraphs(spark):
@@ -237,13 +246,24 @@ def tense_formats(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", dialogue.tense_format(t, F.pmod(F.col("doc_id"), F.lit(100))).alias("text"), dialogue.separated(t).alias("separated"))
 
 
+_BOOK_CHAPTERS = f"{cte('fx_chapters')}, book_chapters AS (SELECT 'c' || conv_id::VARCHAR AS book, turn::INTEGER AS number, role || ' ' || turn::VARCHAR || '. ' || replace(text, chr(10), ' ') AS title, length(text)::BIGINT AS word_count, turn % 2 = 0 AS is_processed FROM conversations UNION ALL SELECT * FROM fx_chapters)"
+
+
+def _book_chapters(spark, sf_dir):
+    """Turns of conversations as chapters of books, and the fixture's."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    title = F.concat("role", F.lit(" "), F.col("turn").cast("string"), F.lit(". "), F.regexp_replace("text", "\n", " "))
+    rows = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("book"), F.col("turn").cast("int").alias("number"), title.alias("title"), F.length("text").cast("long").alias("word_count"), (F.col("turn") % 2 == 0).alias("is_processed"))
+    return rows.unionByName(table(spark, "fx_chapters"))
+
+
 @query(
     "book_totals",
-    f"""WITH {cte('fx_chapters')} SELECT book, sum(word_count)::BIGINT AS words, count(*) FILTER (WHERE is_processed) AS processed, count(*) AS total,
-  CASE WHEN bool_and(is_processed) THEN 'ready' WHEN bool_or(is_processed) THEN 'processing' ELSE 'pending' END AS status FROM fx_chapters GROUP BY book""",
+    f"""WITH {_BOOK_CHAPTERS} SELECT book, sum(word_count)::BIGINT AS words, count(*) FILTER (WHERE is_processed) AS processed, count(*) AS total,
+  CASE WHEN bool_and(is_processed) THEN 'ready' WHEN bool_or(is_processed) THEN 'processing' ELSE 'pending' END AS status FROM book_chapters GROUP BY book""",
 )
 def book_totals(spark, sf_dir):
-    return books.grouped_chapters(table(spark, "fx_chapters")).drop("chapters")
+    return books.grouped_chapters(_book_chapters(spark, sf_dir)).drop("chapters")
 
 
 @query(
@@ -294,16 +314,17 @@ def exported_blocks(spark, sf_dir):
 
 @query("exported_chapters")
 def exported_chapters(spark, sf_dir):
-    return books.export_chapters(chapters.chapters(table(spark, "fx_books")))
+    docs = documents(spark, sf_dir)
+    return books.export_chapters(chapters.chapters(docs.unionByName(table(spark, "fx_books").withColumn("doc_id", -F.col("doc_id")))))
 
 
 @query(
     "file_names",
-    rf"""WITH {cte('fx_chapters')}, n AS (SELECT book, number, trim(substr(regexp_replace(regexp_replace(title || ' of «' || book || '» & more!', '[^a-zA-Z0-9\s_-]', '', 'g'), '\s+', '_', 'g'), 1, 60)) AS s FROM fx_chapters) SELECT book, number, CASE WHEN s = '' THEN 'export' ELSE s END || '_original.txt' AS name FROM n""",
+    rf"""WITH {_BOOK_CHAPTERS}, n AS (SELECT book, number, trim(substr(regexp_replace(regexp_replace(title || ' of «' || book || '» & more!', '[^a-zA-Z0-9\s_-]', '', 'g'), '\s+', '_', 'g'), 1, 60)) AS s FROM book_chapters) SELECT book, number, CASE WHEN s = '' THEN 'export' ELSE s END || '_original.txt' AS name FROM n""",
 )
 def file_names(spark, sf_dir):
     t = F.concat("title", F.lit(" of «"), "book", F.lit("» & more!"))
-    return table(spark, "fx_chapters").select("book", "number", fx.file_name(t, "original", "txt").alias("name"))
+    return _book_chapters(spark, sf_dir).select("book", "number", fx.file_name(t, "original", "txt").alias("name"))
 
 
 def _tokens(spark, sf_dir):
@@ -329,7 +350,9 @@ def _pages(spark):
 
 @query("page_boundaries")
 def page_boundaries(spark, sf_dir):
-    return positioned.without_boundaries(_pages(spark))
+    """Turns of conversations as pages, and pages with headers and footers, whose ids are negative."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), "text")
+    return positioned.without_boundaries(turns.unionByName(_pages(spark).withColumn("doc_id", -F.col("doc_id"))))
 
 
 @query(
@@ -371,9 +394,10 @@ def prompt_keys(spark, sf_dir):
     return rows.select("doc_id", requests.cache_key("provider", F.coalesce("text", F.lit(""))).alias("key"))
 
 
-@query("retry_delays", "SELECT n::INTEGER AS attempt, least(30000.0::DOUBLE, 1000 * pow(2.0::DOUBLE, n))::BIGINT AS ms FROM range(12) t(n)")
+@query("retry_delays", "SELECT event_id, least(30000.0::DOUBLE, 1000 * pow(2.0::DOUBLE, event_id % 12))::BIGINT AS ms FROM events")
 def retry_delays(spark, sf_dir):
-    return spark.range(12).select(F.col("id").cast("int").alias("attempt")).select("attempt", requests.retry_delay("attempt").alias("ms"))
+    """Events as failed attempts, each the first to the twelfth."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("attempt", (F.col("event_id") % 12).cast("int")).select("event_id", requests.retry_delay("attempt").alias("ms"))
 
 
 @query(
