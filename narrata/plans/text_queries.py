@@ -25,10 +25,15 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+#: Bytes of a file that are a task's work where each row is much work.
+TASK_BYTES = 8 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A small input of few splits over all cores; one with splits enough is left as it is, without a shuffle."""
+    """An input of few splits over all cores, and over more tasks the larger it is, so that no task grows with it; one with splits enough is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    wanted = max(cores, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // TASK_BYTES)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < max(2 * cores, wanted) else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
