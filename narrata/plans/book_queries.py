@@ -149,10 +149,10 @@ def scene_analysis(spark, sf_dir):
 FROM scene s JOIN a USING (doc_id)""",
 )
 def cues(spark, sf_dir):
-    rows = texts(spark, sf_dir)
-    a = dialogue.analysis(rows).join(rows, "doc_id")
     label = lambda t: F.coalesce(dialogue.labelled(F.coalesce("text", F.lit("")), t), F.lit(""))
-    return a.select("doc_id", dialogue.camera_cue("tension", "dialogue_ratio", "reading_ease").alias("camera"), label(dialogue.SFX).alias("sound"), label(dialogue.AMBIENCE).alias("ambience"))
+    rows = texts(spark, sf_dir).withColumns({"sound": label(dialogue.SFX), "ambience": label(dialogue.AMBIENCE)})
+    a = dialogue.analysis(rows, keep=["sound", "ambience"])
+    return a.select("doc_id", dialogue.camera_cue("tension", "dialogue_ratio", "reading_ease").alias("camera"), "sound", "ambience")
 
 
 @query(
