@@ -53,3 +53,22 @@ def test_tasks_grow_in_number(spark, sf_dir, monkeypatch):
     few = text_queries.documents(spark, sf_dir).rdd.getNumPartitions()
     monkeypatch.setattr(text_queries, "TASK_BYTES", 1 << 12)
     assert text_queries.documents(spark, sf_dir).rdd.getNumPartitions() > 2 * few
+
+
+def test_pdf_maps_are_not_spelled_out():
+    import io
+
+    from narrata.sources import pdf
+
+    out = io.BytesIO()
+    made = pdf.Document(out.write)
+    for _ in range(2):
+        made.page(["жяк 中 (a\\b)", "plain"])
+    made.close()
+    file = pdf.Pdf(out.getvalue())
+    pages = list(file.pages())
+    shown = [[t[0] for t in pdf._tokens(file, file.get(p["Contents"], True)[1], file.get(p["Resources"]))] for p in pages]
+    assert shown == [["жяк 中 (a\\b)", "plain"]] * 2
+    # one font an object, for all pages; of its 65,536 codes those that were shown
+    wide = [f for _, f in file.fonts.values() if f.wide]
+    assert len(file.fonts) == 2 and len(wide) == 1 and len(wide[0].known) < 20
