@@ -53,8 +53,8 @@ def text_statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def top_words(df: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The n most frequent words of each text without stop words; of equal ones the first seen."""
-    seen = df.select(key, F.posexplode(F.transform(words(F.coalesce(F.col(text), F.lit(""))), F.lower)).alias("pos", "word")).filter((F.length("word") > 1) & ~F.col("word").isin(*STOP_WORDS))
+    """The n most frequent words of each text without stop words; of equal ones the first seen. Texts are dealt by key, so that their words are not."""
+    seen = df.repartition(F.col(key)).select(key, F.posexplode(F.transform(words(F.coalesce(F.col(text), F.lit(""))), F.lower)).alias("pos", "word")).filter((F.length("word") > 1) & ~F.col("word").isin(*STOP_WORDS))
     counted = seen.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
     at = Window.partitionBy(key).orderBy(F.desc("n"), "first_pos")
     return counted.withColumn("rank", F.row_number().over(at)).filter(F.col("rank") <= n).select(key, "rank", "word", "n")

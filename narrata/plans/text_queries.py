@@ -99,7 +99,9 @@ r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, fir
 SELECT doc_id, rank::INTEGER AS rank, word, n FROM r WHERE rank <= 10""",
 )
 def top_words(spark, sf_dir):
-    return passages.top_words(texts(spark, sf_dir))
+    # not spread: they are dealt by key
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return passages.top_words(docs.unionByName(table(spark, "fx_passages").withColumn("doc_id", -F.col("doc_id"))))
 
 
 def _syllables(w: str) -> str:

@@ -72,3 +72,17 @@ def test_pdf_maps_are_not_spelled_out():
     # one font an object, for all pages; of its 65,536 codes those that were shown
     wide = [f for _, f in file.fonts.values() if f.wide]
     assert len(file.fonts) == 2 and len(wide) == 1 and len(wide[0].known) < 20
+
+
+def test_words_are_not_shuffled(spark, sf_dir):
+    """Texts are dealt once; neither the words of a text nor their counts go over the network."""
+    df = registry.queries()["top_words"](spark, sf_dir)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"\bExchange ", final)) == 1
+
+
+def test_units_are_taken_once(spark, sf_dir):
+    optimized = plan(registry.queries()["text_hashes"](spark, sf_dir))
+    # of documents and of the fixture: once for the whole text, once for the first 512 characters
+    assert optimized.count("regexp_extract_all(") == 2 * 2
