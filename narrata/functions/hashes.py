@@ -27,10 +27,10 @@ def fnv1a_exact(t) -> Column:
     return F.aggregate(units(t), F.lit(2166136261).cast("bigint"), lambda h, x: low32(h.bitwiseXOR(x) * 16777619))
 
 
-def fnv1a(t) -> Column:
-    """FNV-1a in 32 bits as engines without whole numbers compute it: a product over 2**53 loses its lowest bits."""
+def fnv1a(t, of: Column | None = None) -> Column:
+    """FNV-1a in 32 bits as engines without whole numbers compute it: a product over 2**53 loses its lowest bits. ``of`` are the text's units, if they are at hand."""
     step = lambda h, x: signed32((h.bitwiseXOR(x).cast("double") * 16777619.0).cast("bigint"))
-    return low32(F.aggregate(units(t), signed32(F.lit(2166136261).cast("bigint")), step))
+    return low32(F.aggregate(units(t) if of is None else of, signed32(F.lit(2166136261).cast("bigint")), step))
 
 
 def djb2(t, most: int = 512) -> Column:
@@ -38,9 +38,9 @@ def djb2(t, most: int = 512) -> Column:
     return F.aggregate(units(F.substring(c(t), 1, most)), F.lit(5381).cast("bigint"), lambda h, x: low32(h * 33 + x))
 
 
-def times31(t) -> Column:
+def times31(t, of: Column | None = None) -> Column:
     """h * 31 + unit from 0, in 32 bits without a sign."""
-    return F.aggregate(units(t), F.lit(0).cast("bigint"), lambda h, x: low32(h * 31 + x))
+    return F.aggregate(units(t) if of is None else of, F.lit(0).cast("bigint"), lambda h, x: low32(h * 31 + x))
 
 
 def base36(x: Column) -> Column:
