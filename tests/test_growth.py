@@ -86,3 +86,28 @@ def test_units_are_taken_once(spark, sf_dir):
     optimized = plan(registry.queries()["text_hashes"](spark, sf_dir))
     # of documents and of the fixture: once for the whole text, once for the first 512 characters
     assert optimized.count("regexp_extract_all(") == 2 * 2
+
+
+def test_lines_are_found_without_a_fold_over_all_tokens(spark):
+    """Tall stretches, ties, unknown places: as by a loop over a page. Only tall stretches are folded, and no order is compared by a lambda."""
+    import random
+
+    from narrata.sources import positioned
+
+    some = random.Random(7)
+    rows = [(d, p, some.choice(["a", " b\tc ", ",", "d", "  ", None]), some.choice([0.0, 1.0, 2.5, None]), some.choice([some.uniform(0, 30), 10.0, 13.0, 16.0, 16.1, None])) for d in range(12) for p in range(3) for _ in range(3 * d)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, text string, x double, y double")
+    want = []
+    for key in {r[:2] for r in rows}:
+        low = lambda v: (v is not None, v or 0.0)
+        tokens = sorted((low(None if y is None else -y), low(x), re.sub(r"\s+", " ", t).strip()) for d, p, t, x, y in rows if (d, p) == key and (t or "").strip())
+        lines, at = [], None
+        for up, x, t in tokens:
+            if at is None or not up[0] or abs(up[1] - at) > positioned.TOLERANCE:
+                lines.append([])
+                at = up[1] if up[0] else None
+            lines[-1].append((x, up, t))
+        want += [(*key, i, re.sub(r"\s+([,.;!?])", r"\1", " ".join(t for *_, t in sorted(words))).strip()) for i, words in enumerate(lines)]
+    made = positioned.reading_order(df)
+    assert sorted(map(tuple, made.collect())) == sorted(want)
+    assert "array_sort" not in plan(made) and "lambdafunction(if" not in plan(made)
