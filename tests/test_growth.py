@@ -111,3 +111,19 @@ def test_lines_are_found_without_a_fold_over_all_tokens(spark):
     made = positioned.reading_order(df)
     assert sorted(map(tuple, made.collect())) == sorted(want)
     assert "array_sort" not in plan(made) and "lambdafunction(if" not in plan(made)
+
+
+def test_markup_lines_are_asked_for_their_beginnings(spark):
+    from narrata.operators import markup
+
+    lines = ["sfx: a door", "He ran Sfx: thud", "he ran [sfx: Boom]", "fade to black: night", "Cut to the house", "silence.", "[reflection]", "a [EMOTION: joy] b", "[/reflection]", "(WIDE SHOT: hall)", "He ROARED", "so…", "end —", "*thought*", '"Hi!" said Mara softly', "--- ", "— ✦ —", "[Scene: One]", "beaten"]
+    made = markup.parsed(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"))
+    got = [(r.type, r.content, r.intensity) for r in made.orderBy("pos").collect()]
+    assert got == [
+        ("sfx", "SFX: a door", "emphasis"), ("action", "He ran", "normal"), ("sfx", "SFX: thud", "emphasis"), ("action", "he ran", "normal"), ("sfx", "SFX: Boom", "emphasis"),
+        # of two that begin alike the first named is met
+        ("transition", "night", "normal"), ("transition", "the house", "normal"), ("beat", "", "normal"), ("inner_thought", "a  b", "whisper"), ("action", "hall", "normal"), ("action", "He ROARED", "shout"),
+        ("action", "so…", "whisper"), ("action", "end —", "whisper"), ("inner_thought", "thought", "whisper"), ("dialogue", "Hi!", "whisper"), ("action", "said Mara softly", "normal"),
+        ("beat", "— ✦ —", "normal"), ("beat", "— ✦ —", "normal"), ("title_card", "One", "normal"), ("action", "beaten", "normal"),
+    ]
+    assert plan(made).count("StartsWith(") >= 10 and plan(made).count("Contains(") >= 6
