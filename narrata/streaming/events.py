@@ -89,20 +89,24 @@ class Memory(StatefulProcessor):
         self.answer = handle.getValueState("answer", "ts long, value string", self.ttl_ms if self.wall else None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        ts, value = self.answer.get() if self.answer.exists() else (None, None)
+        # the store is asked once and told once, whatever the number of rows: each call goes to another process
+        held = self.answer.get()
+        ts, value = held if held is not None else (None, None)
+        made = None
         for r in sorted(rows, key=lambda r: (r.ts_ms, r.request)):
             live = ts is not None and (self.wall or r.ts_ms - ts < self.ttl_ms)
             yield Row(key=key[0], request=r.request, ts_ms=r.ts_ms, outcome="hit" if live else "miss" if ts is None else "expired", value=value if live else r.value)
             if not live and r.value is not None:
-                if ts is not None and not self.wall:
-                    self.handle.deleteTimer(ts + self.ttl_ms)
-                ts, value = r.ts_ms, r.value
-                self.answer.update((ts, value))
-                if not self.wall:
-                    self.handle.registerTimer(ts + self.ttl_ms)
+                made = ts, value = r.ts_ms, r.value
             elif not live:
                 # an answer that was not made stores nothing
                 ts, value = None, None
+        if made is not None:
+            self.answer.update(made)
+            if not self.wall:
+                if held is not None:
+                    self.handle.deleteTimer(held[0] + self.ttl_ms)
+                self.handle.registerTimer(made[0] + self.ttl_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.answer.clear()

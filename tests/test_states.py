@@ -86,3 +86,43 @@ def test_thinning_is_alike_in_any_number_of_batches(spark, tmp_path, batches):
     for i in range(0, len(rows), step):
         got, _ = ran(streams.thinned(stream_of(spark, str(tmp_path / "in"), rows[i : i + step], "user_id long, ts long, event_type string")), str(tmp_path / "out"))
     assert {(r.user_id, int(r.ts.timestamp() * 1000), r.event_type) for r in got.collect()} == kept
+
+
+def test_the_store_is_told_once_a_batch():
+    """However many answers of a key are stored in a batch, only the last goes to the store, with one timer."""
+    from pyspark.sql import Row
+
+    calls = []
+
+    class State:
+        held = (BASE - 10 * MINUTE, "old")
+
+        def exists(self):
+            return True
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return state
+
+        def registerTimer(self, at):
+            calls.append(("register", at))
+
+        def deleteTimer(self, at):
+            calls.append(("delete", at))
+
+    state = State()
+    memory = streams.Memory(MINUTE, False)
+    memory.init(Handle())
+    rows = [Row(request=f"{i:03}", ts_ms=BASE + i * MINUTE, value=None if i == 3 else f"v{i}") for i in range(100)]
+    got = list(memory.handleInputRows(("k",), iter(rows), None))
+    assert [r.outcome for r in got[:5]] == ["expired", "expired", "expired", "expired", "miss"] and {r.outcome for r in got[5:]} == {"expired"}
+    assert state.held == (BASE + 99 * MINUTE, "v99")
+    assert calls == ["get", "update", ("delete", BASE - 9 * MINUTE), ("register", BASE + 100 * MINUTE)]
