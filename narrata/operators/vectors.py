@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..streaming.sinks import written
 
-#: Most cells, which all tasks know the centres of; rows and queries of a cell that meet in one task.
-CELLS, ROWS, QUERIES = 1024, 16_384, 4096
+#: Most cells, which all tasks know the centres of; rows of cells, and queries, that meet in one task.
+CELLS, ROWS, QUERIES = 1024, 16_384, 16_384
 #: Pairs of a query and a row that are few enough to compare all, and queries then sent in a row, and at most.
 FEW, BLOCK, MOST_SENT = 1 << 24, 256, 4096
 #: Cosines of matrix products are trusted to this; what lies nearer is told apart by the exact sum.
@@ -45,35 +46,46 @@ def _angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _met(pairs: DataFrame, placed: DataFrame, k: int) -> DataFrame:
-    """(query, id, near) over pairs (query, v, cell): of each query and part of a cell what may be among the k nearest."""
-    count = lambda df, most, name: df.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-    sizes = count(placed, ROWS, "across").join(count(pairs, QUERIES, "down"), "cell")
-    dealt = lambda df, key, own, other: df.join(sizes, "cell").withColumns({own[0]: F.pmod(F.xxhash64(key), F.col(own[1])).cast("int"), other[0]: F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1))}).drop("across", "down")
-    left, right = dealt(pairs, "query", ("d", "down"), ("a", "across")), dealt(placed.select("id", "v", "cell"), "id", ("a", "across"), ("d", "down"))
+    """(query, id, near) over (query, v, part, cells) and (id, v, part, cell): of each query and cell, or piece of a large cell, what may be among the k nearest.
+
+    A query's vector goes to a part of many cells once, with the cells it looks into.
+    """
+    count = lambda df, most, name: df.groupBy("part").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    # a row a part; by a shuffled join all vectors would be written once more
+    sizes = F.broadcast(count(placed, ROWS, "across").join(count(pairs, QUERIES, "down"), "part"))
+    dealt = lambda df, key, own, other: df.join(sizes, "part").withColumns({own[0]: F.pmod(F.xxhash64(key), F.col(own[1])).cast("int"), other[0]: F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1))}).drop("across", "down")
+    left, right = dealt(pairs, "query", ("d", "down"), ("a", "across")), dealt(placed.select("id", "v", "cell", "part"), "id", ("a", "across"), ("d", "down"))
     schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("near", pa.float64())])
 
     def tile(q: pa.Table, h: pa.Table) -> pa.Table:
         if not q.num_rows or not h.num_rows:
             return schema.empty_table()
-        names, ids = q.column("query").to_numpy(), h.column("id").to_numpy()
-        zero = h.column("cell")[0].as_py() == NOWHERE
-        x, y = _units(q.column("v").combine_chunks()), None if zero else _units(h.column("v").combine_chunks())
-        out = ([], [], [])
-        for i in range(0, len(x), 256):
-            near = np.zeros((len(x[i : i + 256]), len(ids))) if zero else x[i : i + 256] @ y.T
-            near[names[i : i + 256, None] == ids[None]] = -2.0
-            least = np.partition(near, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)] if len(ids) > k else np.full(len(near), -1.5)
-            for row, bound in enumerate(least):
-                at = np.flatnonzero(near[row] >= max(bound - NEAR, -1.5))
-                if zero:
-                    # all are equally near: those with the least ids stand first
-                    at = at[np.argsort(ids[at], kind="stable")[:k]]
-                out[0].append(np.full(len(at), names[i + row]))
-                out[1].append(ids[at])
-                out[2].append(near[row, at])
+        cells, vectors = q.column("cells").combine_chunks(), h.column("v").combine_chunks()
+        asked, wanted = np.repeat(np.arange(q.num_rows), pc.list_value_length(cells).to_numpy(zero_copy_only=False)), cells.flatten().to_numpy(zero_copy_only=False)
+        every, all_ids, of = q.column("query").to_numpy(), h.column("id").to_numpy(), h.column("cell").to_numpy()
+        units = _units(q.column("v").combine_chunks())
+        out = ([every[:0]], [all_ids[:0]], [np.zeros(0)])
+        for cell in np.unique(of):
+            who, here = asked[wanted == cell], np.flatnonzero(of == cell)
+            if not len(who):
+                continue
+            names, ids, zero = every[who], all_ids[here], cell == NOWHERE
+            x, y = units[who], None if zero else _units(vectors.take(pa.array(here)))
+            for i in range(0, len(x), 256):
+                near = np.zeros((len(x[i : i + 256]), len(ids))) if zero else x[i : i + 256] @ y.T
+                near[names[i : i + 256, None] == ids[None]] = -2.0
+                least = np.partition(near, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)] if len(ids) > k else np.full(len(near), -1.5)
+                for row, bound in enumerate(least):
+                    at = np.flatnonzero(near[row] >= max(bound - NEAR, -1.5))
+                    if zero:
+                        # all are equally near: those with the least ids stand first
+                        at = at[np.argsort(ids[at], kind="stable")[:k]]
+                    out[0].append(np.full(len(at), names[i + row]))
+                    out[1].append(ids[at])
+                    out[2].append(near[row, at])
         return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(out, schema)], schema=schema)
 
-    key = ("cell", "a", "d")
+    key = ("part", "a", "d")
     n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return left.repartition(n, *key).groupBy(*key).cogroup(right.repartition(n, *key).groupBy(*key)).applyInArrow(tile, "query long, id long, near double")
 
@@ -100,7 +112,9 @@ def nearest(queries: DataFrame, history: DataFrame, k: int = 2, id_: str = "vec_
     one that is zero is 0 like to all. Rows without a vector or an id take no part. Where there are ``few`` pairs at most, all are compared.
     """
     spark = history.sparkSession
-    fine = lambda df: df.filter(F.col(id_).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    # single precision stays so until it is reckoned with, which is in double precision
+    kind = "float" if dict(history.dtypes)[vector] == dict(queries.dtypes)[vector] == "array<float>" else "double"
+    fine = lambda df: df.filter(F.col(id_).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(id_).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"))
     rows = fine(history)
     n, many = rows.count(), fine(queries).count()
     if n * many <= few and many <= MOST_SENT:
@@ -120,14 +134,22 @@ def nearest(queries: DataFrame, history: DataFrame, k: int = 2, id_: str = "vec_
                 cell[some], far[some] = angle.argmin(axis=1), angle.min(axis=1)
             yield pa.RecordBatch.from_arrays([ids, v, pa.array(cell, pa.int32()), pa.array(far)], names=["id", "v", "cell", "far"])
 
-    placed = written(rows.mapInArrow(place, "id long, v array<double>, cell int, far double"), "placed-vectors")
+    placed = written(rows.mapInArrow(place, f"id long, v array<{kind}>, cell int, far double"), "placed-vectors")
     # a row a cell
-    widest = {r.cell: r.far for r in placed.groupBy("cell").agg(F.max("far").alias("far")).collect()}
+    told = placed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).orderBy("cell").collect()
+    widest = {r.cell: r.far for r in told}
+    # cells in parts of about as many rows as meet in a task
+    part_of, held = {}, 0
+    for r in told:
+        new = not part_of or held + r.n > ROWS or NOWHERE in part_of and len(part_of) == 1
+        held = r.n if new else held + r.n
+        part_of[r.cell] = max(part_of.values(), default=-1) + new
+    placed = placed.join(F.broadcast(spark.createDataFrame(list(part_of.items()) or [(NOWHERE, 0)], "cell int, part int")), "cell")
     asked = written(fine(queries).select(F.col("id").alias("query"), "v", norm("v").alias("n")), "queries")
     cells = sorted(c for c in widest if c != NOWHERE)
 
     def bounds(batches, found: bool):
-        """(query, v, cell): the nearest cells of queries; with what they found (least), all others that may hold as near ones."""
+        """(query, v, part, cells), a row a query and part: the nearest cells of queries; with what they found (least), all others that may hold as near ones."""
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -144,9 +166,14 @@ def nearest(queries: DataFrame, history: DataFrame, k: int = 2, id_: str = "vec_
             else:
                 q, c = np.nonzero(first)
                 c = np.array(cells)[c]
-            yield pa.RecordBatch.from_arrays([batch.column("query").take(pa.array(q)), v.take(pa.array(q)), pa.array(c, pa.int32())], names=["query", "v", "cell"])
-
-    schema = "query long, v array<double>, cell int"
+            part = np.array([part_of[x] for x in c.tolist()], np.int32)
+            order = np.lexsort((c, part, q))
+            q, c, part = q[order], c[order], part[order]
+            first_of = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (part[1:] != part[:-1])][: len(q)])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[first_of, len(q)], pa.int32()), pa.array(c, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("query").take(pa.array(q[first_of])), v.take(pa.array(q[first_of])), pa.array(part[first_of]), lists], names=["query", "v", "part", "cells"])
+
+    schema = f"query long, v array<{kind}>, part int, cells array<int>"
     if cells:
         one = written(_met(asked.filter("n > 0").select("query", "v").mapInArrow(lambda b: bounds(b, False), schema), placed, k), "found")
         at = Window.partitionBy("query").orderBy(F.desc("near"))
@@ -155,7 +182,7 @@ def nearest(queries: DataFrame, history: DataFrame, k: int = 2, id_: str = "vec_
         more = written(open_.mapInArrow(lambda b: bounds(b, True), schema), "cells-left")
         if skipped is not None:
             directed = asked.filter("n > 0").count()
-            skipped.append((directed * len(widest), directed * min(probes, len(cells)) + more.count()))
+            skipped.append((directed * len(widest), directed * min(probes, len(cells)) + (more.agg(F.sum(F.size("cells"))).first()[0] or 0)))
         found = one.union(_met(more, placed, k)).select("query", "id")
     else:
         found = spark.createDataFrame([], "query long, id long")

@@ -127,3 +127,32 @@ def test_markup_lines_are_asked_for_their_beginnings(spark):
         ("beat", "— ✦ —", "normal"), ("beat", "— ✦ —", "normal"), ("title_card", "One", "normal"), ("action", "beaten", "normal"),
     ]
     assert plan(made).count("StartsWith(") >= 10 and plan(made).count("Contains(") >= 6
+
+
+def test_a_vector_goes_to_many_cells_at_once(spark, monkeypatch):
+    """A query's vector is sent once to a part of cells with as many rows as meet in a task, however many of its cells it looks into; all are compared as before."""
+    import numpy as np
+
+    from narrata.operators import vectors
+
+    some = np.random.default_rng(3).normal(size=(900, 12)).astype("float32")
+    some[5] = some[17] = 0
+    some[30] = some[31]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(some)], "vec_id long, embedding array<float>")
+    met, sent = vectors._met, []
+
+    def seen(pairs, placed, k):
+        sent.append((pairs.count(), placed.select("part").distinct().count(), dict(placed.dtypes)["v"]))
+        return met(pairs, placed, k)
+
+    monkeypatch.setattr(vectors, "_met", seen)
+    monkeypatch.setattr(vectors, "ROWS", 300)
+    monkeypatch.setattr(vectors, "QUERIES", 20)
+    looked = []
+    queries = df.filter("vec_id % 9 = 0")
+    rows = lambda few: sorted((r.query, r.rank, r.id, r.similarity) for r in vectors.nearest(queries, df, 3, skipped=looked, few=few).collect())
+    cells, pairs = rows(0), rows(vectors.FEW)
+    assert [r[:3] for r in cells] == [r[:3] for r in pairs] and all(abs(a[3] - b[3]) < 1e-12 for a, b in zip(cells, pairs))
+    assert len(sent) == 2 and all(n <= 100 * parts and parts <= 8 and kind == "array<float>" for n, parts, kind in sent)
+    # far more pairs of a query and a cell than vectors sent
+    assert looked[0][1] > 2 * sum(n for n, *_ in sent)
