@@ -34,28 +34,30 @@ def speaker(before: Column, after: Column) -> Column:
     return F.when(low == "i", "I").when(low.isin("he", "she", "they", "we"), low).otherwise(who)
 
 
-def fragments(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, kind, content, speaker): quotes and what stands between them, in order. Quotes are straight ones."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    gaps, quotes = F.split(t, QUOTED, -1), F.regexp_extract_all(t, F.lit(f"({QUOTED})"), F.lit(1))
+def fragments_of(text) -> Column:
+    """array<struct<kind, content, speaker>>: quotes and what stands between them, in order. Quotes are straight ones."""
+    t = F.coalesce(c(text), F.lit(""))
+    none = F.lit(None).cast("string")
+    # runs of white space but single spaces, which most are
+    even = lambda x: F.trim(F.regexp_replace(x, r"\s(?:\s+|(?<! ))", " "))
+    told = lambda x: F.struct(F.lit("narration").alias("kind"), even(F.regexp_replace(x, r"^[,;:\-\s]+", "")).alias("content"), none.alias("speaker"))
+    said = lambda x, who: F.struct(F.lit("dialogue").alias("kind"), even(x).alias("content"), who.alias("speaker"))
 
-    # what stands around the quote at i, as far as a speaker is looked for, goes with it; the text itself does not
+    # what stands around the quote at i, as far as a speaker is looked for
     def parts_of(g: Column, q: Column) -> Column:
         before = lambda x, i: F.right(F.concat(F.when(i > 0, F.get(q, i - 1)).otherwise(""), x), F.lit(180))
         after = lambda i: F.left(F.concat(F.coalesce(F.get(g, i + 1), F.lit("")), F.coalesce(F.get(q, i + 1), F.lit(""))), F.lit(180))
-        return F.transform(g, lambda x, i: F.struct(x.alias("gap"), F.get(q, i).alias("quote"), before(x, i).alias("before"), after(i).alias("after")))
+        spoken = lambda x, i: let(F.struct(before(x, i).alias("b"), after(i).alias("a")), lambda s: speaker(s["b"], s["a"]))
+        return F.flatten(F.transform(g, lambda x, i: F.when(i < F.size(q), F.array(told(x), said(F.get(q, i), spoken(x, i)))).otherwise(F.array(told(x)))))
 
-    rows = df.select(key, F.posexplode(let(gaps, lambda g: let(quotes, lambda q: parts_of(g, q)))).alias("i", "p"))
-    before, after = F.col("p.before"), F.col("p.after")
-    tidy = trimmed(F.regexp_replace(F.regexp_replace("p.gap", r"^[,;:\-\s]+", ""), r"\s+", " "))
-    none = F.lit(None).cast("string")
-    parts = F.array(
-        F.struct(F.lit("narration").alias("kind"), tidy.alias("content"), none.alias("speaker")),
-        F.struct(F.lit("dialogue").alias("kind"), trimmed(F.regexp_replace("p.quote", r"\s+", " ")).alias("content"), F.when(F.col("p.quote").isNotNull(), speaker(before, after)).alias("speaker")),
-    )
-    made = rows.select(key, "i", F.posexplode(parts).alias("j", "f")).filter("f.content is not null and f.content <> ''")
-    at = Window.partitionBy(key).orderBy("i", "j")
-    return made.select(key, (F.row_number().over(at) - 1).alias("pos"), "f.*")
+    gaps, quotes = F.split(t, QUOTED, -1), F.regexp_extract_all(t, F.lit(f"({QUOTED})"), F.lit(1))
+    parts = F.when(F.contains(t, F.lit('"')), let(gaps, lambda g: let(quotes, lambda q: parts_of(g, q)))).otherwise(F.array(told(t)))
+    return F.filter(parts, lambda f: f["content"] != "")
+
+
+def fragments(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pos, kind, content, speaker): the fragments of each text; no row is shuffled for their numbers."""
+    return df.select(key, F.posexplode(fragments_of(text)).alias("pos", "f")).select(key, "pos", "f.*")
 
 
 def structured(df: DataFrame, key: str = "doc_id", text: str = "text", label: bool = True) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import cases
-from ..functions.text import c, canonical, folded, let, paragraphs, spaces_normal, trimmed, whole
-from .dialogue import fragments
+from ..functions.text import SPACES, c, canonical, folded, let, paragraphs, spaces_normal, trimmed, whole
+from .dialogue import fragments_of
 from .folds import sequenced
 
 MOST, LEAST_SHARE = 3500, 0.4
@@ -121,24 +121,35 @@ def output_gate(blocks: DataFrame, words: DataFrame, key: str = "doc_id") -> Dat
     return rows.select(key, cases([((F.col("_n") == 0) & (F.col("words") > 0), "NO_BLOCKS"), (lost, "WORDS_LOST")], None).alias("refused"))
 
 
+def typed_of(text) -> Column:
+    """Fragments without the punctuation around narration; short physical action is an action beat; ``pos`` counts those without content too."""
+    n = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+    tidy = lambda f: F.when(f["kind"] == "narration", F.regexp_replace(f["content"], rf"[,;:\-{SPACES}]++\z", "")).otherwise(f["content"])
+    beat = lambda f, x: (f["kind"] == "narration") & F.regexp_like(x, F.lit(GESTURE)) & (n(x) <= BEAT_WORDS)
+    typed = lambda f, x, i: F.struct(i.alias("pos"), F.when(beat(f, x), "action_beat").otherwise(f["kind"]).alias("kind"), x.alias("content"), f["speaker"].alias("speaker"))
+    return F.filter(F.transform(fragments_of(text), lambda f, i: let(tidy(f), lambda x: typed(f, x, i))), lambda f: f["content"] != "")
+
+
 def typed_fragments(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fragments without the punctuation around narration; short physical action is an action beat."""
-    tidy = F.when(F.col("kind") == "narration", F.regexp_replace("content", r"[,;:\-\s]+\z", "")).otherwise(F.col("content"))
-    rows = fragments(df, key, text).withColumn("content", tidy).filter("content <> ''")
-    n = F.size(F.filter(F.split("content", r"\s+"), lambda w: w != ""))
-    beat = (F.col("kind") == "narration") & F.regexp_like("content", F.lit(GESTURE)) & (n <= BEAT_WORDS)
-    return rows.withColumn("kind", F.when(beat, "action_beat").otherwise(F.col("kind")))
+    """(key, pos, kind, content, speaker): the typed fragments of each text."""
+    return df.select(key, F.explode(typed_of(text)).alias("f")).select(key, "f.*")
 
 
 def document_statistics(paras: DataFrame, scenes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Words, paragraphs, scenes, fragments, speakers and ratios of texts as paragraphs (key, pos, text) and scenes (key, scene)."""
+    """Words, paragraphs, scenes, fragments, speakers and ratios of texts as paragraphs (key, pos, text) and scenes (key, scene).
+
+    A paragraph is measured where it is read; paragraphs with the same speakers, mostly none, are added up before they are shuffled.
+    """
     n = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    base = paras.groupBy(key).agg(F.sum(n).cast("long").alias("words"), F.count("*").alias("paragraphs"))
-    one = paras.select(F.struct(key, "pos").alias("_at"), "text")
-    parts_ = typed_fragments(one, "_at", "text").withColumn(key, F.col("_at").getField(key))
-    kinds = parts_.groupBy(key).agg(F.count("*").alias("_all"), F.count_if(F.col("kind") == "dialogue").alias("dialogue_fragments"), F.count_if(F.col("kind") == "narration").alias("narration_fragments"), F.array_join(F.array_sort(F.collect_set("speaker")), ",").alias("speakers"))
+    of = lambda kind: F.size(F.filter("_f", lambda f: f["kind"] == kind))
+    who = F.array_sort(F.array_distinct(F.filter(F.transform("_f", lambda f: f["speaker"]), lambda s: s.isNotNull())))
+    rows = paras.select(key, n.alias("_n"), typed_of("text").alias("_f"))
+    rows = rows.select(key, "_n", F.size("_f").alias("_all"), of("dialogue").alias("_said"), of("narration").alias("_told"), F.when(F.exists("_f", lambda f: f["speaker"].isNotNull()), who).alias("_who"))
+    rows = rows.groupBy(key, "_who").agg(F.sum("_n").alias("_n"), F.count("*").alias("_paras"), F.sum("_all").alias("_all"), F.sum("_said").alias("_said"), F.sum("_told").alias("_told"))
+    speakers = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_who")))), ",")
+    base = rows.groupBy(key).agg(F.sum("_n").cast("long").alias("words"), F.sum("_paras").alias("paragraphs"), F.sum("_all").alias("_all"), F.sum("_said").alias("dialogue_fragments"), F.sum("_told").alias("narration_fragments"), speakers.alias("speakers"))
     many = scenes.groupBy(key).agg(F.count_distinct("scene").alias("scenes"))
-    rows = base.join(kinds, key, "left").join(many, key, "left").fillna(0, ["_all", "dialogue_fragments", "narration_fragments", "scenes"]).fillna("", ["speakers"])
+    rows = base.join(many, key, "left").fillna(0, ["scenes"])
     per = lambda n: F.when(F.col(n) > 0, whole(F.col("words") / F.when(F.col(n) > 0, F.col(n)))).otherwise(0).cast("long")
     ratio = F.floor(F.col("dialogue_fragments") / F.greatest(F.lit(1), F.col("_all")) * 1000 + 0.5) / 1000.0
     return rows.select(key, "words", "paragraphs", "scenes", "dialogue_fragments", "narration_fragments", "speakers", per("paragraphs").alias("words_per_paragraph"), per("scenes").alias("words_per_scene"), ratio.alias("dialogue_ratio"))

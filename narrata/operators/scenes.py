@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import cases, sentiment
-from ..functions.text import c, found, trimmed
+from ..functions.scores import cases, sentiment_of_lower
+from ..functions.text import SPACES, c, found, literals, pivoted, trimmed, ways
 
 #: ASCII word boundaries; the engine's own \b takes accented letters for word characters.
 L, R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -41,6 +41,13 @@ MOODS = {
 }
 PRONOUNS = ("He", "She", "They", "We", "I", "You", "It")
 
+#: Where none of these matches, in lower case, there is no cue of time, transition, break or mode.
+CUES = pivoted([x for p in (TIME_SHIFT, TRANSITION, "|".join(w for w in ways(BREAK_SIGNALS[4:]) if w[0].isalpha()), FLASHBACK, DREAM, MEMORY) for x in literals(p)])
+#: Where this does not match either, there is no divider and no other break.
+RULES = rf"[*#.=~_\-{SPACES}]{{3}}"
+#: A capital after the end of "the" or of a word that places follow.
+PLACED = r"[ABCDEFGHIJKLMNOPQRSTUVWXYZ](?<=[nterhsd\s]\s.)[a-z]"
+
 
 def has(t, pattern: str, low: Column | None = None) -> Column:
     """Whether the words of a pattern stand in a text, whatever their case; ``low`` is the text in lower case, if it is at hand."""
@@ -57,7 +64,7 @@ def narrative_mode(t, low: Column | None = None) -> Column:
 
 
 def place_hint(t) -> Column:
-    return F.lower(trimmed(F.coalesce(first(t, L + PLACE_SHIFT), first(t, L + PLACE))))
+    return F.when(F.regexp_like(c(t), F.lit(PLACED)), F.lower(trimmed(F.coalesce(first(t, L + PLACE_SHIFT), first(t, L + PLACE)))))
 
 
 def point_of_view(t) -> Column:
@@ -67,15 +74,15 @@ def point_of_view(t) -> Column:
 def _signals(paragraphs: DataFrame, key: str) -> DataFrame:
     """Paragraphs that are no dividers, with what tells them from the one before."""
     order = Window.partitionBy(key).orderBy("pos")
-    p = paragraphs.select(key, "pos", trimmed("text").alias("text")).filter("text <> ''")
-    p = p.withColumn("_divider", F.regexp_like("text", F.lit(DIVIDER))).withColumn("_part", F.sum(F.col("_divider").cast("int")).over(order)).filter(~F.col("_divider"))
-    # all that the text says is taken before the windows over it, which then sort without the text
-    low = F.col("_low")
-    p = p.withColumn("_low", F.lower("text"))
+    p = paragraphs.filter(F.regexp_like("text", F.lit(r"\S"))).select(key, "pos", trimmed("text").alias("text"))
+    # all that the text says is taken before the windows over it and their shuffle, which then go without the text
+    low, cued = F.col("_low"), F.col("_cued")
+    p = p.withColumn("_low", F.lower("text")).withColumn("_cued", F.regexp_like("_low", F.lit(CUES)) | F.regexp_like("_low", F.lit(RULES)))
     p = p.select(
-        key, "pos", "_part", place_hint("text").alias("_place"), narrative_mode("text", low).alias("_mode"), sentiment("text").alias("_s"),
-        has("text", TIME_SHIFT, low).alias("time_shift"), (found("text", BREAK_SIGNALS[4:], BREAK_SIGNALS[4:], low) | has("text", TRANSITION, low)).alias("signal"),
-    )
+        key, "pos", (cued & F.regexp_like("text", F.lit(DIVIDER))).alias("_divider"), place_hint("text").alias("_place"), F.when(cued, narrative_mode("text", low)).otherwise("normal").alias("_mode"), sentiment_of_lower(low).alias("_s"),
+        (cued & has("text", TIME_SHIFT, low)).alias("time_shift"), (cued & (found("text", BREAK_SIGNALS[4:], BREAK_SIGNALS[4:], low) | has("text", TRANSITION, low))).alias("signal"),
+    ).withColumn("_s", F.struct("_s.score", "_s.confidence"))
+    p = p.withColumn("_part", F.sum(F.col("_divider").cast("int")).over(order)).filter(~F.col("_divider"))
     for name in ("part", "place", "mode", "s"):
         p = p.withColumn(f"_was_{name}", F.lag(f"_{name}").over(order))
     a, b = F.col("_was_s"), F.col("_s")

@@ -1,5 +1,6 @@
 """What keeps the work of text queries in proportion to the text: fewer passes with the same results, no text through joins."""
 
+import math
 import re
 
 import pytest
@@ -156,3 +157,104 @@ def test_a_vector_goes_to_many_cells_at_once(spark, monkeypatch):
     assert len(sent) == 2 and all(n <= 100 * parts and parts <= 8 and kind == "array<float>" for n, parts, kind in sent)
     # far more pairs of a query and a cell than vectors sent
     assert looked[0][1] > 2 * sum(n for n, *_ in sent)
+
+
+def shuffled(df) -> set[str]:
+    """The columns that exchanges of a plan hand on."""
+    nodes, out = [df._jdf.queryExecution().executedPlan()], set()
+    while nodes:
+        node = nodes.pop()
+        if "Adaptive" in node.nodeName():
+            nodes.append(node.initialPlan())
+        if node.nodeName() == "Exchange":
+            out |= set(re.findall(r"(\w+)#", node.output().mkString(" ")))
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_statistics_shuffle_no_text(spark):
+    """Fragments are numbered where they are found, paragraphs measured and their cues found where they are read."""
+    from narrata.operators import documents
+
+    paras = spark.createDataFrame([(1, 0, 'Tom said, "Come."')], "doc_id long, pos int, text string")
+    assert shuffled(dialogue.fragments(paras)) == shuffled(documents.typed_fragments(paras)) == set()
+    found = scenes.scenes(paras)
+    assert {"_place", "_mode"} <= shuffled(found) and "text" not in shuffled(found)
+    whole = shuffled(documents.document_statistics(paras, found))
+    assert "_who" in whole and not whole & {"text", "content", "_f"}
+
+
+def test_statistics_are_those_of_the_fragments(spark):
+    import random
+
+    from narrata.operators import documents
+
+    some = random.Random(11)
+    bits = ['"Go  on,"', " said Tom Reed. ", " he asked ,", "She nodded to him", "\t--- ", '"', '" "', " They  walked on; ", "Mara replied: ", '"Who?"', "\n", "é,", " I whispered "]
+    rows = [(d, p, None if p == 5 else "".join(some.choice(bits) for _ in range(some.randrange(9)))) for d in range(9) for p in range(2 + d)] + [(77, 0, None), (78, 0, " ,; ")]
+    paras = spark.createDataFrame(rows, "doc_id long, pos int, text string")
+    each = documents.typed_fragments(paras.select(F.struct("doc_id", "pos").alias("at"), "text"), "at").collect()
+    assert {r.kind for r in each} == {"dialogue", "narration", "action_beat"} and len({r.speaker for r in each}) > 3
+    got = {r.doc_id: r for r in documents.document_statistics(paras, scenes.scenes(paras)).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for d, r in got.items():
+        of = [x for x in each if x["at"].doc_id == d]
+        kinds = [x.kind for x in of]
+        assert (r.dialogue_fragments, r.narration_fragments) == (kinds.count("dialogue"), kinds.count("narration"))
+        assert r.speakers == ",".join(sorted({x.speaker for x in of if x.speaker is not None}))
+        assert r.dialogue_ratio == int(kinds.count("dialogue") / max(1, len(kinds)) * 1000 + 0.5) / 1000
+
+
+def test_gates_refuse_nothing_that_counts(spark):
+    signals, cued = scenes.BREAK_SIGNALS[4:], [scenes.TIME_SHIFT, scenes.TRANSITION, scenes.FLASHBACK, scenes.DREAM, scenes.MEMORY]
+    held = [x for p in (*cued, "|".join(w for w in text.ways(signals) if w[0].isalpha())) for x in text.literals(p)]
+    t = spark.createDataFrame([(x,) for w in held + ["***", "---", "###", "....", " \t ", "======", "~_*"] for x in (w, f"Ab {w.upper()}.", f"x{w}x", f"é{w}", f"a {w[1:]} b", f"a {w[:-1]}")], "t string")
+    low = F.lower("t")
+    gate = F.regexp_like(low, F.lit(scenes.CUES)) | F.regexp_like(low, F.lit(scenes.RULES))
+    counts = F.regexp_like("t", F.lit(f"(?i){'|'.join(cued)}|{signals}")) | F.regexp_like("t", F.lit(scenes.DIVIDER))
+    assert t.filter(counts & ~gate).count() == 0 and t.filter(counts).count() > 4 * len(held) and t.filter(~gate).count() > 0
+    # no other text is asked for cues: the gate holds those alone
+    assert t.filter(F.regexp_like(low, F.lit(scenes.CUES)) & ~F.regexp_like(low, F.lit("|".join(held)))).count() == 0
+    places = spark.createDataFrame([(f"{a}{p}{b}{q}Old Mill",) for p in ("in", "At", "on", "near", "Beside", "inside", "outside", "beneath", "Above", "across", "Back at", "beyond", "up") for a in ("", "x ") for b in (" ", " \t ") for q in ("", "the ", "the\n")], "t string")
+    plainly = F.lower(text.trimmed(F.coalesce(scenes.first("t", scenes.L + scenes.PLACE_SHIFT), scenes.first("t", scenes.L + scenes.PLACE))))
+    assert places.filter(~plainly.eqNullSafe(scenes.place_hint("t"))).count() == 0 and places.filter(plainly.isNotNull()).count() > 100
+
+
+def test_telling_words_by_a_loop(spark):
+    """Words that tell nothing are made full stops before the fold; those around them keep their places."""
+    import random
+
+    from narrata.functions.lexicon import INTENSIFIERS, LEXICON, NEGATIONS, SUFFIXES
+
+    some = random.Random(5)
+    words = [*NEGATIONS, *INTENSIFIERS] * 2 + some.sample(sorted(LEXICON), 40) + [some.choice(sorted(LEXICON)) + some.choice(SUFFIXES) for _ in range(40)] + ["notion", "table", "the", "x", "-", "'", "nothe", "joyx"] * 8
+    texts = [some.choice(["", " ", "\n"]) + "".join(some.choice(words).title() + some.choice([" ", "  ", ", ", "\t", ".\n", " é "]) for _ in range(some.randrange(14))) for _ in range(300)] + ["notion", "the table"]
+
+    def looped(t):
+        tokens, neg, chain, by, raw, hits = re.sub(r"[^a-z'\s-]", "", t.lower()).split(), -9, -9, 10, 0, 0
+        for i, w in enumerate(tokens):
+            stem = re.sub(f"(?:{'|'.join(SUFFIXES)})$", "", w)
+            score = LEXICON.get(w, LEXICON.get(stem) if len(stem) >= 3 else None)
+            carried = by if chain == i - 1 else 10
+            if w in NEGATIONS:
+                neg, chain, by = i, i, carried
+            elif w in INTENSIFIERS:
+                chain, by = i, round(INTENSIFIERS[w] * 10)
+            else:
+                if score is not None:
+                    raw, hits = raw + score * carried * (-3 if i - neg <= 2 else 4), hits + 1
+                chain, by = -9, 10
+        return hits, raw / 40
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scores.sentiment("t").alias("s"), F.transform(F.array("t"), scores.sentiment)[0].alias("inner")).collect()
+    for r in rows:
+        hits, raw = looped(r.t)
+        assert (r.s.hits, r.s.raw_score) == (hits, math.floor(raw * 100 + 0.5) / 100) and r.inner == r.s
+    assert sum(r.s.hits for r in rows) > 300
+    # a group is a place that every search clears
+    assert scores.TELLING.count("(") < 1000
+
+
+def test_trimming(spark):
+    for x in ["", " ", "\t\n ", "x", " x", "x ", "  a  b \x0b\f\r\n", "\n\na\n", " é "]:
+        assert spark.createDataFrame([(x,)], "t string").select(text.trimmed("t")).first()[0] == x.strip(" \t\n\x0b\f\r")
