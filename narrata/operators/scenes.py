@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import cases, sentiment_of_lower
-from ..functions.text import SPACES, c, found, literals, pivoted, trimmed, ways
+from ..functions.scores import NEARLY, cases, sentiment
+from ..functions.text import c, found, let, literals, trimmed, ways
 
 #: ASCII word boundaries; the engine's own \b takes accented letters for word characters.
 L, R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -41,10 +41,9 @@ MOODS = {
 }
 PRONOUNS = ("He", "She", "They", "We", "I", "You", "It")
 
-#: Where none of these matches, in lower case, there is no cue of time, transition, break or mode.
-CUES = pivoted([x for p in (TIME_SHIFT, TRANSITION, "|".join(w for w in ways(BREAK_SIGNALS[4:]) if w[0].isalpha()), FLASHBACK, DREAM, MEMORY) for x in literals(p)])
-#: Where this does not match either, there is no divider and no other break.
-RULES = rf"[*#.=~_\-{SPACES}]{{3}}"
+#: Where neither matches, in lower case, there is no cue of time, transition, break or mode, and no divider.
+CUES = "|".join(sorted({x for p in (TIME_SHIFT, TRANSITION, "|".join(w for w in ways(BREAK_SIGNALS[4:]) if w[0].isalpha()), FLASHBACK, DREAM, MEMORY) for x in literals(p)}))
+RULES = r"[*#.=~_ \t\n\x0B\f\r-]{3}"
 #: A capital after the end of "the" or of a word that places follow.
 PLACED = r"[ABCDEFGHIJKLMNOPQRSTUVWXYZ](?<=[nterhsd\s]\s.)[a-z]"
 
@@ -71,17 +70,50 @@ def point_of_view(t) -> Column:
     return first(trimmed(t), POV + R)
 
 
+#: What of a paragraph is worth a closer look.
+HINTS = "cued boolean, placed boolean, telling boolean"
+
+
+def hinted():
+    """A function of an Arrow array of texts that gives HINTS: what is false says that the regexes of it find nothing there.
+
+    Arrow's regexes read a text once, whatever the number of words looked for. They are given bytes, since texts may be no
+    valid UTF-8, and only signs of ASCII count; two others have a lower case in ASCII. The function needs no module but Arrow's.
+    """
+    cues, rules, nearly, white = CUES, RULES, NEARLY, r" \t\n\x0B\f\r"
+
+    def hints(texts):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        low = pc.ascii_lower(texts)
+        for sign, by in (("\u0130", "i"), ("\u212A", "k")):
+            low = pc.replace_substring(low, sign, by)
+        low = low.cast(pa.binary())
+        words = pc.replace_substring_regex(low, f"[^a-z'{white}-]+", "")
+        cued = pc.or_(pc.match_substring_regex(low, cues), pc.match_substring_regex(low, rules))
+        placed = pc.match_substring_regex(texts.cast(pa.binary()), f"[nterhsd{white}][{white}][A-Z][a-z]")
+        telling = pc.match_substring_regex(words, f"(?:^|[{white}]){nearly}(?:[{white}]|$)")
+        return pa.StructArray.from_arrays([cued, placed, telling], ["cued", "placed", "telling"])
+
+    return hints
+
+
 def _signals(paragraphs: DataFrame, key: str) -> DataFrame:
     """Paragraphs that are no dividers, with what tells them from the one before."""
     order = Window.partitionBy(key).orderBy("pos")
-    p = paragraphs.filter(F.regexp_like("text", F.lit(r"\S"))).select(key, "pos", trimmed("text").alias("text"))
+    hints = F.arrow_udf(hinted(), HINTS)
     # all that the text says is taken before the windows over it and their shuffle, which then go without the text
-    low, cued = F.col("_low"), F.col("_cued")
-    p = p.withColumn("_low", F.lower("text")).withColumn("_cued", F.regexp_like("_low", F.lit(CUES)) | F.regexp_like("_low", F.lit(RULES)))
+    p = paragraphs.select(key, "pos", "text").filter(F.regexp_like("text", F.lit(r"\S"))).withColumn("_h", hints("text"))
+    cued, t, low = F.col("_h.cued"), F.col("_trimmed"), F.col("_low")
+    p = p.withColumn("_trimmed", F.when(cued, trimmed("text"))).withColumn("_low", F.lower(t))
+    where = lambda x: F.when(cued, x).otherwise(False)
+    mood = lambda score, confidence: F.struct(score.alias("score"), confidence.alias("confidence"))
     p = p.select(
-        key, "pos", (cued & F.regexp_like("text", F.lit(DIVIDER))).alias("_divider"), place_hint("text").alias("_place"), F.when(cued, narrative_mode("text", low)).otherwise("normal").alias("_mode"), sentiment_of_lower(low).alias("_s"),
-        (cued & has("text", TIME_SHIFT, low)).alias("time_shift"), (cued & (found("text", BREAK_SIGNALS[4:], BREAK_SIGNALS[4:], low) | has("text", TRANSITION, low))).alias("signal"),
-    ).withColumn("_s", F.struct("_s.score", "_s.confidence"))
+        key, "pos", where(F.regexp_like(t, F.lit(DIVIDER))).alias("_divider"), F.when(F.col("_h.placed"), place_hint("text")).alias("_place"), F.when(cued, narrative_mode(t, low)).otherwise("normal").alias("_mode"),
+        F.when(F.col("_h.telling"), let(sentiment("text"), lambda s: mood(s["score"], s["confidence"]))).otherwise(mood(F.lit(0.0), F.lit(0.0))).alias("_s"),
+        where(has(t, TIME_SHIFT, low)).alias("time_shift"), where(found(t, BREAK_SIGNALS[4:], BREAK_SIGNALS[4:], low) | has(t, TRANSITION, low)).alias("signal"),
+    )
     p = p.withColumn("_part", F.sum(F.col("_divider").cast("int")).over(order)).filter(~F.col("_divider"))
     for name in ("part", "place", "mode", "s"):
         p = p.withColumn(f"_was_{name}", F.lag(f"_{name}").over(order))

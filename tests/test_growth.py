@@ -205,19 +205,37 @@ def test_statistics_are_those_of_the_fragments(spark):
         assert r.dialogue_ratio == int(kinds.count("dialogue") / max(1, len(kinds)) * 1000 + 0.5) / 1000
 
 
-def test_gates_refuse_nothing_that_counts(spark):
+def test_hints_miss_nothing(spark):
+    """What the hints say no to, the regexes find nothing in; they are taken in one pass, by Arrow."""
+    import pyarrow as pa
+
+    from narrata.functions.lexicon import INTENSIFIERS, LEXICON, NEGATIONS
+
     signals, cued = scenes.BREAK_SIGNALS[4:], [scenes.TIME_SHIFT, scenes.TRANSITION, scenes.FLASHBACK, scenes.DREAM, scenes.MEMORY]
-    held = [x for p in (*cued, "|".join(w for w in text.ways(signals) if w[0].isalpha())) for x in text.literals(p)]
-    t = spark.createDataFrame([(x,) for w in held + ["***", "---", "###", "....", " \t ", "======", "~_*"] for x in (w, f"Ab {w.upper()}.", f"x{w}x", f"é{w}", f"a {w[1:]} b", f"a {w[:-1]}")], "t string")
-    low = F.lower("t")
-    gate = F.regexp_like(low, F.lit(scenes.CUES)) | F.regexp_like(low, F.lit(scenes.RULES))
+    held = scenes.CUES.split("|")
+    texts = [x for w in held + ["***", "---", "###", "....", " \t ", "======", "~_*"] for x in (w, f"Ab {w.upper()}.", f"x{w}x", f"é{w}", f"a {w[1:]} b", f"a {w[:-1]}")]
+    texts += [f"{a}{p}{b}{q}Old Mill" for p in ("in", "At", "on", "near", "Beside", "inside", "outside", "beneath", "Above", "across", "Back at", "beyond", "up") for a in ("", "x ") for b in (" ", " \x0b ") for q in ("", "the ", "the\n")]
+    texts += [x for w in [*LEXICON, *NEGATIONS, *INTENSIFIERS] for x in (w, f"a {w.title()}ing.", f"({w[:2]}é{w[2:]}9)\x0bx", f"{w}x")] + ["f\u0130ght", "li\u212Ae", "\u017fad", "nothing here", "notion"]
+    mood = scores.sentiment("t")["hits"] > 0
     counts = F.regexp_like("t", F.lit(f"(?i){'|'.join(cued)}|{signals}")) | F.regexp_like("t", F.lit(scenes.DIVIDER))
-    assert t.filter(counts & ~gate).count() == 0 and t.filter(counts).count() > 4 * len(held) and t.filter(~gate).count() > 0
-    # no other text is asked for cues: the gate holds those alone
-    assert t.filter(F.regexp_like(low, F.lit(scenes.CUES)) & ~F.regexp_like(low, F.lit("|".join(held)))).count() == 0
-    places = spark.createDataFrame([(f"{a}{p}{b}{q}Old Mill",) for p in ("in", "At", "on", "near", "Beside", "inside", "outside", "beneath", "Above", "across", "Back at", "beyond", "up") for a in ("", "x ") for b in (" ", " \t ") for q in ("", "the ", "the\n")], "t string")
     plainly = F.lower(text.trimmed(F.coalesce(scenes.first("t", scenes.L + scenes.PLACE_SHIFT), scenes.first("t", scenes.L + scenes.PLACE))))
-    assert places.filter(~plainly.eqNullSafe(scenes.place_hint("t"))).count() == 0 and places.filter(plainly.isNotNull()).count() > 100
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", counts.alias("cued"), plainly.isNotNull().alias("placed"), mood.alias("telling"), plainly.eqNullSafe(scenes.place_hint("t")).alias("same")).collect()
+    hints = scenes.hinted()(pa.array([r.t for r in rows])).to_pylist()
+    for name in ("cued", "placed", "telling"):
+        assert not [r.t for r, h in zip(rows, hints) if r[name] and not h[name]]
+        assert sum(r[name] for r in rows) > 100 and sum(not h[name] for h in hints) > 100
+    assert all(r.same for r in rows)
+    odd = scenes.hinted()(pa.array([b"de\xffath", b"\xc3later"]).cast(pa.string(), safe=False)).to_pylist()
+    assert odd[0]["telling"] and odd[1]["cued"]
+    found = scenes._signals(spark.createDataFrame([(1, 0, "x")], "doc_id long, pos int, text string"), "doc_id")
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scenes_of_odd_lines(spark):
+    """White space around a paragraph is no break; empty ones and null are no paragraphs."""
+    lines = ["  One. ", None, " \t ", "Two.", "   Three.", "\t*** ", "Four.", "Five   six.", "Seven.", " They f\u0130ght in  Rivergate", "In Rivergate", "At the Mill", "later"]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, pos int, text string")
+    assert [(r.pos, r.scene) for r in scenes.scenes(df).orderBy("pos").collect()] == [(0, 1), (3, 1), (4, 1), (6, 2), (7, 3), (8, 3), (9, 3), (10, 3), (11, 4), (12, 5)]
 
 
 def test_telling_words_by_a_loop(spark):
