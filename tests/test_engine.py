@@ -72,3 +72,31 @@ def test_empty_and_all_failing(spark):
     one = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     out = Graph([Stage("s", ("documents",), "t", lambda d: d.withColumn("text", F.raise_error(F.lit("no")).cast("string")))]).execute(documents=one)
     assert out.tables["t"].count() == 0 and [r.doc_id for r in out.dead.collect()] == [1]
+
+
+def _failing(monkeypatch, makes, what):
+    """The stages of the query, where what makes a table does so by way of ``what(df)``."""
+    stages = [Stage(s.name, s.needs, s.makes, (lambda *x, run=s.run: what(run(*x))) if s.makes == makes else s.run) for s in engine.ENRICHED]
+    monkeypatch.setattr(engine, "ENRICHED", stages)
+
+
+def test_queries_tell_of_documents_that_a_stage_fails_for(spark, tmp_path, monkeypatch):
+    from narrata.plans import engine_queries
+
+    spark.createDataFrame([(i, f"Text {i} is here. It goes on!") for i in range(12)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bad = F.when(F.col("doc_id").isin(3, 8), F.raise_error(F.lit("cannot do it")).cast("double")).otherwise(F.col("reading_ease"))
+    _failing(monkeypatch, "readability", lambda df: df.withColumn("reading_ease", bad))
+    got = {r.doc_id: r for r in engine_queries.engine_documents(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(12))
+    for i, r in got.items():
+        assert (r.stage, r.words, r.blocks) == ("Readability Analysis", None, None) and "cannot do it" in r.error if i in (3, 8) else r.stage is None and r.error is None and r.words == 6 and r.blocks > 0
+    trace = {r.stage: r for r in engine_queries.stage_trace(spark, str(tmp_path)).collect()}
+    assert {s for s, r in trace.items() if r.lost} == {"Readability Analysis"} and trace["Readability Analysis"].lost == 2
+
+
+def test_a_failure_of_the_store_is_no_dead_letter(spark, tmp_path, monkeypatch):
+    docs = spark.range(4).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    (tmp_path / "file").write_text("in the way")
+    monkeypatch.setattr(engine, "shared_folder", lambda spark: f"file://{tmp_path}/file")
+    with pytest.raises(Exception, match="(?i)mkdirs|not a directory|parent path|create"):
+        Graph([Stage("s", ("documents",), "t", lambda d: d)]).execute(documents=docs)
