@@ -100,3 +100,25 @@ def test_a_failure_of_the_store_is_no_dead_letter(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(engine, "shared_folder", lambda spark: f"file://{tmp_path}/file")
     with pytest.raises(Exception, match="(?i)mkdirs|not a directory|parent path|create"):
         Graph([Stage("s", ("documents",), "t", lambda d: d)]).execute(documents=docs)
+
+
+def test_tables_are_read_in_even_splits_and_inputs_of_few_splits_are_dealt(spark, tmp_path, monkeypatch):
+    """One file of many documents is more than one task's work at each stage; the session's own sizes stay."""
+    from narrata.plans import engine_queries
+
+    spark.range(400).select(F.col("id").alias("doc_id"), F.lit("Some text.").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    count = lambda d: seen.append((d.rdd.getNumPartitions(), spark.conf.get("spark.sql.files.maxPartitionBytes"))) or d
+    monkeypatch.setattr(engine, "ENRICHED", [Stage("a", ("documents",), "one", count), Stage("b", ("one",), "two", count)])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert [r.rows_out for r in engine_queries.stage_trace(spark, str(tmp_path)).collect()] == [400, 400]
+    assert all(n >= spark.sparkContext.defaultParallelism and size == str(engine.SPLIT) for n, size in seen) and len(seen) == 2
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert [engine._bytes(x) for x in ("134217728b", "128MB", "1g", "7")] == [1 << 27, 1 << 27, 1 << 30, 7]
+
+
+def test_what_a_stage_writes_as_it_is_made_is_searched_too(spark):
+    docs = spark.range(8).select(F.col("id").alias("doc_id"))
+    bad = lambda d: engine.saved(d.withColumn("x", F.when(F.col("doc_id") == 5, F.raise_error(F.lit("no")).cast("int")).otherwise(1)), "own")
+    out = Graph([Stage("s", ("documents",), "t", bad)]).execute(documents=docs)
+    assert [r.doc_id for r in out.dead.collect()] == [5] and {r.doc_id for r in out.tables["t"].collect()} == set(range(8)) - {5}
